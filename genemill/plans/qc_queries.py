@@ -103,18 +103,20 @@ def outliers(t):
 @query(
     "qc_quality_flags",
     with_views(
-        "expr_nulls",
-        f"""WITH s AS ({_SM} FROM expr_nulls GROUP BY 1), g AS ({_GM} FROM expr_nulls GROUP BY 1)
+        "expr_sparse",
+        f"""WITH s AS ({_SM} FROM expr_sparse GROUP BY 1), g AS ({_GM} FROM expr_sparse GROUP BY 1),
+        a AS (SELECT count(*) FILTER (value = 0) / count(*)::DOUBLE * 100 AS z FROM expr_sparse)
         SELECT 'sample' AS level, sample_id AS id, 'high_missing' AS issue, missing_pct AS measured FROM s WHERE missing_pct > 50
         UNION ALL SELECT 'sample', sample_id, 'high_zero', zero_pct FROM s WHERE zero_pct > 90
         UNION ALL SELECT 'sample', sample_id, 'low_library', library_size FROM s WHERE library_size < 1000
         UNION ALL SELECT 'gene', gene_id, 'high_missing', missing_pct FROM g WHERE missing_pct > 50
         UNION ALL SELECT 'gene', gene_id, 'high_zero', zero_pct FROM g WHERE zero_pct > 90
-        UNION ALL SELECT 'gene', gene_id, 'zero_variance', variance FROM g WHERE variance = 0""",
+        UNION ALL SELECT 'gene', gene_id, 'zero_variance', variance FROM g WHERE variance = 0
+        UNION ALL SELECT 'data', 'all', 'high_zero', round(z, 6) FROM a WHERE z > 80""",
     ),
 )
 def quality_flags(t):
-    return rounded(Q.quality_flags(t.expr_nulls()))
+    return rounded(Q.quality_flags(t.expr_sparse()))
 
 
 @query(
@@ -230,21 +232,14 @@ def drop_null(t):
 
 @query(
     "validate_drop_empty_genes",
-    """WITH e AS (SELECT 'P' || l_partkey AS gene_id, 'S' || l_suppkey AS sample_id,
-        CAST(sum(CASE WHEN l_returnflag = 'R' AND l_quantity > 45 THEN l_quantity ELSE 0.0 END) AS DOUBLE) AS value
-        FROM lineitem GROUP BY 1, 2)
-    SELECT * FROM e WHERE gene_id IN (SELECT gene_id FROM e GROUP BY 1 HAVING max(abs(value)) > 0)""",
+    with_views(
+        "expr_sparse",
+        """SELECT * FROM expr_sparse WHERE gene_id IN
+        (SELECT gene_id FROM expr_sparse GROUP BY 1 HAVING max(abs(value)) > 0)""",
+    ),
 )
 def drop_empty(t):
-    e = t.lineitem.groupBy(
-        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("gene_id"),
-        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("sample_id"),
-    ).agg(
-        F.sum(
-            F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45), F.col("l_quantity")).otherwise(0.0)
-        ).alias("value")
-    )
-    return V.drop_empty_genes(e)
+    return V.drop_empty_genes(t.expr_sparse())
 
 
 @query(

@@ -50,6 +50,14 @@ class Tables:
             F.when(F.max("l_discount") >= 0.05, F.sum(returned)).alias("value")
         )
 
+    def expr_sparse(self) -> DataFrame:
+        """One gene per part, mostly zeros."""
+        large = (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45)
+        return self.lineitem.groupBy(
+            F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("gene_id"),
+            _sample().alias("sample_id"),
+        ).agg(F.sum(F.when(large, F.col("l_quantity")).otherwise(0.0)).alias("value"))
+
     def expr_fine(self) -> DataFrame:
         """One gene per part: many genes, few samples each."""
         return self.lineitem.groupBy(
@@ -198,6 +206,9 @@ SQL = {
     "counts": f"SELECT {_KEYS}, CAST(sum(l_quantity) AS DOUBLE) AS value {_CELLS}",
     "expr_nulls": f"""SELECT {_KEYS},
         CASE WHEN max(l_discount) >= 0.05 THEN CAST({_RETURNED} AS DOUBLE) END AS value {_CELLS}""",
+    "expr_sparse": """SELECT 'P' || l_partkey AS gene_id, 'S' || l_suppkey AS sample_id,
+        CAST(sum(CASE WHEN l_returnflag = 'R' AND l_quantity > 45 THEN l_quantity ELSE 0.0 END) AS DOUBLE) AS value
+        FROM lineitem GROUP BY 1, 2""",
     "expr_fine": """SELECT 'P' || l_partkey AS gene_id, 'S' || l_suppkey AS sample_id,
         CAST(sum(l_quantity) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2""",
     "samples": """SELECT 'S' || s_suppkey AS sample_id,
