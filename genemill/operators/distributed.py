@@ -178,7 +178,7 @@ def ordinal_ranks(
         w = Window.partitionBy(*keys).orderBy(
             F.col(value).desc() if descending else F.col(value).asc(), F.col(tie).asc()
         )
-        return df.withColumn(out, F.row_number().over(w).cast("long"))
+        return df.withColumn(out, F.row_number().over(w))
     signed = df.withColumn("_v", F.when(F.lit(descending), -F.col(value)).otherwise(F.col(value)))
     below = value_counts(signed, keys, "_v", small).select(
         *keys, "_v", (F.col("cum") - F.col("c")).alias("_below")
@@ -209,10 +209,34 @@ def ordinal_ranks(
         slotted.withColumn("_r", inside)
         .join(slots, [*keys, "_v", "_s"])
         .join(below, [*keys, "_v"])
-        .select(*cols, (F.col("_r") + F.col("_in_run") + F.col("_below")).cast("long").alias(out))
+        .select(*cols, (F.col("_r") + F.col("_in_run") + F.col("_below")).cast("int").alias(out))
     )
 
 
+GROUP_LIMIT_PUSHDOWN = 1000
+
+
+def top_per_key(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    tie: str,
+    n: int,
+    out: str = "rank",
+    descending: bool = True,
+) -> DataFrame:
+    """First n rows of each key with their rank.
+
+    For small n Spark pushes the limit below the shuffle (a window group limit),
+    so each task sends at most n rows per key and a hot key does no harm.
+    """
+    if n <= GROUP_LIMIT_PUSHDOWN:
+        ranked = ordinal_ranks(df, keys, value, tie, out, descending, small=True)
+    else:
+        ranked = ordinal_ranks(df, keys, value, tie, out, descending)
+    return ranked.filter(F.col(out) <= n)
+
+
 def percentiles(
     df: DataFrame,
     keys: Sequence[str],
