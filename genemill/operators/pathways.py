@@ -99,7 +99,10 @@ def enrichment_scores(
     """Enrichment score and leading edge of each set of admissible size."""
     ranked = ranked_list(scores)
     n = ranked.agg(F.count(F.lit(1)).alias("n")).scalar()
-    hits = _sized_hits(ranked, gene_sets, min_size, max_size)
+    return _scored_sets(_sized_hits(ranked, gene_sets, min_size, max_size), n, weight)
+
+
+def _scored_sets(hits: DataFrame, n, weight: float) -> DataFrame:
     es = _enrichment(hits, ["gene_set"], n, weight)
     j = hits.join(es, "gene_set")
     edge = F.when(F.col("es") >= 0, F.col("pos") <= F.col("peak")).otherwise(F.col("pos") >= F.col("peak"))
@@ -123,10 +126,10 @@ def gsea(
     A permutation is the order of a hash per gene and replicate; only the members of
     admissible sets are kept, and the score at a position comes from a join on position.
     """
-    ranked = ranked_list(scores)
-    n = ranked.agg(F.count(F.lit(1)).alias("n")).scalar()
-    hits = _sized_hits(ranked, gene_sets, min_size, max_size)
-    es = enrichment_scores(scores, gene_sets, min_size, max_size, weight)
+    ranked = ranked_list(scores).persist()
+    n = F.lit(ranked.count())
+    hits = _sized_hits(ranked, gene_sets, min_size, max_size).persist()
+    es = _scored_sets(hits, n, weight)
     reps = ranked.select("gene").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
     reps = reps.withColumn("_h", F.xxhash64("gene", "rep", F.lit(seed)) / 2.0**20)
     placed = ordinal_ranks(reps, ["rep"], "_h", "gene", "pos").select("rep", "gene", "pos")
@@ -134,7 +137,7 @@ def gsea(
     null_hits = members.join(placed, "gene").join(ranked.select("pos", "score"), "pos")
     null = _enrichment(null_hits, ["rep", "gene_set"], n, weight)
     side = lambda c: F.when(F.col(c) >= 0, 1).otherwise(-1)
-    null = null.select("rep", "gene_set", F.col("es").alias("null_es"), side("es").alias("side"))
+    null = null.select("rep", "gene_set", F.col("es").alias("null_es"), side("es").alias("side")).persist()
     scale = null.groupBy("gene_set", "side").agg(
         F.avg(F.abs("null_es")).alias("_mean"), F.count(F.lit(1)).alias("_nn")
     )
@@ -145,7 +148,7 @@ def gsea(
     )
     obs = obs.join(beyond, "gene_set", "left").withColumn(
         "p_value", F.coalesce(F.col("_b") / F.col("_nn"), F.lit(1.0))
-    )
+    ).persist()
     null_nes = null.join(scale, ["gene_set", "side"]).select(
         "rep", "side", (F.abs("null_es") / F.col("_mean")).alias("mag")
     )
