@@ -178,24 +178,19 @@ def co_mentions(documents: DataFrame, genes: Sequence[str], text: str = "text",
     """
     asked = sorted({g.strip().upper() for g in genes if g and g.strip()})
     up = F.upper(F.col(text))
-    present = F.filter(
-        F.sequence(F.lit(0), F.lit(len(asked) - 1)),
-        lambda i: F.contains(up, F.element_at(F.array(*[F.lit(g) for g in asked]), i + 1)),
-    )
-    hits = documents.select(present.alias("g")).filter(F.size("g") > 1)
+    present = documents.select(F.array(*[F.contains(up, F.lit(g)) for g in asked]).alias("g"))
     k = len(asked)
 
     def multiply(batches):
         total = np.zeros((k, k), dtype=np.int64)
         for pdf in batches:
-            m = np.zeros((len(pdf), k), dtype=np.int64)
-            for r, g in enumerate(pdf["g"]):
-                m[r, np.asarray(g, dtype=int)] = 1
-            total += m.T @ m
+            if len(pdf):
+                m = np.stack(pdf["g"].to_numpy()).astype(np.float64)
+                total += (m.T @ m).astype(np.int64)
         a, b = np.nonzero(np.triu(total, 1))
         yield pd.DataFrame({"a": a, "b": b, "n": total[a, b]})
 
-    pairs = hits.mapInPandas(multiply, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("weight"))
+    pairs = present.mapInPandas(multiply, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("weight"))
     names = F.array(*[F.lit(g) for g in asked])
     return (
         pairs.select(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from genemill.operators import pca as P
-from genemill.operators.distributed import percentiles
+from genemill.operators.distributed import percentiles, reuse
 from genemill.operators.padjust import adjust_p
 from genemill.operators.stats import anova, group_moments, labelled
 
@@ -190,7 +190,7 @@ def gene_batch_cv(expr: DataFrame, samples: DataFrame, batch: str = "batch") ->
 
 
 def batch_cv_distribution(expr: DataFrame, samples: DataFrame, batch: str = "batch") -> DataFrame:
-    cv = gene_batch_cv(expr, samples, batch)
+    cv = reuse(gene_batch_cv(expr, samples, batch))
     q = percentiles(cv, [], "cv", {"median": 0.5, "q25": 0.25, "q75": 0.75})
     out = cv.agg(F.avg("cv").alias("mean"), F.stddev_pop("cv").alias("std"))
     for name in ("median", "q25", "q75"):
@@ -245,6 +245,7 @@ def batch_correlations(
 
 
 def correlation_summary(correlations: DataFrame, high: float = 0.3) -> DataFrame:
+    correlations = reuse(correlations)
     med = percentiles(correlations, ["variable"], "abs_r", {"median_correlation": 0.5})
     return (
         correlations.groupBy("variable")
@@ -261,6 +262,7 @@ def detect(
     expr: DataFrame, samples: DataFrame, batch: str = "batch", n_components: int = 10
 ) -> DataFrame:
     """One row with the four batch-effect scores and their mean."""
+    expr = reuse(expr)
     scores = P.component_batch_scores(P.pca(expr, n_components).scores, samples, batch)
     tests = anova_detection_summary(anova_detection(expr, samples, batch))
     corr = batch_correlations(expr, samples, batch).groupBy("variable").agg(F.avg("abs_r").alias("m"))

@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,27 @@ GROUP_LIMIT = 1_000_000
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
+_KEPT: list[DataFrame] = []
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep a table that the operator reads several times (memory first, then executor disk).
+
+    A lost executor only costs a recompute of its blocks. `release` drops them all.
+    """
+    if df.storageLevel.useMemory or df.storageLevel.useDisk:
+        return df
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _KEPT.append(df)
+    return df
+
+
+def release() -> None:
+    """Unpersist everything operators have kept so far."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows in the biggest group of `keys` (all rows when there are none)."""
     if not keys:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genemill.functions.special import chi2_sf, hypergeom_sf, t_sf2
-from genemill.operators.distributed import fits, ordered_scan, ordinal_ranks, percentiles
+from genemill.operators.distributed import fits, ordered_scan, ordinal_ranks, percentiles, reuse
 from genemill.operators.selection import poisson_weight
 
 
@@ -75,7 +75,7 @@ def _score_table(pred: DataFrame, keys, weight=None) -> DataFrame:
 
 def _cumulated(pred, keys, weight=None, small=None):
     """Per distinct score: positives and negatives there, and at or above it."""
-    t = _score_table(pred, keys, weight)
+    t = reuse(_score_table(pred, keys, weight))
     return ordered_scan(t, keys, "score", {"tp": ("sum", "p", "desc"), "fp": ("sum", "q", "desc")}, small)
 
 
@@ -202,7 +202,7 @@ def bootstrap_auc_delta(pred: DataFrame, a: str, b: str, n_boot: int = 1000, see
         F.max(F.when(F.col("model") == a, F.col("roc_auc"))).alias("x"),
         F.max(F.when(F.col("model") == b, F.col("roc_auc"))).alias("y"),
     )
-    delta = wide.select((F.col("x") - F.col("y")).alias("delta"))
+    delta = reuse(wide.select((F.col("x") - F.col("y")).alias("delta")))
     return percentiles(delta, [], "delta", {"median": 0.5, "lower": 0.025, "upper": 0.975})
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genemill.operators.distributed import median_by, ordinal_ranks, percentiles
+from genemill.operators.distributed import fits, median_by, ordinal_ranks, percentiles, reuse
 
 MATRIX = ("gene_id", "sample_id", "value")
 
@@ -40,7 +40,7 @@ def log_tpm(expr: DataFrame, prior: float = 1.0) -> DataFrame:
 
 def quantile_normalize(expr: DataFrame, by: str = "sample_id", small: bool | None = None) -> DataFrame:
     """Give every sample the same distribution: the mean, over samples, at each ordinal rank."""
-    present = expr.filter(F.col("value").isNotNull())
+    present = reuse(expr.filter(F.col("value").isNotNull()))
     ranked = ordinal_ranks(present, [by], "value", "gene_id", "_rank", small=small)
     target = ranked.groupBy("_rank").agg(F.avg("value").alias("_q"))
     joined = ranked.drop("value").join(target, "_rank")
@@ -66,6 +66,7 @@ def z_score_by_sample(expr: DataFrame, ddof: int = 1) -> DataFrame:
 
 def robust_z_iqr(expr: DataFrame, keys: Sequence[str] = ("gene_id",)) -> DataFrame:
     """(x - median) / IQR; a zero IQR counts as 1."""
+    expr = reuse(expr)
     q = percentiles(expr, keys, "value", {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
     iqr = F.col("_q3") - F.col("_q1")
     gap = F.col("value") - F.col("_q2")
@@ -75,13 +76,16 @@ def robust_z_iqr(expr: DataFrame, keys: Sequence[str] = ("gene_id",)) -> DataFra
 
 def robust_z_mad(expr: DataFrame, keys: Sequence[str] = ("gene_id",), kind: str = "median") -> DataFrame:
     """(x - median) / MAD, with the median (default) or mean absolute deviation; null at zero."""
-    med = expr.join(median_by(expr, keys, "value", "_med"), list(keys))
+    expr = reuse(expr)
+    small = fits(expr, keys)
+    half = {"_med": 0.5}
+    med = expr.join(percentiles(expr, keys, "value", half, small), list(keys))
     if kind == "mean":
         mad = expr.join(expr.groupBy(*keys).agg(F.avg("value").alias("_avg")), list(keys))
         mad = mad.groupBy(*keys).agg(F.avg(F.abs(F.col("value") - F.col("_avg"))).alias("_mad"))
     else:
         dev = med.withColumn("_dev", F.abs(F.col("value") - F.col("_med")))
-        mad = median_by(dev, keys, "_dev", "_mad")
+        mad = percentiles(dev, keys, "_dev", {"_mad": 0.5}, small)
     joined = med.join(mad, list(keys))
     z = F.when(F.col("_mad") > 0, (F.col("value") - F.col("_med")) / F.col("_mad"))
     return _replace_value(joined, z, expr.columns)
@@ -97,6 +101,7 @@ def min_max(expr: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:
 
 def size_factors(expr: DataFrame, pseudo: float = 1.0) -> DataFrame:
     """Median over genes of value / geometric mean, per sample."""
+    expr = reuse(expr)
     geo = expr.groupBy("gene_id").agg(F.exp(F.avg(F.log(F.col("value") + pseudo))).alias("_geo"))
     ratio = expr.join(geo, "gene_id").select(
         "sample_id", (F.col("value") / F.col("_geo")).alias("ratio")
@@ -105,6 +110,7 @@ def size_factors(expr: DataFrame, pseudo: float = 1.0) -> DataFrame:
 
 
 def median_ratio(expr: DataFrame, pseudo: float = 1.0) -> DataFrame:
+    expr = reuse(expr)
     joined = expr.join(size_factors(expr, pseudo), "sample_id")
     factor = F.col("size_factor")
     return _replace_value(joined, F.when(factor != 0, F.col("value") / factor), expr.columns)
@@ -112,7 +118,7 @@ def median_ratio(expr: DataFrame, pseudo: float = 1.0) -> DataFrame:
 
 def reference_sample(expr: DataFrame) -> DataFrame:
     """The sample whose library is nearest to the median library (one row: ref)."""
-    libs = expr.groupBy("sample_id").agg(F.sum("value").alias("lib"))
+    libs = reuse(expr.groupBy("sample_id").agg(F.sum("value").alias("lib")))
     med = median_by(libs, [], "lib", "m").scalar()
     return libs.orderBy(F.abs(F.col("lib") - med), "sample_id").limit(1).select(
         F.col("sample_id").alias("ref")
@@ -123,7 +129,9 @@ def tmm_factors(
     expr: DataFrame, ref_sample: str | None = None, trim: float = 0.3, base: str = "e"
 ) -> DataFrame:
     """Trimmed mean of M-values against the reference sample."""
-    ref = F.lit(ref_sample) if ref_sample else reference_sample(expr).scalar()
+    expr = reuse(expr)
+    # one row, needed in several places: a constant of the plan
+    ref = F.lit(ref_sample or reference_sample(expr).first()[0])
     refs = expr.filter(F.col("sample_id") == ref).select("gene_id", F.col("value").alias("_ref"))
     lx, lr = F.log2(F.col("value") + 1), F.log2(F.col("_ref") + 1)
     ma = expr.join(refs, "gene_id").select(
@@ -141,6 +149,7 @@ def tmm_factors(
 
 
 def tmm(expr: DataFrame, ref_sample: str | None = None, base: str = "e") -> DataFrame:
+    expr = reuse(expr)
     joined = expr.join(tmm_factors(expr, ref_sample, base=base), "sample_id")
     return _replace_value(joined, F.col("value") / F.col("size_factor"), expr.columns)
 
@@ -216,8 +225,12 @@ def value_stats(expr: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         bias_corrected_skew("value").alias("skewness"),
         bias_corrected_kurtosis("value").alias("kurtosis"),
     ]
+    expr = reuse(expr)
+    if fits(expr, keys):
+        aggs.append(F.percentile("value", F.lit(0.5)).alias("median"))
+        return expr.groupBy(*keys).agg(*aggs) if keys else expr.agg(*aggs)
     out = expr.groupBy(*keys).agg(*aggs) if keys else expr.agg(*aggs)
-    med = median_by(expr, keys, "value", "median")
+    med = percentiles(expr, keys, "value", {"median": 0.5}, False)
     return out.join(med, list(keys)) if keys else out.withColumn("median", med.scalar())
 
 

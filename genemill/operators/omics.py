@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genemill.operators import normalize as N
-from genemill.operators.distributed import median_by
+from genemill.operators.distributed import median_by, reuse
 
 
 def _filter_layer(df: DataFrame, keep) -> DataFrame:
@@ -119,6 +119,7 @@ def pca_integration(layers: DataFrame, k: int = 50) -> DataFrame:
 
 def fill_missing(expr: DataFrame) -> DataFrame:
     """Null cells take the median of their sample, else 0."""
+    expr = reuse(expr)
     med = median_by(expr, ["sample_id"], "value", "_med")
     j = expr.join(med, "sample_id", "left")
     return j.withColumn("value", F.coalesce("value", "_med", F.lit(0.0))).select(*expr.columns)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genemill.operators.distributed import fits, ordered_scan, value_counts
+from genemill.operators.distributed import fits, ordered_scan, reuse, value_counts
 
 # Accepted spellings of each method.
 ALIASES = {
@@ -76,6 +76,7 @@ def adjust_p(
     keys = list(keys)
     if method == "none":
         return df.withColumn(out, F.col(p))
+    df = reuse(df)
     valid = df.filter(F.col(p).isNotNull() & ~F.isnan(p))
     small = fits(valid, keys, small)
     if method == "hommel":
@@ -167,6 +168,7 @@ def simple_fdr(df: DataFrame, p: str, tie: str, out: str = "fdr") -> DataFrame:
     """p * m / rank clipped to 1 and not made monotone (ranks by p, then `tie`)."""
     from genemill.operators.distributed import ordinal_ranks
 
+    df = reuse(df)
     ranked = ordinal_ranks(df.filter(F.col(p).isNotNull()), [], p, tie, "_rank")
     total = ranked.agg(F.count(F.lit(1)).cast("double").alias("m")).scalar()
     return ranked.withColumn(out, F.least(F.lit(1.0), F.col(p) * total / F.col("_rank"))).drop("_rank")

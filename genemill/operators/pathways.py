@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genemill.functions.special import hypergeom_sf
-from genemill.operators.distributed import ordered_scan, ordinal_ranks
+from genemill.operators.distributed import GROUP_LIMIT, ordered_scan, ordinal_ranks, reuse
 from genemill.operators.padjust import adjust_p
 
 # Short names of gene-set libraries.
@@ -27,9 +27,9 @@ def library_name(name: str) -> str:
 
 def over_representation(genes: DataFrame, gene_sets: DataFrame, universe: DataFrame) -> DataFrame:
     """Hypergeometric tail per set within a universe of genes; combined = -ln(p) * odds ratio."""
-    uni = universe.select("gene").distinct()
+    uni = reuse(universe.select("gene").distinct())
     sets = gene_sets.select("gene_set", "gene").distinct().join(uni, "gene", "left_semi")
-    mine = genes.select("gene").distinct().join(uni, "gene", "left_semi").withColumn("_in", F.lit(1))
+    mine = reuse(genes.select("gene").distinct().join(uni, "gene", "left_semi").withColumn("_in", F.lit(1)))
     n_all = uni.agg(F.count(F.lit(1)).alias("n")).scalar()
     n_mine = mine.agg(F.count(F.lit(1)).alias("n")).scalar()
     g = (
@@ -126,18 +126,19 @@ def gsea(
     A permutation is the order of a hash per gene and replicate; only the members of
     admissible sets are kept, and the score at a position comes from a join on position.
     """
-    ranked = ranked_list(scores).persist()
-    n = F.lit(ranked.count())
-    hits = _sized_hits(ranked, gene_sets, min_size, max_size).persist()
+    ranked = reuse(ranked_list(reuse(scores)))
+    n_genes = ranked.count()
+    n = F.lit(n_genes)
+    hits = reuse(_sized_hits(ranked, gene_sets, min_size, max_size))
     es = _scored_sets(hits, n, weight)
     reps = ranked.select("gene").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
     reps = reps.withColumn("_h", F.xxhash64("gene", "rep", F.lit(seed)) / 2.0**20)
-    placed = ordinal_ranks(reps, ["rep"], "_h", "gene", "pos").select("rep", "gene", "pos")
+    placed = ordinal_ranks(reps, ["rep"], "_h", "gene", "pos", small=n_genes <= GROUP_LIMIT).select("rep", "gene", "pos")
     members = hits.select("gene_set", "gene")
     null_hits = members.join(placed, "gene").join(ranked.select("pos", "score"), "pos")
     null = _enrichment(null_hits, ["rep", "gene_set"], n, weight)
     side = lambda c: F.when(F.col(c) >= 0, 1).otherwise(-1)
-    null = null.select("rep", "gene_set", F.col("es").alias("null_es"), side("es").alias("side")).persist()
+    null = reuse(null.select("rep", "gene_set", F.col("es").alias("null_es"), side("es").alias("side")))
     scale = null.groupBy("gene_set", "side").agg(
         F.avg(F.abs("null_es")).alias("_mean"), F.count(F.lit(1)).alias("_nn")
     )
@@ -146,9 +147,11 @@ def gsea(
     beyond = null.join(obs.select("gene_set", "side", "es"), ["gene_set", "side"]).groupBy("gene_set").agg(
         F.count_if(F.abs("null_es") >= F.abs("es")).alias("_b")
     )
-    obs = obs.join(beyond, "gene_set", "left").withColumn(
-        "p_value", F.coalesce(F.col("_b") / F.col("_nn"), F.lit(1.0))
-    ).persist()
+    obs = reuse(
+        obs.join(beyond, "gene_set", "left").withColumn(
+            "p_value", F.coalesce(F.col("_b") / F.col("_nn"), F.lit(1.0))
+        )
+    )
     null_nes = null.join(scale, ["gene_set", "side"]).select(
         "rep", "side", (F.abs("null_es") / F.col("_mean")).alias("mag")
     )

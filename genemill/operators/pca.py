@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from genemill.operators.distributed import reuse
 from genemill.operators.normalize import z_score
 from genemill.session import ensure_checkpoint_dir
 
@@ -78,7 +79,7 @@ def _project(z: DataFrame, vectors: DataFrame, on: str, to: str, k: int) -> Data
 
 
 def pca(expr: DataFrame, k: int = 10, gram_limit: int = GRAM_LIMIT) -> Components:
-    z = standardized(expr).persist()
+    z = reuse(standardized(expr))
     spark = z.sparkSession
     names = z.select("sample_id").distinct()
     n = names.count()

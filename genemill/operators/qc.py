@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genemill.operators.distributed import median_by, percentiles
+from genemill.operators.distributed import fits, median_by, percentiles, reuse
 
 V = F.col("value")
 
@@ -36,8 +36,15 @@ def data_summary(expr: DataFrame) -> DataFrame:
     )
 
 
-def _metrics(expr: DataFrame, key: str, total: str) -> DataFrame:
+def _metrics(expr: DataFrame, key: str, total: str, with_median: bool = False) -> DataFrame:
+    """All metrics of a key in one pass; the median joins the same pass while groups are small."""
+    extra, late = [], None
+    if with_median and fits(expr, [key]):
+        extra = [F.percentile("value", F.lit(0.5)).alias("median_expression")]
+    elif with_median:
+        late = percentiles(expr, [key], "value", {"median_expression": 0.5}, False)
     out = expr.groupBy(key).agg(
+        *extra,
         F.count(F.lit(1)).alias(total),
         F.sum("value").alias("library_size"),
         F.count_if(V > 0).alias("detected"),
@@ -47,6 +54,8 @@ def _metrics(expr: DataFrame, key: str, total: str) -> DataFrame:
         F.count_if(V.isNull()).alias("missing_values"),
         F.count_if(V == 0).alias("zero_values"),
     )
+    if late is not None:
+        out = out.join(late, key, "left")
     return (
         out.withColumn("detection_rate", F.col("detected") / F.col(total))
         .withColumn(
@@ -59,18 +68,12 @@ def _metrics(expr: DataFrame, key: str, total: str) -> DataFrame:
 
 
 def sample_metrics(expr: DataFrame, with_median: bool = True) -> DataFrame:
-    out = _metrics(expr, "sample_id", "total_genes").drop("variance")
-    out = out.withColumn("log_library_size", F.log2(F.col("library_size") + 1))
-    if with_median:
-        out = out.join(median_by(expr, ["sample_id"], "value", "median_expression"), "sample_id", "left")
-    return out
+    out = _metrics(expr, "sample_id", "total_genes", with_median).drop("variance")
+    return out.withColumn("log_library_size", F.log2(F.col("library_size") + 1))
 
 
 def gene_metrics(expr: DataFrame, with_median: bool = True) -> DataFrame:
-    out = _metrics(expr, "gene_id", "total_samples").drop("library_size")
-    if with_median:
-        out = out.join(median_by(expr, ["gene_id"], "value", "median_expression"), "gene_id", "left")
-    return out
+    return _metrics(expr, "gene_id", "total_samples", with_median).drop("library_size")
 
 
 def _long_metrics(samples: DataFrame, genes: DataFrame, s_cols, g_cols) -> DataFrame:
@@ -85,11 +88,13 @@ def _long_metrics(samples: DataFrame, genes: DataFrame, s_cols, g_cols) -> DataF
 
 def distributions(expr: DataFrame) -> DataFrame:
     """Mean, deviation, quartiles and range of each sample and gene metric."""
-    long = _long_metrics(
-        sample_metrics(expr, False),
-        gene_metrics(expr, False),
-        ("library_size", "detection_rate"),
-        ("mean_expression", "variance", "detection_rate"),
+    long = reuse(
+        _long_metrics(
+            sample_metrics(expr, False),
+            gene_metrics(expr, False),
+            ("library_size", "detection_rate"),
+            ("mean_expression", "variance", "detection_rate"),
+        )
     )
     keys = ["level", "metric"]
     q = percentiles(long, keys, "value", {"q25": 0.25, "median": 0.5, "q75": 0.75})
@@ -107,11 +112,13 @@ def distributions(expr: DataFrame) -> DataFrame:
 
 def outliers(expr: DataFrame, factor: float = 1.5) -> DataFrame:
     """Samples and genes outside the quartiles by more than `factor` IQR, per metric."""
-    long = _long_metrics(
-        sample_metrics(expr, False),
-        gene_metrics(expr, False),
-        ("library_size", "detection_rate", "mean_expression"),
-        ("mean_expression", "variance", "detection_rate"),
+    long = reuse(
+        _long_metrics(
+            sample_metrics(expr, False),
+            gene_metrics(expr, False),
+            ("library_size", "detection_rate", "mean_expression"),
+            ("mean_expression", "variance", "detection_rate"),
+        )
     )
     keys = ["level", "metric"]
     q = percentiles(long, keys, "value", {"q1": 0.25, "q3": 0.75})
@@ -182,11 +189,11 @@ def quality_flags(expr: DataFrame) -> DataFrame:
 def filtering_recommendations(expr: DataFrame) -> DataFrame:
     """One row of suggested limits, from percentiles of the metric tables."""
     s = percentiles(
-        sample_metrics(expr, False).unpivot(["sample_id"], ["missing_pct", "zero_pct", "library_size"], "metric", "v"),
+        reuse(sample_metrics(expr, False).unpivot(["sample_id"], ["missing_pct", "zero_pct", "library_size"], "metric", "v")),
         ["metric"], "v", {"p05": 0.05, "p95": 0.95},
     )
     g = percentiles(
-        gene_metrics(expr, False).unpivot(["gene_id"], ["missing_pct", "zero_pct", "variance"], "metric", "v"),
+        reuse(gene_metrics(expr, False).unpivot(["gene_id"], ["missing_pct", "zero_pct", "variance"], "metric", "v")),
         ["metric"], "v", {"p10": 0.10, "p95": 0.95},
     )
     one = lambda df, m, col: df.filter(F.col("metric") == m).select(col).scalar()
@@ -273,7 +280,7 @@ def shape_change(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def qc_summary(expr: DataFrame) -> DataFrame:
     """Warnings with advice, one row each, and nothing when the data are clean."""
-    sm, gm = sample_metrics(expr, False), gene_metrics(expr, False)
+    sm, gm = reuse(sample_metrics(expr, False)), reuse(gene_metrics(expr, False))
     v = expr.agg(
         (F.count_if(V.isNull()) / F.count(F.lit(1))).alias("missing"),
         (F.count_if(V == 0) / F.count(F.lit(1))).alias("zero"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genemill.operators.distributed import median_by, ordinal_ranks
+from genemill.operators.distributed import median_by, ordinal_ranks, reuse
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 50) -> DataFrame:
@@ -166,7 +166,7 @@ def merge_evidence(
         score.alias("consensus_score"),
         (0.6 * share + 0.4 * score).alias("final_score"),
     )
-    return ordinal_ranks(j, [], "final_score", "gene", "final_rank", descending=True)
+    return ordinal_ranks(reuse(j), [], "final_score", "gene", "final_rank", descending=True)
 
 
 def evidence_summary(merged: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genemill.operators import stats
-from genemill.operators.distributed import ordinal_ranks, top_per_key
+from genemill.operators.distributed import ordinal_ranks, reuse, top_per_key
 from genemill.operators.normalize import tagged
 
 MAX_MODEL_FEATURES = 20_000
@@ -355,6 +355,7 @@ def top_k_stability(scores: DataFrame, n: int) -> DataFrame:
 
 def final_selection(scores: DataFrame, n: int = 50, stability: float = 0.6) -> DataFrame:
     """Best n by normalised consensus among features stable over the methods."""
+    scores = reuse(scores)
     j = normalized_consensus(scores).join(top_k_stability(scores, n), "feature")
     return j.filter(F.col("stability") >= stability).orderBy(F.col("consensus_score").desc(), "feature").limit(n)
 

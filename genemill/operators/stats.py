@@ -11,7 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genemill.functions.special import chi2_sf, f_sf, mwu_exact, norm_sf2, t_sf2
-from genemill.operators.distributed import fits, median_by, ordinal_ranks, ranks, value_counts
+from genemill.operators.distributed import (
+    fits,
+    median_by,
+    percentiles,
+    ordinal_ranks,
+    ranks,
+    reuse,
+    value_counts,
+)
 from genemill.operators.padjust import adjust_p, simple_fdr
 
 
@@ -112,7 +120,7 @@ def _tie_terms(counts: DataFrame) -> DataFrame:
 def mann_whitney(expr: DataFrame, samples: DataFrame, label: str = "label", levels=None) -> DataFrame:
     """U test: exact p for a group of at most 8 without ties, else normal with corrections."""
     levels = levels or two_levels(samples, label)
-    data = labelled(expr, samples, label)
+    data = reuse(labelled(expr, samples, label))
     small = fits(data, ["gene_id"])
     ranked = ranks(data, ["gene_id"], "value", "rank", small=small)
     one, two = (F.col("grp") == F.lit(v) for v in levels)
@@ -125,7 +133,9 @@ def mann_whitney(expr: DataFrame, samples: DataFrame, label: str = "label", leve
     )
     ties = _tie_terms(value_counts(data, ["gene_id"], "value", small))
     medians = [
-        median_by(data.filter(F.col("grp") == F.lit(v)), ["gene_id"], "value", f"median{i}")
+        percentiles(
+            data.filter(F.col("grp") == F.lit(v)), ["gene_id"], "value", {f"median{i}": 0.5}, small or None
+        )
         for i, v in enumerate(levels, start=1)
     ]
     t = sums.join(ties, "gene_id")
@@ -194,7 +204,7 @@ def anova_from_moments(gm: DataFrame, keys=("gene_id",)) -> DataFrame:
 
 def kruskal(expr: DataFrame, samples: DataFrame, label: str = "label") -> DataFrame:
     """Kruskal-Wallis H with tie correction and epsilon squared."""
-    data = labelled(expr, samples, label)
+    data = reuse(labelled(expr, samples, label))
     small = fits(data, ["gene_id"])
     ranked = ranks(data, ["gene_id"], "value", "rank", small=small)
     per = ranked.groupBy("gene_id", "grp").agg(
@@ -245,6 +255,7 @@ def correlation(
         F.corr("value", "y").alias("statistic"),
     )
     if method == "spearman":
+        data = reuse(data)
         small = fits(data, ["gene_id"])
         r = ranks(data, ["gene_id"], "value", "_rx", small=small)
         r = ranks(r, ["gene_id"], "y", "_ry", small=small)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genemill.functions.special import chi2_sf, chi2_upper, norm_sf2, normal_upper
-from genemill.operators.distributed import fits, median_by, ordered_scan, value_buckets
+from genemill.operators.distributed import fits, median_by, ordered_scan, reuse, value_buckets
 from genemill.session import ensure_checkpoint_dir
 
 
@@ -54,8 +54,10 @@ def median_split(df: DataFrame, col: str, out: str = "grp") -> DataFrame:
 
 def life_table(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Per distinct time: events d, rows c and number at risk n."""
-    t = df.groupBy(*keys, "time").agg(
-        F.sum("event").cast("long").alias("d"), F.count(F.lit(1)).alias("c")
+    t = reuse(
+        df.groupBy(*keys, "time").agg(
+            F.sum("event").cast("long").alias("d"), F.count(F.lit(1)).alias("c")
+        )
     )
     return ordered_scan(t, keys, "time", {"n": ("sum", "c", "desc")})
 
@@ -63,7 +65,7 @@ def life_table(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def kaplan_meier(df: DataFrame, group: str = "grp", min_group: int = 5) -> DataFrame:
     """Product-limit curve per group: time, n at risk, events, survival."""
     big = df.groupBy(group).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= min_group)
-    t = life_table(df.join(big, group, "left_semi"), [group])
+    t = reuse(life_table(df.join(big, group, "left_semi"), [group]))
     alive = F.col("d") < F.col("n")
     t = t.withColumn("_l", F.when(alive, F.log1p(-F.col("d") / F.col("n"))).otherwise(F.lit(0.0)))
     t = t.withColumn("_z", F.when(alive, 0).otherwise(1))
@@ -76,6 +78,7 @@ def kaplan_meier(df: DataFrame, group: str = "grp", min_group: int = 5) -> DataF
 
 def survival_summary(df: DataFrame, group: str = "grp", at: Sequence[float] = (365.0, 1825.0)) -> DataFrame:
     """Per group: subjects, events, median survival and survival at fixed times (by time)."""
+    df = reuse(df)
     km = kaplan_meier(df, group)
     aggs = [F.min(F.when(F.col("survival") <= 0.5, F.col("time"))).alias("median_survival")]
     for t in at:
@@ -367,7 +370,7 @@ def concordance(
     counted, never produced.
     """
     keys = list(keys)
-    d = df.select(*keys, "time", "event", F.col(risk).alias("r")).dropna()
+    d = reuse(df.select(*keys, "time", "event", F.col(risk).alias("r")).dropna())
     # order of (time, event first): 2 t for events, 2 t + 1 for censored, on dense time ranks
     times = d.groupBy(*keys, "time").agg(F.lit(1).alias("one"))
     dense = ordered_scan(times, keys, "time", {"o": ("sum", "one", "asc")}, small)

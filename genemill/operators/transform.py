@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genemill.functions.special import norm_ppf, norm_sf2
-from genemill.operators.distributed import ordinal_ranks, ranks
+from genemill.operators.distributed import ordinal_ranks, ranks, reuse
 from genemill.operators.normalize import (
     bias_corrected_kurtosis,
     bias_corrected_skew,
@@ -40,23 +40,25 @@ def custom(expr: DataFrame, func: Callable[[Column], Column]) -> DataFrame:
     return _on_value(expr, func)
 
 
-def _yeo_johnson(x: Column, lam: Column) -> Column:
-    up = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / lam)
-    mirrored = 2 - lam
-    down = F.when(F.abs(mirrored) < 1e-12, -F.log1p(-x)).otherwise(
-        -(F.pow(1 - x, mirrored) - 1) / mirrored
-    )
-    return F.when(x >= 0, up).otherwise(down)
+# Both power families share one form: with L = log of the (shifted) size of x, sign s and
+# exponent m, the value is s * (exp(m L) - 1) / m, and s * L where m is 0.
 
 
-def _box_cox(x: Column, lam: Column) -> Column:
-    return F.when(F.abs(lam) < 1e-12, F.log(x)).otherwise((F.pow(x, lam) - 1) / lam)
+def _power_terms(kind: str) -> tuple[Column, Column]:
+    """(L, s) of a value."""
+    x = F.col("value")
+    if kind == "yeo-johnson":
+        return F.log1p(F.abs(x)), F.when(x >= 0, 1.0).otherwise(-1.0)
+    if kind == "box-cox":
+        return F.log(x), F.lit(1.0)
+    raise ValueError(f"unknown power transform {kind}")
 
 
-_POWER = {
-    "yeo-johnson": (_yeo_johnson, lambda x: F.signum(x) * F.log1p(F.abs(x))),
-    "box-cox": (_box_cox, F.log),
-}
+def _power_value(lam: Column, kind: str) -> Column:
+    """The transform of a row that carries its L and s."""
+    size, sign = F.col("_L"), F.col("_s")
+    m = F.when(sign > 0, lam).otherwise(2 - lam) if kind == "yeo-johnson" else lam
+    return sign * F.when(F.abs(m) < 1e-12, size).otherwise(F.expm1(m * size) / m)
 
 
 def power_lambdas(expr: DataFrame, kind: str = "yeo-johnson", key: str = "gene_id") -> DataFrame:
@@ -65,9 +67,9 @@ def power_lambdas(expr: DataFrame, kind: str = "yeo-johnson", key: str = "gene_i
     Each pass is one aggregation with nine candidate variances per gene; the
     candidates of a pass lie around the best one of the pass before.
     """
-    apply, jacobian = _POWER[kind]
-    x = F.col("value")
-    data = expr.filter(x.isNotNull())
+    size, sign = _power_terms(kind)
+    rows = expr.filter(F.col("value").isNotNull())
+    data = reuse(rows.select(key, size.alias("_L"), sign.alias("_s")))
     best, step = None, 0.5
     for _ in range(4):
         offsets = [i * step for i in range(-4, 5)]
@@ -75,10 +77,12 @@ def power_lambdas(expr: DataFrame, kind: str = "yeo-johnson", key: str = "gene_i
             cand, centre = data, F.lit(0.0)
         else:
             cand, centre = data.join(best, key), F.col("lambda")
-        aggs = [F.count(x).cast("double").alias("n"), F.sum(jacobian(x)).alias("_j")]
-        aggs.append(F.first(centre).alias("_c"))
-        aggs += [F.var_pop(apply(x, centre + o)).alias(f"_v{i}") for i, o in enumerate(offsets)]
-        g = cand.groupBy(key).agg(*aggs)
+        g = cand.groupBy(key).agg(
+            F.count("_L").cast("double").alias("n"),
+            F.sum(F.col("_s") * F.col("_L")).alias("_j"),
+            F.first(centre).alias("_c"),
+            *[F.var_pop(_power_value(centre + o, kind)).alias(f"_v{i}") for i, o in enumerate(offsets)],
+        )
         options = F.array(
             *[
                 F.struct(
@@ -92,22 +96,24 @@ def power_lambdas(expr: DataFrame, kind: str = "yeo-johnson", key: str = "gene_i
                 for i, o in enumerate(offsets)
             ]
         )
-        usable = F.filter(options, lambda s: s["ll"].isNotNull())
-        best = g.select(key, F.coalesce(F.array_max(usable)["lam"], F.lit(1.0)).alias("lambda"))
+        # a null likelihood sorts below every number
+        top = F.array_max(options)
+        best = g.select(
+            key, F.when(top["ll"].isNotNull(), top["lam"]).otherwise(F.lit(1.0)).alias("lambda")
+        )
         step /= 4
     return best
 
 
 def power_transform(expr: DataFrame, kind: str = "yeo-johnson", standardize: bool = True) -> DataFrame:
     """Yeo-Johnson, or Box-Cox for positive values, then zero mean and unit variance per gene."""
+    expr = reuse(expr)
     if kind == "box-cox" and not expr.filter(F.col("value") <= 0).isEmpty():
         raise ValueError("box-cox needs positive values")
-    lam = power_lambdas(expr, kind)
-    out = expr.join(lam, "gene_id").select(
-        *[c for c in expr.columns if c != "value"],
-        _POWER[kind][0](F.col("value"), F.col("lambda")).alias("value"),
-    )
-    return z_score(out, ("gene_id",), 0) if standardize else out
+    size, sign = _power_terms(kind)
+    moved = expr.join(power_lambdas(expr, kind), "gene_id").withColumns({"_L": size, "_s": sign})
+    out = moved.withColumn("value", _power_value(F.col("lambda"), kind)).select(*expr.columns)
+    return z_score(reuse(out), ("gene_id",), 0) if standardize else out
 
 
 def rank_transform(expr: DataFrame, method: str = "average") -> DataFrame:
@@ -118,6 +124,7 @@ def rank_transform(expr: DataFrame, method: str = "average") -> DataFrame:
 
 def quantile_transform(expr: DataFrame, output: str = "uniform") -> DataFrame:
     """Per gene (average rank - 1) / (n - 1), or its normal quantile."""
+    expr = reuse(expr)
     r = ranks(expr, ["gene_id"], "value", "_r", "average")
     n = expr.groupBy("gene_id").agg(F.count("value").alias("_n"))
     u = F.when(F.col("_n") > 1, (F.col("_r") - 1) / (F.col("_n") - 1)).otherwise(F.lit(0.0))
@@ -166,7 +173,7 @@ def _poly(coefs: Sequence[float], x: Column) -> Column:
 
 def shapiro_wilk(expr: DataFrame, key: str = "gene_id", unit: str = "sample_id") -> DataFrame:
     """W and p per gene. The order-statistic weights depend on (rank, n) only: a small table."""
-    data = expr.filter(F.col("value").isNotNull())
+    data = reuse(expr.filter(F.col("value").isNotNull()))
     size = data.groupBy(key).agg(
         F.count("value").cast("double").alias("n"),
         (F.var_pop("value") * F.count("value")).alias("_ss"),

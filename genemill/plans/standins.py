@@ -31,8 +31,9 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def _cells(self):
-        return self.lineitem.join(self.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(
-            _gene().alias("gene_id"), _sample().alias("sample_id")
+        genes = self.part.select("p_partkey", _gene().alias("gene_id"))
+        return self.lineitem.join(genes, F.col("l_partkey") == F.col("p_partkey")).groupBy(
+            "gene_id", _sample().alias("sample_id")
         )
 
     def expr(self) -> DataFrame:
