@@ -64,42 +64,36 @@ def _power_value(lam: Column, kind: str) -> Column:
 def power_lambdas(expr: DataFrame, kind: str = "yeo-johnson", key: str = "gene_id") -> DataFrame:
     """Maximum-likelihood lambda per gene, by a grid on [-2, 2] refined four times.
 
-    Each pass is one aggregation with nine candidate variances per gene; the
-    candidates of a pass lie around the best one of the pass before.
+    Each pass tries nine candidates around the best one so far. A cell is expanded
+    to its candidates inside the map task and combined there, so only nine rows per
+    gene and task are shuffled.
     """
     size, sign = _power_terms(kind)
     rows = expr.filter(F.col("value").isNotNull())
     data = reuse(rows.select(key, size.alias("_L"), sign.alias("_s")))
     best, step = None, 0.5
     for _ in range(4):
-        offsets = [i * step for i in range(-4, 5)]
-        if best is None:
-            cand, centre = data, F.lit(0.0)
-        else:
-            cand, centre = data.join(best, key), F.col("lambda")
-        g = cand.groupBy(key).agg(
-            F.count("_L").cast("double").alias("n"),
-            F.sum(F.col("_s") * F.col("_L")).alias("_j"),
-            F.first(centre).alias("_c"),
-            *[F.var_pop(_power_value(centre + o, kind)).alias(f"_v{i}") for i, o in enumerate(offsets)],
+        offsets = F.array(*[F.lit(i * step) for i in range(-4, 5)])
+        cand = data.withColumn("lambda", F.lit(0.0)) if best is None else data.join(best, key)
+        tried = cand.select(key, "_L", "_s", "lambda", F.posexplode(offsets).alias("_i", "_o"))
+        g = (
+            tried.withColumn("_lam", F.col("lambda") + F.col("_o"))
+            .groupBy(key, "_i", "_lam")
+            .agg(
+                F.count("_L").alias("_n"),
+                F.sum(F.col("_s") * F.col("_L")).alias("_j"),
+                F.var_pop(_power_value(F.col("_lam"), kind)).alias("_v"),
+            )
         )
-        options = F.array(
-            *[
-                F.struct(
-                    F.when(
-                        F.col(f"_v{i}") > 0,
-                        -F.col("n") / 2 * F.log(f"_v{i}") + (F.col("_c") + o - 1) * F.col("_j"),
-                    ).alias("ll"),
-                    F.lit(-i).alias("first"),
-                    (F.col("_c") + o).alias("lam"),
-                )
-                for i, o in enumerate(offsets)
-            ]
-        )
-        # a null likelihood sorts below every number
-        top = F.array_max(options)
-        best = g.select(
-            key, F.when(top["ll"].isNotNull(), top["lam"]).otherwise(F.lit(1.0)).alias("lambda")
+        ll = F.when(F.col("_v") > 0, -F.col("_n") / 2 * F.log("_v") + (F.col("_lam") - 1) * F.col("_j"))
+        best = (
+            g.withColumn("_ll", ll)
+            .groupBy(key)
+            .agg(
+                F.max_by("_lam", F.struct("_ll", (-F.col("_i")).alias("f"))).alias("_best"),
+                F.count("_ll").alias("_ok"),
+            )
+            .select(key, F.when(F.col("_ok") > 0, F.col("_best")).otherwise(F.lit(1.0)).alias("lambda"))
         )
         step /= 4
     return best
