@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from genemill.operators.distributed import fits, median_by, percentiles, reuse
 
-V = F.col("value")
 
 
 def data_summary(expr: DataFrame) -> DataFrame:
@@ -20,12 +19,12 @@ def data_summary(expr: DataFrame) -> DataFrame:
         F.count_distinct("gene_id").alias("n_genes"),
         F.count_distinct("sample_id").alias("n_samples"),
         F.count(F.lit(1)).alias("total_values"),
-        F.count_if(V.isNull()).alias("missing_values"),
-        F.count_if(V == 0).alias("zero_values"),
-        F.count_if(F.abs(V) == float("inf")).alias("infinite_values"),
-        F.count_if(V < 0).alias("negative_values"),
-        F.min(V).alias("min"),
-        F.max(V).alias("max"),
+        F.count_if(F.col("value").isNull()).alias("missing_values"),
+        F.count_if(F.col("value") == 0).alias("zero_values"),
+        F.count_if(F.abs(F.col("value")) == float("inf")).alias("infinite_values"),
+        F.count_if(F.col("value") < 0).alias("negative_values"),
+        F.min(F.col("value")).alias("min"),
+        F.max(F.col("value")).alias("max"),
     )
     for name in ("missing", "zero", "negative"):
         base = base.withColumn(f"{name}_ratio", F.col(f"{name}_values") / F.col("total_values"))
@@ -47,12 +46,12 @@ def _metrics(expr: DataFrame, key: str, total: str, with_median: bool = False) -
         *extra,
         F.count(F.lit(1)).alias(total),
         F.sum("value").alias("library_size"),
-        F.count_if(V > 0).alias("detected"),
+        F.count_if(F.col("value") > 0).alias("detected"),
         F.avg("value").alias("mean_expression"),
         F.stddev_samp("value").alias("std_expression"),
         F.var_samp("value").alias("variance"),
-        F.count_if(V.isNull()).alias("missing_values"),
-        F.count_if(V == 0).alias("zero_values"),
+        F.count_if(F.col("value").isNull()).alias("missing_values"),
+        F.count_if(F.col("value") == 0).alias("zero_values"),
     )
     if late is not None:
         out = out.join(late, key, "left")
@@ -169,9 +168,9 @@ def quality_flags(expr: DataFrame) -> DataFrame:
         },
     )
     whole = expr.agg(
-        (F.count_if(V.isNull()) / F.count(F.lit(1)) * 100).alias("m"),
-        (F.count_if(V == 0) / F.count(F.lit(1)) * 100).alias("z"),
-        (F.count_if(V < 0) / F.count(F.lit(1)) * 100).alias("n"),
+        (F.count_if(F.col("value").isNull()) / F.count(F.lit(1)) * 100).alias("m"),
+        (F.count_if(F.col("value") == 0) / F.count(F.lit(1)) * 100).alias("z"),
+        (F.count_if(F.col("value") < 0) / F.count(F.lit(1)) * 100).alias("n"),
     )
     d = _issues(
         whole,
@@ -282,9 +281,9 @@ def qc_summary(expr: DataFrame) -> DataFrame:
     """Warnings with advice, one row each, and nothing when the data are clean."""
     sm, gm = reuse(sample_metrics(expr, False)), reuse(gene_metrics(expr, False))
     v = expr.agg(
-        (F.count_if(V.isNull()) / F.count(F.lit(1))).alias("missing"),
-        (F.count_if(V == 0) / F.count(F.lit(1))).alias("zero"),
-        F.count_if(V < 0).cast("double").alias("negative"),
+        (F.count_if(F.col("value").isNull()) / F.count(F.lit(1))).alias("missing"),
+        (F.count_if(F.col("value") == 0) / F.count(F.lit(1))).alias("zero"),
+        F.count_if(F.col("value") < 0).cast("double").alias("negative"),
     )
     cv = lambda c: F.stddev_samp(c) / (F.avg(c) + 1e-12)
     v = (

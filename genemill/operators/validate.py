@@ -10,12 +10,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-V = F.col("value")
 
 
 def drop_all_null(expr: DataFrame) -> DataFrame:
     """Drop genes and samples that hold no value at all."""
-    full = expr.filter(V.isNotNull())
+    full = expr.filter(F.col("value").isNotNull())
     return expr.join(full.select("gene_id").distinct(), "gene_id", "left_semi").join(
         full.select("sample_id").distinct(), "sample_id", "left_semi"
     )
@@ -23,7 +22,7 @@ def drop_all_null(expr: DataFrame) -> DataFrame:
 
 def drop_empty_genes(expr: DataFrame) -> DataFrame:
     """Drop genes whose values are all zero or null."""
-    alive = expr.groupBy("gene_id").agg(F.max(F.abs(V)).alias("top")).filter(F.col("top") > 0)
+    alive = expr.groupBy("gene_id").agg(F.max(F.abs(F.col("value"))).alias("top")).filter(F.col("top") > 0)
     return expr.join(alive, "gene_id", "left_semi")
 
 
@@ -100,10 +99,10 @@ def _facts(expr: DataFrame, samples: DataFrame, label: str, batch: str | None) -
     dup = duplicates(expr, samples)
     row = expr.agg(
         F.count(F.lit(1)).alias("n"),
-        (F.count_if(V.isNull()) / F.count(F.lit(1)) * 100).alias("missing_pct"),
-        (F.count_if(V == 0) / F.count(F.lit(1)) * 100).alias("zero_pct"),
-        F.count_if(F.abs(V) == float("inf")).alias("infinite"),
-        F.count_if(V < 0).alias("negative"),
+        (F.count_if(F.col("value").isNull()) / F.count(F.lit(1)) * 100).alias("missing_pct"),
+        (F.count_if(F.col("value") == 0) / F.count(F.lit(1)) * 100).alias("zero_pct"),
+        F.count_if(F.abs(F.col("value")) == float("inf")).alias("infinite"),
+        F.count_if(F.col("value") < 0).alias("negative"),
     )
     flat = expr.groupBy("gene_id").agg(F.var_samp("value").alias("v")).agg(
         F.count_if(F.col("v") == 0).alias("f")
@@ -268,7 +267,7 @@ def raw_count_issues(counts: DataFrame, samples: DataFrame, group: str) -> DataF
         F.count_if(F.col("n") >= 2).alias("n_replicated"),
         F.count(F.lit(1)).alias("n_groups"),
     )
-    row = counts.agg(F.count_if(V < 0).alias("negative"), F.count_if(V.isNull()).alias("not_numeric"))
+    row = counts.agg(F.count_if(F.col("value") < 0).alias("negative"), F.count_if(F.col("value").isNull()).alias("not_numeric"))
     for name in ("n_samples", "n_replicated", "n_groups"):
         row = row.withColumn(name, groups.select(name).scalar())
     c = F.col
