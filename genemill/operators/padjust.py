@@ -41,7 +41,7 @@ METHODS = (
     "fdr_tsbky",
     "fdr_gbs",
 )
-HOMMEL_LIMIT = 20_000
+HULL_LIMIT = 1_000_000
 
 
 def canonical_method(name: str) -> str:
@@ -50,16 +50,45 @@ def canonical_method(name: str) -> str:
     return key if key in METHODS else "fdr_bh"
 
 
-def _hommel(p: np.ndarray) -> np.ndarray:
-    n = len(p)
-    adjusted = np.full(n, (n * p / np.arange(1, n + 1)).min())
-    for m in range(n - 1, 1, -1):
-        head = n - m + 1
-        bound = (m * p[head:] / np.arange(2, m + 1)).min()
-        q = np.minimum(m * p, bound)
-        q[head:] = q[head - 1]
-        adjusted = np.maximum(adjusted, q)
-    return np.maximum(adjusted, p)
+def _lower_hull(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower convex chain of points sorted by x."""
+    keep: list[int] = []
+    for i in range(len(x)):
+        while len(keep) > 1:
+            o, m = keep[-2], keep[-1]
+            if (y[m] - y[o]) * (x[i] - x[o]) >= (y[i] - y[o]) * (x[m] - x[o]):
+                keep.pop()
+            else:
+                break
+        keep.append(i)
+    return x[keep], y[keep]
+
+
+def _hommel_values(p: np.ndarray, n: int, hx: np.ndarray, hy: np.ndarray) -> np.ndarray:
+    """Adjusted values: the largest over m of min(m p, a(m)).
+
+    a(m) is the Simes p-value of the m largest p-values, that is m times the smallest
+    slope from (n - m, 0) to a later point (rank, p); that point lies on the lower hull
+    of all points. a falls and m p grows with m, so the best m is next to the crossing.
+    """
+    rise = np.diff(hy)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cut = np.where(rise > 0, hx[:-1] - hy[:-1] * np.diff(hx) / rise, -np.inf)
+    cut = np.append(np.maximum.accumulate(cut) if len(cut) else cut, np.inf)
+
+    def simes(m):
+        s = n - m
+        j = np.maximum(np.searchsorted(cut, s, side="left"), np.searchsorted(hx, s, side="right"))
+        j = np.minimum(j, len(hx) - 1)
+        return m * hy[j] / (hx[j] - s)
+
+    low, high = np.ones(len(p)), np.full(len(p), float(n))
+    while np.any(high - low > 1):
+        mid = np.floor((low + high) / 2)
+        above = mid * p >= simes(mid)
+        high, low = np.where(above, mid, high), np.where(above, low, mid)
+    best = np.maximum(np.minimum(low * p, simes(low)), np.minimum(high * p, simes(high)))
+    return np.maximum(best, p)
 
 
 def adjust_p(
@@ -80,7 +109,7 @@ def adjust_p(
     valid = df.filter(F.col(p).isNotNull() & ~F.isnan(p))
     small = fits(valid, keys, small)
     if method == "hommel":
-        return _join_back(df, _hommel_table(valid, keys, p, out), keys, p, out)
+        return _join_back(df, _hommel_table(valid, keys, p, out, small), keys, p, out)
     table = value_counts(valid, keys, p, small)
     if keys:
         table = table.join(table.groupBy(*keys).agg(F.max("cum").alias("m")), keys)
@@ -140,24 +169,48 @@ def _second_stage(table, keys, method, alpha):
     return table.withColumn("_raw", F.col("_raw") * share * factor)
 
 
-def _hommel_table(valid, keys, p, out):
-    """Hommel compares every pair of test counts; refuse tables where that cannot work."""
-    if not fits(valid, keys, None) or _too_many(valid, keys):
-        raise ValueError(f"hommel needs at most {HOMMEL_LIMIT} tests per group; use holm or fdr_bh")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in valid.select(*keys, p).schema)
-
-    def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(p)
-        pdf[out] = _hommel(pdf[p].to_numpy(dtype=float))
-        return pdf.drop_duplicates([*keys, p])
-
-    return valid.select(*keys, p).groupBy(*keys).applyInPandas(per_group, f"{schema}, `{out}` double")
-
-
-def _too_many(valid, keys):
-    from genemill.operators.distributed import largest_group
-
-    return largest_group(valid, keys) > HOMMEL_LIMIT
+def _hommel_table(valid, keys, p, out, small):
+    """Hommel's values from the lower hull of the points (rank, p).
+
+    Tasks reduce their points to hulls; the hull of those (size-checked) goes to every
+    task, which then handles its distinct p-values on its own.
+    """
+    table = reuse(value_counts(valid, keys, p, small).select(*keys, p, "cum"))
+    fields = {f.name: f.dataType.simpleString() for f in table.schema}
+    key_ddl = "".join(f"`{k}` {fields[k]}, " for k in keys)
+
+    def hulls(pdf: pd.DataFrame):
+        groups = pdf.groupby(keys, sort=False) if keys else [((), pdf)]
+        for key, g in groups:
+            g = g.sort_values("cum")
+            hx, hy = _lower_hull(g["cum"].to_numpy(float), g[p].to_numpy(float))
+            yield key if isinstance(key, tuple) else (key,), hx, hy
+
+    def local(batches):
+        for pdf in batches:
+            for key, hx, hy in hulls(pdf):
+                part = pd.DataFrame({"x": hx, "y": hy})
+                for name, value in zip(keys, key):
+                    part[name] = value
+                yield part[[*keys, "x", "y"]]
+
+    points = table.mapInPandas(local, f"{key_ddl}x double, y double").limit(HULL_LIMIT + 1).collect()
+    if len(points) > HULL_LIMIT:
+        raise ValueError(f"hommel: hull of more than {HULL_LIMIT} points; use holm or fdr_bh")
+    frame = pd.DataFrame([tuple(r) for r in points], columns=[*keys, "cum", p])
+    hull = {key: (hx, hy) for key, hx, hy in hulls(frame)}
+
+    def values(batches):
+        for pdf in batches:
+            groups = pdf.groupby(keys, sort=False) if keys else [((), pdf)]
+            for key, g in groups:
+                hx, hy = hull[key if isinstance(key, tuple) else (key,)]
+                g = g[[*keys, p]].copy()
+                # the last point of a group is its largest p, at rank n
+                g[out] = np.minimum(1.0, _hommel_values(g[p].to_numpy(float), int(hx[-1]), hx, hy))
+                yield g
+
+    return table.mapInPandas(values, f"{key_ddl}`{p}` double, `{out}` double")
 
 
 def _join_back(df, table, keys, p, out):

@@ -62,11 +62,29 @@ def test_adjusted_p_is_valid_and_same_on_both_plans(spark, method):
     assert a["p_adj"].between(0, 1).all()
     order = a.sort_values("p_value")["p_adj"].to_numpy()
     assert (np.diff(order) >= -1e-12).all()
-    if method not in ("hommel", "none"):
+    if method != "none":
         b = padjust.adjust_p(df, "p_value", method, small=False).toPandas().sort_values("gene")
         assert np.allclose(a["p_adj"], b["p_adj"])
 
 
+def test_hommel_hull_equals_the_quadratic_form():
+    rng = np.random.default_rng(6)
+    for n in (2, 3, 40, 300):
+        p = np.sort(rng.beta(0.5, 1.0, n).round(3))
+        ranks = np.arange(1, n + 1)
+        slow = np.full(n, (n * p / ranks).min())
+        for m in range(n - 1, 1, -1):
+            bound = (m * p[n - m + 1 :] / np.arange(2, m + 1)).min()
+            q = np.minimum(m * p, bound)
+            q[n - m + 1 :] = q[n - m]
+            slow = np.maximum(slow, q)
+        slow = np.maximum(slow, p)
+        u, last = np.unique(p, return_index=False), np.searchsorted(p, np.unique(p), side="right")
+        hx, hy = padjust._lower_hull(last.astype(float), u)
+        fast = padjust._hommel_values(u, n, hx, hy)
+        assert np.allclose(fast, slow[last - 1])
+
+
 def test_hommel_closed_testing(spark):
     from itertools import combinations
 
