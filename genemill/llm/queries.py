@@ -8,13 +8,48 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genemill.llm import bpe, decontaminate, lang_id
+from genemill.llm import bpe, chat, decontaminate, lang_id, quality
 from genemill.llm.common import held_out, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
 
+def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    order = quality.measured_order(docs)
+    ready = tuple(quality.FEATURES)
+    df = quality.with_features(docs, ready)
+    short, repeats = (r for r in quality.RULES if r.name in quality.BASE_RULES)
+    failed = quality.rejects(short, ready) | quality.rejects(repeats, ready)
+    df = quality.cascade(df.withColumn("base_failed", failed), ready=ready, order=order, reason=None)
+    return df.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op5_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    df = chat.format_conversations(rows.unionByName(extra))
+    loss = chat.masked_text(F.col("turns"))
+    return df.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(chat.turns_text(F.col("turns")).cast("binary"), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "exact",
+    )
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 4))
     model = lang_id.fit(docs.where("NOT held_out"))
@@ -40,7 +75,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_language_id, op9_decontamination, op10_byte_bpe)
+    f.__name__: f for f in (op4_quality_cascade, op5_chat_round_trip, op8_language_id, op9_decontamination, op10_byte_bpe)
 }
 ORACLE: dict[str, str] = {}
 
@@ -69,3 +104,44 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
+
+ORACLE["op4_quality_cascade"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
+    [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w,
+    [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM documents),
+win AS (SELECT doc_id, s, array_to_string(list_slice(w, s, s + 7), ' ') AS v
+    FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS s FROM d WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, v) AS n FROM win) WHERE n > 1),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(s, s + 7)) AS p FROM twice) GROUP BY doc_id),
+f AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines,
+    CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+    length(regexp_replace(t, '[^!?]+', '', 'g')) AS n_marks, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_capitals
+    FROM d LEFT JOIN r USING (doc_id)),
+v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT (base_failed OR 10 * n_symbols > n_words OR word_chars > 12 * n_words OR word_chars < 2 * n_words
+        OR 100 * n_dup_lines > 30 * n_lines OR 2 * n_marks > n_words OR 100 * n_capitals > 40 * word_chars) AS kept
+FROM v
+"""
+
+# A turn is escaped if it holds an escaped control string or the closing mark of its own role.
+ORACLE["op5_chat_round_trip"] = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, CASE role WHEN 'system' THEN '<<SYS>>' || chr(10) WHEN 'user' THEN '[INST] ' ELSE '<s>' END AS o,
+    CASE role WHEN 'system' THEN chr(10) || '<</SYS>>' WHEN 'user' THEN ' [/INST]' ELSE '</s>' END AS z FROM c),
+n AS (SELECT *, length(o) + length(z) + length(text) + CASE
+    WHEN contains(text, z) OR regexp_matches(text,
+        '(<|\[)\\+(<SYS>>|</SYS>>|INST\]|/INST\]|s>|/s>|<ROLE |</ROLE>>)')
+    THEN len(regexp_extract_all(text, '(<|\[)\\*(<SYS>>|</SYS>>|INST\]|/INST\]|s>|/s>|<ROLE |</ROLE>>)'))
+    ELSE 0 END AS chars FROM e),
+g AS (SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '') AS loss,
+    CAST(sum(chars) AS BIGINT) AS formatted_chars FROM n GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+    sha256(loss) AS loss_sha256, formatted_chars, true AS exact FROM g
+"""
