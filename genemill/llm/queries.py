@@ -8,13 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genemill.llm import bpe, chat, decontaminate, lang_id, quality
+from genemill.llm import bpe, chat, decontaminate, lang_id, pii, quality
 from genemill.llm.common import held_out, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.extract(table(spark, sf_dir, "documents"))
+    counts = [pii.count_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.as_text(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_found"),
+    )
+
+
 def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     order = quality.measured_order(docs)
@@ -75,7 +87,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_quality_cascade, op5_chat_round_trip, op8_language_id, op9_decontamination, op10_byte_bpe)
+    f.__name__: f for f in (op3_personal_data, op4_quality_cascade, op5_chat_round_trip, op8_language_id, op9_decontamination, op10_byte_bpe)
 }
 ORACLE: dict[str, str] = {}
 
