@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genemill.llm import bpe, chat, decontaminate, lang_id, pii, quality
+from genemill.llm import bpe, chat, decontaminate, lang_id, pii, quality, simhash
 from genemill.llm.common import held_out, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.extract(table(spark, sf_dir, "documents"))
     counts = [pii.count_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
@@ -87,7 +91,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_personal_data, op4_quality_cascade, op5_chat_round_trip, op8_language_id, op9_decontamination, op10_byte_bpe)
+    f.__name__: f for f in (op2_simhash, op3_personal_data, op4_quality_cascade, op5_chat_round_trip, op8_language_id, op9_decontamination, op10_byte_bpe)
 }
 ORACLE: dict[str, str] = {}
 
