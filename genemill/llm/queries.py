@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genemill.llm import bpe, chat, decontaminate, lang_id, pii, quality, simhash
+from genemill.llm import bpe, chat, decontaminate, lang_id, lm, pii, quality, simhash
 from genemill.llm.common import held_out, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -66,6 +66,13 @@ def op5_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~held_out(F.col("doc_id"), 7)).alias("train"))
+    return lm.score_documents(docs).select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 4))
     model = lang_id.fit(docs.where("NOT held_out"))
@@ -91,7 +98,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op3_personal_data, op4_quality_cascade, op5_chat_round_trip, op8_language_id, op9_decontamination, op10_byte_bpe)
+    f.__name__: f for f in (op2_simhash, op3_personal_data, op4_quality_cascade, op5_chat_round_trip, op6_ngram_trie, op8_language_id, op9_decontamination, op10_byte_bpe)
 }
 ORACLE: dict[str, str] = {}
 
