@@ -8,13 +8,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genemill.llm import bpe, chat, decontaminate, lang_id, lm, pii, quality, simhash
+from genemill.llm import bpe, chat, decontaminate, lang_id, lm, pii, quality, simhash, token_counts
 from genemill.llm.common import held_out, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after a cleaning step (long numbers marked, doubled lines dropped)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = token_counts.build_trees(docs, VOCABULARY, PATTERN).withColumn("n_before", F.col("n_tokens"))
+    edited = trees.withColumn("edits", token_counts.cleaning_edits(F.col("text")))
+    done = token_counts.apply_edits(edited, "edits", VOCABULARY, PATTERN)
+    return done.select(
+        "doc_id",
+        F.col("n_before").alias("n_tokens"),
+        F.size("edits").cast("long").alias("n_edits"),
+        F.col("n_tokens").alias("n_tokens_after"),
+        "n_encoded_again",
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"),
+    )
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -98,7 +114,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op3_personal_data, op4_quality_cascade, op5_chat_round_trip, op6_ngram_trie, op8_language_id, op9_decontamination, op10_byte_bpe)
+    f.__name__: f for f in (op1_token_counts, op2_simhash, op3_personal_data, op4_quality_cascade, op5_chat_round_trip, op6_ngram_trie, op8_language_id, op9_decontamination, op10_byte_bpe)
 }
 ORACLE: dict[str, str] = {}
 
