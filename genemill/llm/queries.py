@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genemill.llm import bpe, chat, decontaminate, lang_id, lm, pii, quality, simhash, token_counts
+from genemill.llm import bpe, chat, decontaminate, lang_id, lm, pii, quality, simhash, suffix_dedup, token_counts
 from genemill.llm.common import held_out, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -89,6 +89,11 @@ def op6_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 4))
     model = lang_id.fit(docs.where("NOT held_out"))
@@ -114,7 +119,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_simhash, op3_personal_data, op4_quality_cascade, op5_chat_round_trip, op6_ngram_trie, op8_language_id, op9_decontamination, op10_byte_bpe)
+    f.__name__: f for f in (op1_token_counts, op2_simhash, op3_personal_data, op4_quality_cascade, op5_chat_round_trip, op6_ngram_trie, op7_suffix_array, op8_language_id, op9_decontamination, op10_byte_bpe)
 }
 ORACLE: dict[str, str] = {}
 
