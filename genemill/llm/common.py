@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +31,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_table(df: DataFrame) -> DataFrame:
+    """Like `cut`, as a Parquet table: smaller than a checkpoint for wide tables of numbers."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def as_bytes(values: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string array; null is empty."""
     return [v or b"" for v in values.cast(pa.large_binary()).to_pylist()]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from genemill.llm.common import as_bytes, mix64
+from genemill.llm.common import as_bytes, cut_table, mix64
 from genemill.llm.sais import permuted_lcp, suffix_array
 
 LENGTH = 400
@@ -99,10 +99,6 @@ def _packed(first: np.ndarray, place: np.ndarray, last: np.ndarray) -> np.ndarra
     return (first << 24) | ((place - first) << 12) | (last - first)
 
 
-def first_start(packed):
-    return F.shiftright(packed, 24)
-
-
 _ANCHORS = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("row", pa.int64()), ("where", pa.int64())])
 
 
@@ -277,9 +273,11 @@ def _cut_out(texts: pa.Array, found: pa.Array) -> pa.Array:
             continue
         edges = np.zeros(len(text) + 1, np.int64)
         for x in own:
-            for first, last in np.frombuffer(x["runs"], "<u2").reshape(-1, 2).astype(np.int64):
-                edges[x["first"] + first] += 1
-                edges[x["first"] + last + LENGTH] -= 1
+            begin = x["where"] >> 24
+            runs = [(0, x["where"] & 0xFFF)] if x["runs"] is None else np.frombuffer(x["runs"], "<u2").reshape(-1, 2).tolist()
+            for first, last in runs:
+                edges[begin + first] += 1
+                edges[begin + last + LENGTH] -= 1
         gone = np.cumsum(edges)[:-1] > 0
         runs = int((np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1).sum())
         rows.append((int(gone.sum()), runs, np.frombuffer(text, np.uint8)[~gone].tobytes()))
@@ -312,43 +310,38 @@ def _take_parts(batches):
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that are left), a row for each row."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    texts = rows.select("row", "text")
-    anchors = texts.mapInArrow(_anchors, "anchor long, digest long, row long, where long")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
+    anchors = rows.mapInArrow(_anchors, "anchor long, digest long, row long, where long")
     # 2. anchors that occur again; the counts are added up before they are shuffled
     times = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    again = anchors.join(times, "anchor")
+    again = cut_table(anchors.join(times, "anchor"))
     same = again.groupBy("anchor", "digest").agg(
         F.count("*").alias("copies"), F.min(F.struct("row", "where")).alias("one")
     )
     kinds = same.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    same = same.join(kinds, "anchor")
+    same = cut_table(same.join(kinds, "anchor"))
     # 3. the stretches to compare, with their bytes from one occurrence each
     differing = same.where("kinds > 1").select("anchor", "digest", "copies", "one.row", "one.where")
     wanted = differing.groupBy("row").agg(F.collect_list(F.struct("anchor", "digest", "copies", "where")).alias("wanted"))
-    parts = texts.join(wanted, "row").mapInArrow(
+    # the same columns as below, so that texts are shuffled once
+    parts = rows.join(wanted, "row").select("row", "text", "wanted", "doc_id").mapInArrow(
         _take_parts, "anchor long, digest long, copies long, row long, where long, part binary"
     )
     parts = parts.repartition("anchor").sortWithinPartitions("anchor")
-    sorted_ = parts.mapInArrow(_sort_shard, FOUND_SQL)
-    found = sorted_.where("runs IS NOT NULL").select("anchor", "digest", "runs")
+    found = parts.mapInArrow(_sort_shard, FOUND_SQL)
     # starts of wide anchors: repeated if their string is at two places or in a stretch that occurs again
-    wide = sorted_.where("runs IS NULL")
+    wide = found.where("runs IS NULL")
     names = wide.groupBy("anchor", "name").agg(
         F.max("copies").alias("most"), F.min("place").alias("low"), F.max("place").alias("high")
     )
     names = names.where("most > 1 OR low <> high").select("anchor", "name")
     wide = wide.join(names, ["anchor", "name"]).groupBy("anchor", "digest").agg(F.collect_list("start").alias("starts"))
-    found = found.unionByName(wide.select("anchor", "digest", _runs_of(F.col("starts")).alias("runs")))
-    # 4. back to every occurrence; where all stretches of an anchor are equal, all starts are repeated
-    known = again.join(found, ["anchor", "digest"]).select("row", "where", "runs")
-    equal = again.join(same.where("kinds = 1").select("anchor"), "anchor", "left_semi")
-    whole = F.unhex(
-        F.concat(F.lit("0000"), F.lpad(F.hex((F.col("where").bitwiseAND(0xFF))), 2, "0"), F.lpad(F.hex(F.shiftright("where", 8).bitwiseAND(0xF)), 2, "0"))
-    )
-    known = known.unionByName(equal.select("row", "where", whole.alias("runs")))
-    own = known.groupBy("row").agg(F.collect_list(F.struct(first_start("where").alias("first"), "runs")).alias("found"))
+    wide = wide.select("anchor", "digest", _runs_of(F.col("starts")).alias("runs"))
+    # 4. back to every occurrence; where all stretches of an anchor are equal, all starts are repeated (no runs given)
+    verdicts = same.where("kinds = 1").select("anchor", "digest", F.lit(None).cast("binary").alias("runs"))
+    verdicts = verdicts.unionByName(found.where("runs IS NOT NULL").select("anchor", "digest", "runs")).unionByName(wide)
+    known = again.join(verdicts, ["anchor", "digest"])
+    own = known.groupBy("row").agg(F.collect_list(F.struct("where", "runs")).alias("found"))
     out = rows.join(own, "row", "left").withColumn("cut", _cut_out(F.col("text"), F.col("found")))
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
     return out.select("doc_id", n_bytes, "cut.n_removed", "cut.n_spans", "cut.kept")
-
