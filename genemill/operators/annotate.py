@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genemill.operators.distributed import top_per_key
 
 
 def map_gene_ids(expr: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -45,11 +44,9 @@ def annotate_genes(genes: DataFrame, annotations: DataFrame, databases: Sequence
     )
 
 
-def annotation_flags(genes: DataFrame, annotations: DataFrame, per_database: int = 5) -> DataFrame:
-    """Flags per gene from at most `per_database` best records of each database."""
-    a = annotations.join(genes.select("gene").distinct(), "gene", "left_semi")
-    kept = top_per_key(a, ["database", "gene"], "score", "record_id", per_database)
-    flags = kept.groupBy("gene").agg(
+def annotation_flags(genes: DataFrame, annotations: DataFrame) -> DataFrame:
+    """Flags per gene from all its records of all databases."""
+    flags = annotations.join(genes.select("gene").distinct(), "gene", "left_semi").groupBy("gene").agg(
         F.count(F.lit(1)).alias("n_records"),
         F.bool_or(F.col("database") == "cancer").alias("is_cancer_gene"),
         F.bool_or(F.col("significance").contains("Pathogenic")).alias("has_pathogenic"),
@@ -64,11 +61,9 @@ def annotation_flags(genes: DataFrame, annotations: DataFrame, per_database: int
     )
 
 
-def annotate_run(results: DataFrame, annotations: DataFrame, run_id: str, top: int = 20, per_database: int = 5) -> DataFrame:
+def annotate_run(results: DataFrame, annotations: DataFrame, run_id: str, top: int = 20) -> DataFrame:
     best = results.filter(F.col("run_id") == run_id).orderBy("p_value", "gene").limit(top)
-    return best.select("gene", "p_value").join(
-        annotation_flags(best, annotations, per_database), "gene", "left"
-    )
+    return best.select("gene", "p_value").join(annotation_flags(best, annotations), "gene", "left")
 
 
 def genes_with_flag(flags: DataFrame, flag: str) -> DataFrame:
@@ -125,10 +120,10 @@ def source_union(local: DataFrame, literature: DataFrame) -> DataFrame:
     return a.unionByName(literature.select("id", "title", F.lit("literature").alias("source_type")))
 
 
-def distinct_literature(rows: DataFrame, limit: int = 12) -> DataFrame:
-    """One row per publication id, the first few in id order."""
+def distinct_literature(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row per publication id; with a limit the first few in id order."""
     first = rows.groupBy("pmid").agg(F.min_by("title", "rank").alias("title"))
-    return first.orderBy("pmid").limit(limit)
+    return first if limit is None else first.orderBy("pmid").limit(limit)
 
 
 def evidence_card(flags: DataFrame) -> DataFrame:
@@ -169,7 +164,7 @@ def mention_check(cases: DataFrame, text: str = "text", genes: str = "genes") ->
     )
 
 
-def co_mentions(documents: DataFrame, genes: Sequence[str], text: str = "text", top: int = 500) -> DataFrame:
+def co_mentions(documents: DataFrame, genes: Sequence[str], text: str = "text", top: int | None = None) -> DataFrame:
     """Pairs of asked genes named in the same document, with the number of documents.
 
     Documents are matched in the JVM; each task multiplies its own 0/1 matrix and
@@ -192,15 +187,12 @@ def co_mentions(documents: DataFrame, genes: Sequence[str], text: str = "text",
 
     pairs = present.mapInPandas(multiply, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("weight"))
     names = F.array(*[F.lit(g) for g in asked])
-    return (
-        pairs.select(
-            F.element_at(names, F.col("a").cast("int") + 1).alias("source"),
-            F.element_at(names, F.col("b").cast("int") + 1).alias("target"),
-            "weight",
-        )
-        .orderBy(F.col("weight").desc(), "source", "target")
-        .limit(top)
+    out = pairs.select(
+        F.element_at(names, F.col("a").cast("int") + 1).alias("source"),
+        F.element_at(names, F.col("b").cast("int") + 1).alias("target"),
+        "weight",
     )
+    return out if top is None else out.orderBy(F.col("weight").desc(), "source", "target").limit(top)
 
 
 def column_correlations(wide: DataFrame, columns: Sequence[str], minimum: float = 0.0) -> DataFrame:

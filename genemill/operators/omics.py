@@ -61,11 +61,14 @@ def normalize_layer(layers: DataFrame, method: str = "quantile") -> DataFrame:
     raise ValueError(f"unknown layer normalization {method}")
 
 
+def layer_names(layers: DataFrame) -> list[str]:
+    """All layers by name; layers are kinds of measurement, so the list is short whatever the rows are."""
+    return sorted(r[0] for r in layers.select("layer").distinct().collect() if r[0] is not None)
+
+
 def layer_correlations(layers: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of each pair of layers over their shared (feature, sample) cells."""
-    names = list(names) if names else [
-        r[0] for r in layers.select("layer").distinct().orderBy("layer").limit(100).collect()
-    ]
+    names = list(names) if names else layer_names(layers)
     wide = layers.groupBy("gene_id", "sample_id").pivot("layer", names).agg(F.first("value"))
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     both = lambda a, b: F.count_if(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull())
@@ -105,7 +108,7 @@ def pca_integration(layers: DataFrame, k: int = 50) -> DataFrame:
     """Components of each layer as features of the integrated table."""
     from genemill.operators.pca import pca
 
-    names = [r[0] for r in layers.select("layer").distinct().orderBy("layer").limit(100).collect()]
+    names = layer_names(layers)
     out = None
     for name in names:
         s = pca(layers.filter(F.col("layer") == name), k).scores.select(

@@ -91,8 +91,7 @@ def pca(expr: DataFrame, k: int = 10, gram_limit: int = GRAM_LIMIT) -> Component
         values, vectors = np.linalg.eigh(_gram(z, idx, n))
         values, vectors = values[::-1][:k], _fix_signs(vectors[:, ::-1][:, :k])
         values = np.clip(values, 0.0, None)
-        table = pd.DataFrame({"sample_id": order, "vec": list(vectors)})
-        unit = spark.createDataFrame(table, "sample_id string, vec array<double>")
+        unit = spark.createDataFrame(list(zip(order, vectors.tolist())), "sample_id string, vec array<double>")
     else:
         values, unit = _subspace(z, names, k)
     scale = np.sqrt(values)
@@ -103,14 +102,7 @@ def pca(expr: DataFrame, k: int = 10, gram_limit: int = GRAM_LIMIT) -> Component
     load = _project(z, unit, "sample_id", "gene_id", k)
     load = load.select("gene_id", F.array(*[F.col("vec")[j] * inverse[j] for j in range(k)]).alias("vec"))
     ratio = values / total if total else np.zeros(k)
-    var = pd.DataFrame(
-        {
-            "component": np.arange(1, k + 1),
-            "explained_variance": values / max(1, n - 1),
-            "ratio": ratio,
-            "cumulative_ratio": np.cumsum(ratio),
-        }
-    )
+    var = list(zip(range(1, k + 1), (values / max(1, n - 1)).tolist(), ratio.tolist(), np.cumsum(ratio).tolist()))
     return Components(
         _long(scaled, "sample_id", "vec", "score"),
         _long(load, "gene_id", "vec", "loading"),

@@ -25,15 +25,11 @@ def page_info(df: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
     )
 
 
-def biomarkers_of_run(results: DataFrame, run_id: str, p_max: float = 0.05, skip: int = 0, limit: int = 100) -> DataFrame:
+def biomarkers_of_run(results: DataFrame, run_id: str, p_max: float = 0.05, skip: int = 0, limit: int | None = None) -> DataFrame:
     """Rows of one run up to a p-value, best first, with the fold change."""
     hit = results.filter((F.col("run_id") == run_id) & (F.col("p_value") <= p_max))
-    return (
-        hit.withColumn("fold_change", F.pow(F.lit(2.0), F.col("log2fc")))
-        .orderBy("p_value", "gene")
-        .offset(skip)
-        .limit(limit)
-    )
+    out = hit.withColumn("fold_change", F.pow(F.lit(2.0), F.col("log2fc"))).orderBy("p_value", "gene").offset(skip)
+    return out if limit is None else out.limit(limit)
 
 
 def search(
@@ -59,9 +55,10 @@ def search(
     return results.filter(keep)
 
 
-def list_runs(runs: DataFrame, status: str | None = None, limit: int = 50) -> DataFrame:
+def list_runs(runs: DataFrame, status: str | None = None, limit: int | None = None) -> DataFrame:
     out = runs if status is None else runs.filter(F.col("status") == status)
-    return out.orderBy(F.col("created_at").desc(), "run_id").limit(limit)
+    out = out.orderBy(F.col("created_at").desc(), "run_id")
+    return out if limit is None else out.limit(limit)
 
 
 def owned_rows(df: DataFrame, tenant, user=None, is_admin: bool = False, tenant_col="tenant", user_col="owner") -> DataFrame:
@@ -142,19 +139,19 @@ def latest(rows: DataFrame, keys: Sequence[str], time: str, tie: str) -> DataFra
 
 
 def merge_evidence(
-    stat: DataFrame, ml: DataFrame, scores: DataFrame | None = None, fallback_top: int = 50
+    stat: DataFrame, ml: DataFrame, scores: DataFrame | None = None, fallback_top: int | None = None
 ) -> DataFrame:
     """Union of statistically significant genes and consensus genes, scored and ranked.
 
     `stat` holds (method, gene, significant) for every tested method, `ml`
     (gene, consensus_score). final = 0.6 * share of methods + 0.4 * consensus. With
-    no significant gene the best `fallback_top` of `scores` are taken instead when
-    there is no consensus gene either, or more than that many.
+    `fallback_top` (off by default) and no significant gene, the best that many of
+    `scores` are taken instead when there is no consensus gene either, or more.
     """
     total = stat.agg(F.count_distinct("method").alias("m")).scalar()
     hits = stat.filter("significant").groupBy("gene").agg(F.count_distinct("method").alias("n_methods"))
     n_ml = ml.count()
-    if scores is not None and hits.isEmpty() and (n_ml == 0 or n_ml > fallback_top):
+    if fallback_top and scores is not None and hits.isEmpty() and (n_ml == 0 or n_ml > fallback_top):
         ml = scores.orderBy(F.col("consensus_score").desc(), "gene").limit(fallback_top)
     j = hits.join(ml.select("gene", "consensus_score"), "gene", "full")
     share = F.coalesce(F.col("n_methods") / total, F.lit(0.0))

@@ -280,14 +280,17 @@ def sequential(data, names, n: int, direction: str = "forward", folds: int = 3,
 
 
 def poisson_weight(key, seed) -> F.Column:
-    """Bootstrap count of a row: Poisson(1) from a hash of its key and the replicate."""
-    u = F.pmod(F.xxhash64(key, seed), F.lit(1 << 40)) / float(1 << 40)
+    """Bootstrap count of a row: Poisson(1) from a hash of its key and the replicate.
+
+    The inverse distribution goes to 18, beyond which lies less than the hash can tell (2^-53).
+    """
+    u = F.pmod(F.xxhash64(key, seed), F.lit(1 << 53)) / float(1 << 53)
     out, term, total = None, 0.36787944117144233, 0.0
-    for k in range(8):
+    for k in range(18):
         total += term
         out = F.when(u < total, float(k)) if out is None else out.when(u < total, float(k))
         term /= k + 1
-    return out.otherwise(8.0)
+    return out.otherwise(18.0)
 
 
 def stability_selection(

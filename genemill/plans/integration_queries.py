@@ -138,14 +138,16 @@ def membership(t):
 
 @query(
     "pathway_library_names",
-    """SELECT r_name, CASE r_name WHEN 'ASIA' THEN 'KEGG_2021_Human' WHEN 'AFRICA' THEN 'Reactome_2022' ELSE r_name END AS library FROM region""",
+    """SELECT n_nationkey, CASE n_nationkey % 8 WHEN 0 THEN 'KEGG_2021_Human' WHEN 1 THEN 'Reactome_2022' WHEN 2 THEN 'GO_Biological_Process_2021'
+    WHEN 3 THEN 'GO_Molecular_Function_2021' WHEN 4 THEN 'GO_Cellular_Component_2021' WHEN 5 THEN 'MSigDB_Hallmark_2020' WHEN 6 THEN 'MSigDB_Curated_2020'
+    ELSE n_name END AS library FROM nation""",
 )
 def libraries(t):
     from genemill.functions.columns import lookup
 
-    alias = F.when(F.col("r_name") == "ASIA", "KEGG").when(F.col("r_name") == "AFRICA", "REACTOME").otherwise("")
-    d = t.region.select("r_name", alias.alias("a"))
-    return d.select("r_name", F.coalesce(F.nullif(lookup("a", PW.LIBRARIES, ""), F.lit("")), "r_name").alias("library"))
+    names = F.array(*map(F.lit, ("KEGG", "REACTOME", "GO_BP", "GO_MF", "GO_CC", "HALLMARK", "CURATED")))
+    d = t.nation.select("n_nationkey", F.coalesce(F.get(names, (F.col("n_nationkey") % 8).cast("int")), "n_name").alias("a"))
+    return d.select("n_nationkey", F.coalesce(lookup("a", PW.LIBRARIES, None), "a").alias("library"))
 
 
 # ---- networks ----------------------------------------------------------------------------------

@@ -511,7 +511,7 @@ def _vectors(t):
     return t.embeddings.select(
         F.concat(F.lit("V"), F.col("vec_id").cast("string")).alias("sample_id"),
         F.when(F.col("label") < 5, 1.0).otherwise(0.0).alias("label"),
-        array_to_vector(F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 16)).alias("features"),
+        array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"),
     ).persist()
 
 

@@ -469,15 +469,15 @@ def annotation(t):
 
 
 _FLAGS = f"""{_ANN}, g AS (SELECT DISTINCT gene FROM results),
-    a AS (SELECT *, row_number() OVER (PARTITION BY database, gene ORDER BY score DESC, record_id) AS rn FROM ann WHERE gene IN (SELECT gene FROM g)),
+    a AS (SELECT * FROM ann WHERE gene IN (SELECT gene FROM g)),
     fl AS (SELECT gene, count(*) AS n, bool_or(database = 'cancer') AS c, bool_or(contains(significance, 'Pathogenic')) AS p, bool_or(database = 'drug') AS d,
-        min(level) AS level FROM a WHERE rn <= 2 GROUP BY 1),
+        min(level) AS level FROM a GROUP BY 1),
     ff AS (SELECT gene, coalesce(n, 0) AS n_records, coalesce(c, false) AS is_cancer_gene, coalesce(p, false) AS has_pathogenic,
         coalesce(d, false) AS has_therapeutic, level FROM g LEFT JOIN fl USING (gene))"""
 
 
 def _flags(t):
-    return A.annotation_flags(t.results(), _annotations(t), 2)
+    return A.annotation_flags(t.results(), _annotations(t))
 
 
 @query("join_annotation_flags", with_views("results", f"WITH {_FLAGS} SELECT * FROM ff"))
@@ -511,7 +511,7 @@ def gene_lists(t):
     ),
 )
 def run_annotation(t):
-    return A.annotate_run(t.results(), _annotations(t), "run_small", 20, per_database=2)
+    return A.annotate_run(t.results(), _annotations(t), "run_small", 20)
 
 
 @query(
@@ -561,12 +561,12 @@ def source_union(t):
 @query(
     "clinical_literature_dedup",
     """SELECT l_partkey AS pmid, arg_min(l_shipdate, l_orderkey * 10 + l_linenumber) AS title FROM
-    (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_orderkey, l_linenumber ORDER BY l_shipdate) = 1) GROUP BY 1 ORDER BY 1 LIMIT 12""",
+    (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_orderkey, l_linenumber ORDER BY l_shipdate) = 1) GROUP BY 1""",
 )
 def literature(t):
     first = t.lineitem.groupBy("l_partkey", "l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("title"))
     rows = first.select(F.col("l_partkey").alias("pmid"), "title", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rank"))
-    return A.distinct_literature(rows, 12)
+    return A.distinct_literature(rows)
 
 
 _WORDS = ["the", "and", "of", "to", "in", "re", "on", "er", "th", "la", "le", "une"]
@@ -575,8 +575,7 @@ _WORDS = ["the", "and", "of", "to", "in", "re", "on", "er", "th", "la", "le", "u
 @query(
     "join_text_co_mentions",
     f"""WITH g AS (SELECT upper(unnest({_WORDS!r})) AS g), h AS (SELECT doc_id, g FROM documents, g WHERE contains(upper(text), g))
-    SELECT a.g AS source, b.g AS target, count(*) AS weight FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.g < b.g GROUP BY 1, 2
-    ORDER BY 3 DESC, 1, 2 LIMIT 500""",
+    SELECT a.g AS source, b.g AS target, count(*) AS weight FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.g < b.g GROUP BY 1, 2""",
 )
 def co_mentions(t):
     return A.co_mentions(t.documents, _WORDS)
@@ -829,11 +828,16 @@ def strings(t):
 
 @query(
     "scalar_title_assay_type",
-    """SELECT doc_id, CASE WHEN contains(lower(text), 'methylation') THEN 'methylation' WHEN contains(lower(text), 'chip') THEN 'chip_seq' WHEN contains(lower(text), 'atac') THEN 'atac_seq'
-    WHEN contains(lower(text), 'mirna') THEN 'mirna' WHEN contains(lower(text), 'lncrna') THEN 'lncrna' WHEN contains(lower(text), 'rna') THEN 'rna_seq' ELSE 'expression' END AS assay FROM documents""",
+    """SELECT doc_id, CASE WHEN regexp_matches(t, 'methylation') THEN 'methylation' WHEN regexp_matches(t, 'chip-?seq') THEN 'chip_seq' WHEN regexp_matches(t, 'atac-?seq') THEN 'atac_seq'
+    WHEN regexp_matches(t, 'rna-?seq') THEN 'rna_seq' WHEN regexp_matches(t, 'mirna|microrna') THEN 'mirna' WHEN contains(t, 'lncrna') THEN 'lncrna' ELSE 'expression' END AS assay
+    FROM (SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN 'ChIP-seq of ' WHEN 1 THEN 'microchip ' WHEN 2 THEN 'miRNA-seq ' WHEN 3 THEN 'MicroRNA ' WHEN 4 THEN 'scATACseq '
+        WHEN 5 THEN 'lncRNA ' WHEN 6 THEN 'RNAseq ' WHEN 7 THEN 'DNA methylation ' WHEN 8 THEN 'ATAC-seq ' WHEN 9 THEN 'chipseq ' WHEN 10 THEN 'mirna ' ELSE '' END || lower(text) AS u,
+        lower(u) AS t FROM documents)""",
 )
 def assay(t):
-    return t.documents.select("doc_id", C.assay_type("text").alias("assay"))
+    words = ("ChIP-seq of ", "microchip ", "miRNA-seq ", "MicroRNA ", "scATACseq ", "lncRNA ", "RNAseq ", "DNA methylation ", "ATAC-seq ", "chipseq ", "mirna ", "")
+    title = F.concat(F.element_at(F.array(*map(F.lit, words)), (F.col("doc_id") % 12 + 1).cast("int")), "text")
+    return t.documents.select("doc_id", C.assay_type(title).alias("assay"))
 
 
 @query(

@@ -177,7 +177,7 @@ def label_by_sample_name(long: DataFrame) -> DataFrame:
     return s.select("sample_id", kind.alias("label"))
 
 
-def file_registry(spark: SparkSession, folder: str, registry: DataFrame | None = None, data_type: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+def file_registry(spark: SparkSession, folder: str, registry: DataFrame | None = None, data_type: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
     """Files with size and time (content is not read), joined with their registered type."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(
         F.element_at(F.split("path", "/"), -1).alias("file_id"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")
@@ -185,7 +185,8 @@ def file_registry(spark: SparkSession, folder: str, registry: DataFrame | None =
     out = files if registry is None else files.join(registry, "file_id", "left")
     if data_type is not None:
         out = out.filter(F.col("data_type") == data_type)
-    return out.orderBy("file_id").offset(offset).limit(limit)
+    out = out.orderBy("file_id").offset(offset)
+    return out if limit is None else out.limit(limit)
 
 
 def fingerprint(expr: DataFrame) -> DataFrame:

@@ -90,8 +90,9 @@ def history(metrics: DataFrame, until, hours: int = 24) -> DataFrame:
     return metrics.filter((F.col("ts") >= start) & (F.col("ts") <= end)).orderBy("ts", "event_id")
 
 
-def active_alerts(alert_rows: DataFrame, limit: int = 100) -> DataFrame:
-    return alert_rows.filter(~F.col("resolved")).orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(limit)
+def active_alerts(alert_rows: DataFrame, limit: int | None = None) -> DataFrame:
+    out = alert_rows.filter(~F.col("resolved")).orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    return out if limit is None else out.limit(limit)
 
 
 def run_progress(events: DataFrame) -> DataFrame:
