@@ -99,12 +99,14 @@ def last_rounds(rounds: DataFrame, n: int = 10) -> DataFrame:
 def score_linear(features: DataFrame, weights: DataFrame) -> DataFrame:
     """Predictions of a linear model given as long weights (pos 0 is the intercept).
 
-    `features` holds id, y, x ARRAY<DOUBLE>; the dot product is a join on position.
+    `features` holds id, y, x ARRAY<DOUBLE>. The weights become one array, as wide as the model, and each row
+    multiplies it with its own: nothing is joined or shuffled.
     """
-    long = features.select("id", "y", F.posexplode("x").alias("p", "v")).withColumn("pos", F.col("p") + 1)
-    base = weights.filter("pos = 0").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("b")).scalar()
-    dot = long.join(weights.filter("pos > 0").select("pos", "weight"), "pos").groupBy("id", "y").agg(
-        F.sum(F.col("v") * F.col("weight")).alias("_z")
-    )
-    z = F.col("_z") + base
+    by_pos = weights.groupBy("pos").agg(F.sum("weight").alias("w"))
+    pairs = F.map_from_entries(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "w")))
+    row = by_pos.agg(pairs.alias("m"), F.max("pos").alias("pos"))
+    row = row.select(F.transform(F.sequence(F.lit(0), F.coalesce(F.col("pos").cast("int"), F.lit(0))), lambda p: F.try_element_at("m", p)).alias("w"))
+    terms = F.zip_with(F.concat(F.array(F.lit(1.0)), "x"), "_w", lambda v, c: F.coalesce(v * c, F.lit(0.0)))
+    z = F.col("_z")
+    dot = features.withColumn("_w", row.scalar()).select("id", "y", F.aggregate(terms, F.lit(0.0), lambda a, t: a + t).alias("_z"))
     return dot.select("id", "y", F.when(z >= 0, 1).otherwise(0).alias("yhat"), (1 / (1 + F.exp(-z))).alias("score"))

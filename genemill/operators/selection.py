@@ -151,8 +151,9 @@ def feature_matrix(
     if len(names) > MAX_MODEL_FEATURES:
         raise ValueError(f"select at most {MAX_MODEL_FEATURES} features before fitting a model")
     spark = expr.sparkSession
-    index = spark.createDataFrame(list(enumerate(names)), "i int, gene_id string")
-    cells = expr.join(index, "gene_id").groupBy("sample_id").agg(
+    table = spark.createDataFrame(list(enumerate(names)), "i int, gene_id string")  # size checked above
+    # cells of other genes go before anything is shuffled
+    cells = expr.join(F.broadcast(table), "gene_id").groupBy("sample_id").agg(
         F.map_from_entries(F.collect_list(F.struct("i", "value"))).alias("m")
     )
     dense = F.transform(

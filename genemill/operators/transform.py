@@ -62,41 +62,54 @@ def _power_value(lam: Column, kind: str) -> Column:
 
 
 def power_lambdas(expr: DataFrame, kind: str = "yeo-johnson", key: str = "gene_id") -> DataFrame:
-    """Maximum-likelihood lambda per gene, by a grid on [-2, 2] refined four times.
+    """Maximum-likelihood lambda per gene, to 1/4096.
 
-    Each pass tries nine candidates around the best one so far. A cell is expanded
-    to its candidates inside the map task and combined there, so only nine rows per
-    gene and task are shuffled.
+    A grid of whole numbers from -16 to 16 comes first; as long as some gene's best is at an end, the grid moves there.
+    Six passes of nine candidates then refine it. Every pass is one aggregation with a column for each candidate, so a
+    gene and task send one row.
     """
     size, sign = _power_terms(kind)
     rows = expr.filter(F.col("value").isNotNull())
     data = reuse(rows.select(key, size.alias("_L"), sign.alias("_s")))
-    best, step = None, 0.5
-    for _ in range(4):
-        offsets = F.array(*[F.lit(i * step) for i in range(-4, 5)])
-        cand = data.withColumn("lambda", F.lit(0.0)) if best is None else data.join(best, key)
-        tried = cand.select(key, "_L", "_s", "lambda", F.posexplode(offsets).alias("_i", "_o"))
-        g = (
-            tried.withColumn("_lam", F.col("lambda") + F.col("_o"))
-            .groupBy(key, "_i", "_lam")
-            .agg(
-                F.count("_L").alias("_n"),
-                F.sum(F.col("_s") * F.col("_L")).alias("_j"),
-                F.var_pop(_power_value(F.col("_lam"), kind)).alias("_v"),
-            )
-        )
-        ll = F.when(F.col("_v") > 0, -F.col("_n") / 2 * F.log("_v") + (F.col("_lam") - 1) * F.col("_j"))
-        best = (
-            g.withColumn("_ll", ll)
-            .groupBy(key)
-            .agg(
-                F.max_by("_lam", F.struct("_ll", (-F.col("_i")).alias("f"))).alias("_best"),
-                F.count("_ll").alias("_ok"),
-            )
-            .select(key, F.when(F.col("_ok") > 0, F.col("_best")).otherwise(F.lit(1.0)).alias("lambda"))
-        )
+    best = _best_of(data.withColumn("lambda", F.lit(0.0)), kind, key, 1.0, 16)
+    while True:
+        best = reuse(best)
+        far = best.filter("_edge").select(key, "lambda")
+        if far.isEmpty():
+            break
+        moved = _best_of(data.join(far, key), kind, key, 1.0, 16)
+        best = best.filter("NOT _edge").unionByName(moved.withColumn("_edge", F.col("_edge") & (F.abs("lambda") < MAX_LAMBDA)))
+    step = 0.25
+    for _ in range(6):
+        best = _best_of(data.join(best.select(key, "lambda"), key), kind, key, step, 4)
         step /= 4
-    return best
+    return best.select(key, "lambda")
+
+
+MAX_LAMBDA = 512.0  # the power of a double is out of range before this; a likelihood that still rises has no maximum
+
+
+def _best_of(data: DataFrame, kind: str, key: str, step: float, reach: int) -> DataFrame:
+    """The best of the candidates around each gene's `lambda` (ties: the smallest), and whether it is at an end."""
+    offsets = range(-reach, reach + 1)
+    spread = [F.var_pop(_power_value(F.col("lambda") + i * step, kind)).alias(f"_v{i}") for i in offsets]
+    g = data.groupBy(key, "lambda").agg(
+        F.count("_L").alias("_n"), F.sum(F.col("_s") * F.col("_L")).alias("_j"), *spread
+    )
+
+    def likelihood(i: int) -> Column:
+        v, lam = F.col(f"_v{i}"), F.col("lambda") + i * step
+        ok = (v > 0) & (v < float("inf"))
+        return F.when(ok, -F.col("_n") / 2 * F.log(v) + (lam - 1) * F.col("_j"))
+
+    tried = [F.struct(likelihood(i).alias("ll"), F.lit(-i).alias("f"), (F.col("lambda") + i * step).alias("lam")) for i in offsets]
+    top = F.array_max(F.filter(F.array(*tried), lambda x: x["ll"].isNotNull()))
+    g = g.withColumn("_top", top)
+    return g.select(
+        key,
+        F.coalesce("_top.lam", F.lit(1.0)).alias("_lam"),
+        F.coalesce(F.abs("_top.f") == reach, F.lit(False)).alias("_edge"),
+    ).withColumnRenamed("_lam", "lambda")
 
 
 def power_transform(expr: DataFrame, kind: str = "yeo-johnson", standardize: bool = True) -> DataFrame:

@@ -317,19 +317,20 @@ def t_quantile_normal(t):
 _YJ = "CASE WHEN abs({l}) < 1e-12 THEN ln(1 + value) ELSE (pow(value + 1, {l}) - 1) / ({l}) END"
 
 
-def _lambda_sql():
-    passes, step, prev = [], 0.5, None
-    for k in range(4):
-        src = "expr" if prev is None else f"expr JOIN {prev} USING (gene_id)"
+def _lambda_sql(view="expr", formula=_YJ, log="ln(1 + value)"):
+    passes, step, prev = [], 1.0, None
+    for k in range(7):
+        reach = 4 if k else 16
+        src = view if prev is None else f"{view} JOIN {prev} USING (gene_id)"
         centre = "0.0::DOUBLE" if prev is None else "lam"
         passes.append(
-            f"""c{k} AS (SELECT gene_id, value, i, {centre} + i * {step}::DOUBLE AS l FROM {src}, range(-4, 5) o(i)),
-            l{k} AS (SELECT gene_id, i, l, var_pop({_YJ.format(l='l')}) AS v, count(*) AS n, sum(ln(1 + value)) AS j FROM c{k} GROUP BY 1, 2, 3),
+            f"""c{k} AS (SELECT gene_id, value, i, {centre} + i * {step}::DOUBLE AS l FROM {src}, range({-reach}, {reach + 1}) o(i)),
+            l{k} AS (SELECT gene_id, i, l, var_pop({formula.format(l='l')}) AS v, count(*) AS n, sum({log}) AS j FROM c{k} GROUP BY 1, 2, 3),
             b{k} AS (SELECT gene_id, l AS lam FROM (SELECT *, row_number() OVER (PARTITION BY gene_id
-                ORDER BY -n / 2.0 * ln(v) + (l - 1) * j DESC, i) AS rn FROM l{k}) WHERE rn = 1)"""
+                ORDER BY CASE WHEN v > 0 AND v < 1e300 THEN -n / 2.0 * ln(v) + (l - 1) * j END DESC NULLS LAST, i) AS rn FROM l{k}) WHERE rn = 1)"""
         )
         prev = f"b{k}"
-        step /= 4
+        step = step / 4
     return ", ".join(passes), prev
 
 
@@ -359,7 +360,21 @@ def yj(t):
     return rounded(T.transform(t.expr(), "yeo_johnson"))
 
 
-@query("transform_box_cox")
+_BC = "CASE WHEN abs({l}) < 1e-12 THEN ln(value) ELSE (pow(value, {l}) - 1) / ({l}) END"
+_BC_PASSES, _BC_LAST = _lambda_sql("counts", _BC, "ln(value)")
+
+
+@query(
+    "transform_box_cox",
+    _matrix_sql(
+        "counts",
+        _BC_PASSES
+        + f""", y AS (SELECT gene_id, sample_id, {_BC.format(l='lam')} AS y FROM counts JOIN {_BC_LAST} USING (gene_id)),
+        s AS (SELECT gene_id, avg(y) AS m, stddev_pop(y) AS s FROM y GROUP BY 1)""",
+        "(y - m) / s",
+        "y JOIN s USING (gene_id)",
+    ),
+)
 def box_cox(t):
     return rounded(T.power_transform(t.counts(), "box-cox"))
 
