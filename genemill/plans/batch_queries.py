@@ -170,6 +170,25 @@ def pca_variance(t):
     return rounded(P.pca(t.expr(), 10).variance)
 
 
+@query(
+    "pca_gram_from_scores",
+    with_views(
+        "expr",
+        """WITH s AS (SELECT gene_id, avg(value) AS m, stddev_pop(value) AS sd FROM expr GROUP BY 1),
+        z AS (SELECT gene_id, sample_id, (value - m) / sd AS z FROM expr JOIN s USING (gene_id) WHERE sd > 0)
+        SELECT a.sample_id AS sample_1, b.sample_id AS sample_2, round(sum(a.z * b.z), 4) + 0.0 AS product
+        FROM z a JOIN z b ON a.gene_id = b.gene_id AND a.sample_id <= b.sample_id GROUP BY 1, 2""",
+    ),
+)
+def pca_gram(t):
+    """Scores of all components give back the inner products of the samples."""
+    s = P.pca(t.expr(), t.samples().count()).scores
+    a = s.select("component", F.col("sample_id").alias("sample_1"), F.col("score").alias("a"))
+    b = s.select("component", F.col("sample_id").alias("sample_2"), F.col("score").alias("b"))
+    both = a.join(b, "component").where("sample_1 <= sample_2").groupBy("sample_1", "sample_2")
+    return both.agg((F.round(F.sum(F.col("a") * F.col("b")), 4) + 0.0).alias("product"))
+
+
 @query("pca_scores")
 def pca_scores(t):
     return rounded(P.pca(t.expr(), 5).scores, 5)
