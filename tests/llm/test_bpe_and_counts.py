@@ -6,7 +6,6 @@ import public_tokenizers
 import pytest
 import tiktoken
 from helpers import clashing, documents, empty, multiset, texts
-from pyspark.sql import functions as F
 
 from genemill.llm import bpe, token_counts
 
@@ -103,7 +102,6 @@ def test_edits_of_documents(spark, reference):
     assert token_counts.build_trees(empty(spark), VOCABULARY, PATTERN).count() == 0
 
 
-def test_cleaning_edits_are_in_code_points(spark):
-    df = spark.createDataFrame([("é 12345 x\nsame\nsame\nend",)], "text string")
-    edits = df.select(token_counts.cleaning_edits(F.col("text")).alias("e")).first().e
-    assert [(e.start, e.length, e.insert) for e in edits] == [(2, 5, "[n]"), (14, 5, "")]
+def test_cleaning_edits_are_in_code_points():
+    edits = token_counts.number_edits("é 12345 x\nsame\nsame\nend")
+    assert [(e["start"], e["length"], e["insert"]) for e in edits] == [(2, 5, "[n]"), (14, 5, "")]
