@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from genemill.session import ensure_checkpoint_dir
 
@@ -49,14 +50,37 @@ def as_texts(values: pa.Array) -> list[str]:
     return [v or "" for v in values.to_pylist()]
 
 
-def arrow_column(fn: Callable[[list], list], kind: pa.DataType, sql: str, read=as_texts):
-    """An Arrow UDF of one string or binary column from a function over the list of a batch."""
+SLICE = 256  # rows whose Python values a task holds at a time; a record batch can have ten thousand
 
-    @F.arrow_udf(sql)
-    def column(values: pa.Array) -> pa.Array:
-        return pa.array(fn(read(values)), type=kind)
 
-    return column
+def sliced(fn: Callable[..., pa.Array], *arrays: pa.Array) -> pa.Array:
+    """`fn` over a few rows of the arrays at a time."""
+    n = len(arrays[0])
+    parts = [fn(*[a.slice(i, SLICE) for a in arrays]) for i in range(0, max(n, 1), SLICE)]
+    return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
+
+
+def add_by_slices(
+    df: DataFrame, inputs: list[str], fields: list[T.StructField], fn: Callable[..., list[pa.Array]]
+) -> DataFrame:
+    """Add (or replace) columns: `fn` makes their arrays from the input arrays, a few rows at a time.
+
+    What it makes leaves the task at once, so columns larger than their input do not gather there.
+    """
+    names = [f.name for f in fields]
+    kept = [c for c in df.columns if c not in names]
+    columns = kept + [c for c in inputs if c not in kept]
+    places = [columns.index(c) for c in inputs]
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                new = fn(*[part.column(k) for k in places])
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(kept))] + new, names=kept + names)
+
+    schema = T.StructType([*[df.schema[c] for c in kept], *fields])
+    return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
 
 
 def rows_out(schema: pa.Schema, rows: Iterator[tuple], size: int = 20_000) -> Iterator[pa.RecordBatch]:

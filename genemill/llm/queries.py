@@ -18,13 +18,11 @@ PATTERN = public_tokenizers.PATTERN
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document before and after a cleaning step (long numbers marked, doubled lines dropped)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    trees = token_counts.build_trees(docs, VOCABULARY, PATTERN).withColumn("n_before", F.col("n_tokens"))
-    edited = trees.withColumn("edits", token_counts.cleaning_edits(F.col("text")))
-    done = token_counts.apply_edits(edited, "edits", VOCABULARY, PATTERN)
+    done = token_counts.edit_documents(docs, token_counts.number_edits, VOCABULARY, PATTERN)
     return done.select(
         "doc_id",
         F.col("n_before").alias("n_tokens"),
-        F.size("edits").cast("long").alias("n_edits"),
+        "n_edits",
         F.col("n_tokens").alias("n_tokens_after"),
         "n_encoded_again",
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"),

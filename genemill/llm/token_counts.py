@@ -14,6 +14,8 @@ columns pass through. Nothing is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -23,18 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from genemill.llm.bpe import read_ranks
-from genemill.llm.common import as_texts
+from genemill.llm.common import add_by_slices, as_texts
 
 LEAF = 64
-CACHED_PARTS, CACHED_LENGTH = 300_000, 48
+CACHED_PARTS, CACHED_LENGTH = 200_000, 48
 CONTEXT = 2  # characters before an edit that must lie in the part that is cut again
 
-EDITS = T.ArrayType(
-    T.StructType(
-        [T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("insert", T.StringType())]
-    )
-)
-
 
 class Counter:
     """Pre-tokens and their token counts, in one task."""
@@ -218,44 +214,61 @@ def _counter(spark: SparkSession, vocabulary: str, pattern: str):
     return get
 
 
+_LONG, _BINARY, _STRING = T.LongType(), T.BinaryType(), T.StringType()
+
+
 def build_trees(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: str = "tree") -> DataFrame:
     """Add the segment tree of each text (binary) and its number of tokens (`n_tokens`)."""
     get = _counter(docs.sparkSession, vocabulary, pattern)
 
-    @F.arrow_udf("struct<tree: binary, n_tokens: bigint>")
-    def column(texts: pa.Array) -> pa.Array:
+    def built(texts: pa.Array) -> list[pa.Array]:
         trees = [build(t, get()) for t in as_texts(texts)]
-        return pa.StructArray.from_arrays(
-            [pa.array([t.tobytes() for t in trees], pa.binary()), pa.array([t.tokens for t in trees], pa.int64())],
-            ["tree", "n_tokens"],
-        )
+        return [pa.array([t.tobytes() for t in trees], pa.binary()), pa.array([t.tokens for t in trees], pa.int64())]
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (out, "n_tokens", "__tree")]
-    built = docs.withColumn("__tree", column(F.col(text)))
-    return built.select(*kept, F.col("__tree.tree").alias(out), F.col("__tree.n_tokens").alias("n_tokens"))
+    return add_by_slices(docs, [text], [T.StructField(out, _BINARY), T.StructField("n_tokens", _LONG)], built)
 
 
 def apply_edits(trees: DataFrame, edits: str, vocabulary: str, pattern: str, text: str = "text", tree: str = "tree") -> DataFrame:
     """Apply the edits of each row: text, tree and n_tokens become those of the edited text; `n_encoded_again` is added."""
     get = _counter(trees.sparkSession, vocabulary, pattern)
 
-    @F.arrow_udf("struct<text: string, tree: binary, n_tokens: bigint, again: bigint>")
-    def column(texts: pa.Array, built: pa.Array, changes: pa.Array) -> pa.Array:
+    def edited(texts: pa.Array, built: pa.Array, counts: pa.Array, changes: pa.Array) -> list[pa.Array]:
         rows = []
-        for t, b, e in zip(as_texts(texts), built.to_pylist(), changes.to_pylist()):
+        for t, b, n, e in zip(texts.to_pylist(), built.to_pylist(), counts.to_pylist(), changes.to_pylist()):
             if e:
                 own = SegmentTree.frombytes(b)
-                t, again = edit(t, own, e, get())
+                t, again = edit(t or "", own, e, get())
                 rows.append((t, own.tobytes(), own.tokens, again))
             else:
-                rows.append((None, None, None, 0))
-        kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64())
-        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-        return pa.StructArray.from_arrays(columns, ["text", "tree", "n_tokens", "again"])
+                rows.append((t, b, n, 0))
+        return [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.binary(), pa.int64(), pa.int64()))]
+
+    fields = [(text, _STRING), (tree, _BINARY), ("n_tokens", _LONG), ("n_encoded_again", _LONG)]
+    return add_by_slices(trees, [text, tree, "n_tokens", edits], [T.StructField(*f) for f in fields], edited)
+
 
-    df = trees.withColumn("__new", column(F.col(text), F.col(tree), F.col(edits)))
-    new = {c: F.coalesce(F.col(f"__new.{n}"), F.col(c)) for c, n in ((text, "text"), (tree, "tree"), ("n_tokens", "n_tokens"))}
-    return df.withColumns(new | {"n_encoded_again": F.col("__new.again")}).drop("__new")
+def edit_documents(
+    docs: DataFrame, edits_of: Callable[[str], list[dict]], vocabulary: str, pattern: str, text: str = "text"
+) -> DataFrame:
+    """Trees and edits in one pass, for edits that follow from the text itself.
+
+    text, `tree` and `n_tokens` are those of the edited text; `n_before`, `n_edits` and `n_encoded_again` are added.
+    """
+    get = _counter(docs.sparkSession, vocabulary, pattern)
+
+    def edited(texts: pa.Array) -> list[pa.Array]:
+        rows = []
+        for t in texts.to_pylist():
+            own, changes = build(t or "", get()), edits_of(t or "")
+            before, again = own.tokens, 0
+            if changes:
+                t, again = edit(t or "", own, changes, get())
+            rows.append((t, own.tobytes(), own.tokens, before, len(changes), again))
+        kinds = (pa.string(), pa.binary(), *[pa.int64()] * 4)
+        return [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+
+    fields = [(text, _STRING), ("tree", _BINARY), *[(n, _LONG) for n in ("n_tokens", "n_before", "n_edits", "n_encoded_again")]]
+    return add_by_slices(docs, [text], [T.StructField(*f) for f in fields], edited)
 
 
 def with_edits(docs: DataFrame, edits: DataFrame, doc_id: str = "doc_id", out: str = "edits") -> DataFrame:
@@ -281,9 +294,3 @@ def number_edits(text: str) -> list[dict]:
         at, last = at + len(line) + 1, line
     return out
 
-
-@F.arrow_udf(EDITS)
-def cleaning_edits(texts: pa.Array) -> pa.Array:
-    """The edits of a plain cleaning step, for each text."""
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("insert", pa.string())]))
-    return pa.array([number_edits(t) for t in as_texts(texts)], kind)
