@@ -97,10 +97,67 @@ def mutual_information_scores(
     )
 
 
+def _digamma(n) -> F.Column:
+    """Digamma of whole numbers from 1 on, by its series from n + 6."""
+    x = n.cast("double") + 6
+    series = F.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+    return series - sum((1 / (n + i) for i in range(6)), F.lit(0.0))
+
+
+def neighbour_information_scores(expr: DataFrame, samples: DataFrame, label: str, neighbours: int = 3) -> DataFrame:
+    """Mutual information of the value and the class from distances to nearest neighbours (Ross 2014).
+
+    For each sample: the distance to its k-th neighbour of the same class, and the number of samples of any class
+    nearer than that (itself included; equal values if the distance is 0). Neighbours of a value in sorted order are
+    the rows next to it, and numbers within a distance are differences of running counts, so every step is a sort
+    within a gene. Samples alone in their class are left out.
+    """
+    d = stats.labelled(expr, samples, label)
+    own = Window.partitionBy("gene_id", "grp")
+    d = d.withColumn("n_c", F.count(F.lit(1)).over(own)).filter("n_c > 1")
+    d = d.withColumn("k", F.least(F.lit(neighbours).cast("long"), F.col("n_c") - 1))
+    by_value = own.orderBy("value", "sample_id")
+    left = [F.lit(0.0)] + [F.col("value") - F.lag("value", j).over(by_value) for j in range(1, neighbours + 1)]
+    right = [F.lit(0.0)] + [F.lead("value", j).over(by_value) - F.col("value") for j in range(1, neighbours + 1)]
+    d = d.select("*", F.array(*left).alias("_l"), F.array(*right).alias("_r"))
+
+    def at(k: int):
+        # j neighbours on the left and k - j on the right, where there are so many
+        pairs = [
+            F.when(F.col("_l")[j].isNotNull() & F.col("_r")[k - j].isNotNull(), F.greatest(F.col("_l")[j], F.col("_r")[k - j]))
+            for j in range(k + 1)
+        ]
+        return F.array_min(F.array(*pairs))
+
+    radius = None
+    for k in range(1, neighbours + 1):
+        radius = F.when(F.col("k") == k, at(k)) if radius is None else radius.when(F.col("k") == k, at(k))
+    d = d.withColumn("_d", radius)
+    tied = F.col("_d") == 0
+    # points (kind 1) between the bounds that do not count equal values (0 above, 2 below), or do if they are tied
+    events = d.select(
+        "gene_id", "sample_id", "k", "n_c",
+        F.explode(
+            F.array(
+                F.struct(F.col("value").alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("side")),
+                F.struct((F.col("value") + F.col("_d")).alias("at"), F.when(tied, 2).otherwise(0).alias("kind"), F.lit(1).alias("side")),
+                F.struct((F.col("value") - F.col("_d")).alias("at"), F.when(tied, 0).otherwise(2).alias("kind"), F.lit(-1).alias("side")),
+            )
+        ).alias("e"),
+    ).select("gene_id", "sample_id", "k", "n_c", "e.*")
+    order = Window.partitionBy("gene_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = events.withColumn("_c", F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).over(order)).filter("side <> 0")
+    near = counted.groupBy("gene_id", "sample_id", "k", "n_c").agg(F.sum(F.col("_c") * F.col("side")).alias("m"))
+    mean = lambda c: F.avg(_digamma(F.col(c)))
+    score = _digamma(F.count(F.lit(1))) + mean("k") - mean("n_c") - mean("m")
+    return near.groupBy(F.col("gene_id").alias("feature")).agg(F.greatest(F.lit(0.0), score).alias("score"))
+
+
 FILTERS: dict[str, Callable] = {
     "variance": variance_scores,
     "f_test": f_scores,
     "mutual_info": mutual_information_scores,
+    "mutual_info_knn": neighbour_information_scores,
     "correlation": correlation_scores,
     "anova": f_scores,
     "chi2": chi2_scores,

@@ -27,6 +27,16 @@ _MI = """SELECT gene_id AS feature, greatest(0, sum(nxy / n * ln(nxy * n / (nx *
         sum(nxy) OVER (PARTITION BY gene_id) AS n FROM
         (SELECT gene_id, tier, CASE WHEN hi > lo THEN least(9, floor((value - lo) / (hi - lo) * 10)) ELSE 0 END AS bin, count(*)::DOUBLE AS nxy
             FROM d JOIN (SELECT gene_id, min(value) AS lo, max(value) AS hi FROM d GROUP BY 1) USING (gene_id) GROUP BY 1, 2, 3)) GROUP BY 1"""
+_PSI = "(-0.5772156649015329 + coalesce(list_sum([1.0 / i FOR i IN range(1, CAST({n} AS BIGINT))]), 0))"
+_KNN = f"""SELECT feature, greatest(0, {_PSI.format(n='n')} + pk - pc - pm) AS score FROM
+    (SELECT gene_id AS feature, count(*) AS n, avg({_PSI.format(n='k')}) AS pk, avg({_PSI.format(n='c')}) AS pc, avg({_PSI.format(n='m')}) AS pm
+    FROM (SELECT r.gene_id, r.sample_id, any_value(r.k) AS k, any_value(r.c) AS c,
+        count(*) FILTER (abs(o.value - r.value) < r.dist OR (r.dist = 0 AND o.value = r.value)) AS m
+        FROM (SELECT *, least(3, c - 1) AS k, near[CAST(least(3, c - 1) AS BIGINT)] AS dist FROM (SELECT a.gene_id, a.sample_id, a.value, a.c, list_sort(list(abs(a.value - b.value))) AS near
+            FROM (SELECT *, count(*) OVER (PARTITION BY gene_id, tier) AS c FROM d) a
+            JOIN d b ON a.gene_id = b.gene_id AND a.tier = b.tier AND a.sample_id <> b.sample_id GROUP BY ALL)) r
+        JOIN (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY gene_id, tier) AS c FROM d) WHERE c > 1) o ON o.gene_id = r.gene_id
+        GROUP BY 1, 2) GROUP BY 1)"""
 _CHI = """SELECT gene_id AS feature, sum(pow(o - e, 2) / e) AS score FROM
     (SELECT gene_id, coalesce(o, 0) AS o, share * t AS e FROM (SELECT gene_id, sum(value) AS t FROM d GROUP BY 1)
         CROSS JOIN (SELECT tier, count(DISTINCT sample_id) / (SELECT count(DISTINCT sample_id) FROM d)::DOUBLE AS share FROM d GROUP BY 1) s
@@ -52,6 +62,7 @@ _register("f_test", S.f_scores, _F)
 _register("anova", S.FILTERS["anova"], _F)
 _register("correlation", S.correlation_scores, _COR)
 _register("mutual_info", S.mutual_information_scores, _MI)
+_register("mutual_info_knn", S.neighbour_information_scores, _KNN)
 _register("chi2", S.chi2_scores, _CHI)
 
 _ALL = f"""{_D}, al AS (SELECT 'variance' AS method, * FROM ({_VAR}) UNION ALL SELECT 'f_test', * FROM ({_F})

@@ -287,6 +287,61 @@ def volcano(t):
     return rounded(v.withColumn("neg_log10_p", F.round("neg_log10_p", 5)))
 
 
+# Bodies of the other tests, unrounded, for their volcano rows.
+_WILCOXON_BODY = f"""{_RANKED.format(g='label')},
+    s AS (SELECT gene_id, count(*) FILTER (grp = 0) AS n1, count(*) FILTER (grp = 1) AS n2,
+        CAST(sum(rank) FILTER (grp = 0) AS DOUBLE) AS r1, quantile_cont(value, 0.5) FILTER (grp = 0) AS median1,
+        quantile_cont(value, 0.5) FILTER (grp = 1) AS median2 FROM rk GROUP BY 1),
+    u AS (SELECT *, r1 - n1 * (n1 + 1) / 2.0 AS statistic FROM s JOIN ties USING (gene_id)),
+    z AS (SELECT *, (greatest(statistic, n1 * n2 - statistic) - n1 * n2 / 2.0 - 0.5)
+        / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - tie / ((n1 + n2) * (n1 + n2 - 1.0)))) AS z FROM u),
+    tt AS (SELECT *, CASE WHEN z > 0 THEN {sql_normal_two_sided('z')} ELSE 1.0 END AS p_value FROM z)"""
+_ANOVA_BODY = f"""d AS (SELECT gene_id, tier, value FROM expr JOIN samples USING (sample_id)),
+    g AS (SELECT gene_id, tier, count(*) AS n, avg(value) AS mean, var_samp(value) AS v FROM d GROUP BY 1, 2),
+    gm AS (SELECT gene_id, avg(value) AS gmean FROM d GROUP BY 1),
+    s AS (SELECT gene_id, CAST(sum(n) AS BIGINT) AS n_total, sum((n - 1) * v) AS ss_within,
+        sum(n * pow(mean - gmean, 2)) AS ss_between FROM g JOIN gm USING (gene_id) GROUP BY 1),
+    f AS (SELECT *, (ss_between / 2) / (ss_within / (n_total - 3)) AS statistic FROM s),
+    tt AS (SELECT *, {sql_f_sf_df1_2('statistic', '(n_total - 3)')} AS p_value,
+        ss_between / (ss_between + ss_within) AS effect_size FROM f)"""
+_KRUSKAL_BODY = f"""{_RANKED.format(g='tier')},
+    g AS (SELECT gene_id, grp, count(*) AS n, CAST(sum(rank) AS DOUBLE) AS r FROM rk GROUP BY 1, 2),
+    s AS (SELECT gene_id, count(*) AS k, CAST(sum(n) AS DOUBLE) AS n, sum(r * r / n) AS q FROM g GROUP BY 1),
+    h AS (SELECT gene_id, k, n, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - tie / (n * n * n - n)) AS h
+        FROM s JOIN ties USING (gene_id)),
+    tt AS (SELECT gene_id, {sql_chi2_even('h', 2)} AS p_value, greatest(0, (h - k + 1) / (n - k)) AS effect_size FROM h)"""
+_CORRELATION_BODY = f"""c AS (SELECT gene_id, count(*) AS n, corr(value, age) AS r FROM expr JOIN samples USING (sample_id) GROUP BY 1),
+    tt AS (SELECT *, {sql_t_two_sided('(r * sqrt((n - 2) / (1 - r * r)))', '(n - 2)')} AS p_value FROM c)"""
+_REGRESSION_BODY = f"""g AS (SELECT gene_id, count(*) AS n, regr_slope(age, value) AS slope, regr_r2(age, value) AS r2
+        FROM expr JOIN samples USING (sample_id) GROUP BY 1),
+    f AS (SELECT *, r2 / (1 - r2) * (n - 2) AS f FROM g),
+    tt AS (SELECT *, {sql_t_two_sided('sqrt(f)', '(n - 2)')} AS p_value FROM f)"""
+
+
+def _register_volcano(kind, label, body, x, rule):
+    sql = with_views(
+        "expr samples",
+        f"""WITH {body}, a AS {_BH.format(t='tt')}, v AS (SELECT *, {x} AS x FROM a)
+        SELECT gene_id, round(x, 6) AS x, round(-log10(p_adj + 1e-10), 5) AS neg_log10_p,
+        coalesce(p_adj < 0.9 AND {rule}, false) AS significant FROM v""",
+    )
+
+    @query(f"stats_volcano_{kind}", sql)
+    def run(t):
+        res = stats.differential_expression(t.expr(), t.samples(), label, kind)
+        v = stats.volcano_rows(res, kind, p_threshold=0.9)
+        return rounded(v.withColumn("neg_log10_p", F.round("neg_log10_p", 5)))
+
+
+_register_volcano(
+    "wilcoxon", "label", _WILCOXON_BODY, "sign(median1 - median2) * log2(abs(median1 - median2) + 1)", "abs(x) >= log2(1.5)"
+)
+_register_volcano("anova", "tier", _ANOVA_BODY, "effect_size", "x >= 0.1")
+_register_volcano("kruskal", "tier", _KRUSKAL_BODY, "effect_size", "x >= 0.1")
+_register_volcano("correlation", "age", _CORRELATION_BODY, "r", "abs(x) >= 0.3")
+_register_volcano("regression", "age", _REGRESSION_BODY, "coalesce(slope, 0.0)", "true")
+
+
 @query(
     "stats_rank_features",
     with_views(
