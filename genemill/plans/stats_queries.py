@@ -158,7 +158,7 @@ def mann_whitney(t):
         s AS (SELECT gene_id, count(*) AS k, CAST(sum(n) AS BIGINT) AS n_total, sum((n - 1) * v) AS ss_within,
             sum(n * pow(mean - gmean, 2)) AS ss_between FROM g JOIN gm USING (gene_id) GROUP BY 1),
         f AS (SELECT *, (ss_between / 2) / (ss_within / (n_total - 3)) AS statistic FROM s)
-        SELECT gene_id, k, n_total, round(ss_within, 4) AS ss_within, round(ss_between, 4) AS ss_between,
+        SELECT gene_id, k, n_total, round(ss_within, 3) AS ss_within, round(ss_between, 3) AS ss_between,
         round(statistic, 6) AS statistic, round({sql_f_sf_df1_2('statistic', '(n_total - 3)')}, 6) AS p_value,
         round(ss_between / (ss_between + ss_within), 6) AS effect_size FROM f""",
     ),
@@ -166,8 +166,8 @@ def mann_whitney(t):
 def anova(t):
     res = stats.anova(t.expr(), t.samples(), "tier")
     return rounded(
-        res.withColumn("ss_within", F.round("ss_within", 4)).withColumn(
-            "ss_between", F.round("ss_between", 4)
+        res.withColumn("ss_within", F.round("ss_within", 3)).withColumn(
+            "ss_between", F.round("ss_between", 3)
         )
     )
 
