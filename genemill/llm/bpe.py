@@ -20,10 +20,11 @@ import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from genemill.llm.common import MAX_BROADCAST_BYTES, arrow_column, as_bytes, as_texts
+from genemill.llm.common import MAX_BROADCAST_BYTES, add_by_slices, as_bytes, as_texts
 
-CACHED_PARTS, CACHED_LENGTH = 300_000, 48  # of the memory of one task; longer parts are encoded each time
+CACHED_PARTS, CACHED_LENGTH = 200_000, 48  # of the memory of one task; longer parts are encoded each time
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -113,8 +114,8 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def codec(spark: SparkSession, vocabulary: str, pattern: str):
-    """(encode, decode, both): column functions text -> ids (binary), ids -> bytes, and text -> both, for a rank file."""
+def _shared(spark: SparkSession, vocabulary: str, pattern: str):
+    """A function that gives a task its codec."""
     tokens = read_ranks(vocabulary)
     model = model_bytes(tokens)
     if len(model) > MAX_BROADCAST_BYTES:
@@ -127,29 +128,27 @@ def codec(spark: SparkSession, vocabulary: str, pattern: str):
             made.append(Codec(*shared.value))
         return made[0]
 
-    encode = arrow_column(lambda texts: [get().encode(t) for t in texts], pa.binary(), "binary", as_texts)
-    decode = arrow_column(lambda ids: [get().decode(i) for i in ids], pa.binary(), "binary", as_bytes)
-
-    @F.arrow_udf("struct<ids: binary, decoded: binary>")
-    def both(texts: pa.Array) -> pa.Array:
-        # one call, as two that hang together would encode every text twice
-        ids = [get().encode(t) for t in as_texts(texts)]
-        back = [get().decode(i) for i in ids]
-        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(back, pa.binary())], ["ids", "decoded"])
-
-    return encode, decode, both
+    return get
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Add the ids of a text column (binary, four bytes an id)."""
-    encode, _, _ = codec(docs.sparkSession, vocabulary, pattern)
-    return docs.withColumn(out, encode(F.col(text)))
+    get = _shared(docs.sparkSession, vocabulary, pattern)
+
+    def encode(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array([get().encode(t) for t in as_texts(texts)], pa.binary())]
+
+    return add_by_slices(docs, [text], [T.StructField(out, T.BinaryType())], encode)
 
 
 def decode_documents(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the bytes that ids stand for."""
-    _, decode, _ = codec(df.sparkSession, vocabulary, pattern)
-    return df.withColumn(out, decode(F.col(ids)))
+    get = _shared(df.sparkSession, vocabulary, pattern)
+
+    def decode(values: pa.Array) -> list[pa.Array]:
+        return [pa.array([get().decode(i) for i in as_bytes(values)], pa.binary())]
+
+    return add_by_slices(df, [ids], [T.StructField(out, T.BinaryType())], decode)
 
 
 def n_ids(ids: Column) -> Column:
@@ -157,6 +156,12 @@ def n_ids(ids: Column) -> Column:
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id, ids and decoded bytes of every text."""
-    _, _, both = codec(docs.sparkSession, vocabulary, pattern)
-    return docs.select("doc_id", both(F.col("text")).alias("coded")).select("doc_id", "coded.ids", "coded.decoded")
+    """doc_id, ids and decoded bytes of every text, in one pass."""
+    get = _shared(docs.sparkSession, vocabulary, pattern)
+
+    def both(texts: pa.Array) -> list[pa.Array]:
+        ids = [get().encode(t) for t in as_texts(texts)]
+        return [pa.array(ids, pa.binary()), pa.array([get().decode(i) for i in ids], pa.binary())]
+
+    fields = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]
+    return add_by_slices(docs.select("doc_id", "text"), ["text"], fields, both).select("doc_id", "ids", "decoded")

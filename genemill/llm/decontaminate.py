@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genemill.llm.common import as_bytes, cut
+from genemill.llm.common import as_bytes, cut, sliced
 
 WINDOW = 13
 BLOCK_WINDOWS = 200_000  # of a window's words some 100 bytes each: 20 to 60 MB at most in a task
@@ -113,9 +113,12 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: i
             bits = np.packbits(hit).tobytes() if hit.any() else b""
             return {"n_words": len(w), "n_hit": int(hit.sum()), "bits": bits, "items": sorted(found)}
 
+        def few(values: pa.Array, before: pa.Array) -> pa.Array:
+            return pa.array([one(t, b) for t, b in zip(as_bytes(values), before.to_pylist())], type=kind)
+
         @F.arrow_udf("struct<n_words: bigint, n_hit: bigint, bits: binary, items: array<string>>")
         def column(values: pa.Array, before: pa.Array) -> pa.Array:
-            return pa.array([one(t, b) for t, b in zip(as_bytes(values), before.to_pylist())], type=kind)
+            return sliced(few, values, before)
 
         return column
 

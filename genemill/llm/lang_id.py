@@ -18,6 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from genemill.llm.common import SLICE, add_by_slices
 
 BUCKETS = 1 << 16
 MATRIX_CELLS = 1 << 22  # 16 MB of 32-bit floats; with more languages there are fewer buckets
@@ -50,11 +53,13 @@ def _counts(docs: DataFrame, langs: list[str], buckets: int) -> DataFrame:
         sums = np.zeros((len(langs), buckets), np.int64)
         texts = np.zeros(len(langs), np.int64)
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                i = index[lang]
-                texts[i] += 1
-                for ids in ngram_buckets(text, buckets):
-                    sums[i] += np.bincount(ids, minlength=buckets)
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    i = index[lang]
+                    texts[i] += 1
+                    for ids in ngram_buckets(text, buckets):
+                        sums[i] += np.bincount(ids, minlength=buckets)
         lang, bucket = np.nonzero(sums)
         lang, bucket, n = (
             np.concatenate(x)
@@ -104,13 +109,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
     """Add the predicted language and its posterior."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<lang: string, score: double>")
-    def column(values: pa.Array) -> pa.Array:
+    def predicted(values: pa.Array) -> list[pa.Array]:
         out = [shared.value.predict(t) for t in values.to_pylist()]
-        return pa.StructArray.from_arrays(
-            [pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], ["lang", "score"]
-        )
+        return [pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())]
 
-    kept = [c for c in docs.columns if c not in (pred, score, "__lid")]
-    out = docs.withColumn("__lid", column(F.col(text)))
-    return out.select(*[F.col(f"`{c}`") for c in kept], F.col("__lid.lang").alias(pred), F.col("__lid.score").alias(score))
+    fields = [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]
+    return add_by_slices(docs, [text], fields, predicted)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from genemill.llm.common import as_texts, cut
+from genemill.llm.common import as_texts, cut, sliced
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -164,8 +164,7 @@ _SCANNED = T.StructType(
 )
 
 
-@F.arrow_udf(_SCANNED)
-def scan(texts: pa.Array) -> pa.Array:
+def _scan(texts: pa.Array) -> pa.Array:
     spans, found = [], []
     for text in as_texts(texts):
         own = base_spans(text)
@@ -176,6 +175,11 @@ def scan(texts: pa.Array) -> pa.Array:
     )
 
 
+@F.arrow_udf(_SCANNED)
+def scan(texts: pa.Array) -> pa.Array:
+    return sliced(_scan, texts)
+
+
 def scan_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, row (a number of the row), spans (base) and instances; written once, without the texts."""
     out = docs.select(F.col(doc_id).alias("doc_id"), scan(F.col(text)).alias("s"))
@@ -254,6 +258,10 @@ def extract(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds:
 
 @F.arrow_udf(T.StringType())
 def _masked(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    return sliced(_mask, texts, spans)
+
+
+def _mask(texts: pa.Array, spans: pa.Array) -> pa.Array:
     out = []
     for text, own in zip(texts.to_pylist(), spans.to_pylist()):
         if text is None or not own:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from genemill.llm.common import as_bytes, cut
+from genemill.llm.common import as_bytes, cut, sliced
 from genemill.llm.components import components
 
 DISTANCE = 3
@@ -58,7 +58,7 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
 @F.arrow_udf(T.LongType())
 def fingerprints(texts: pa.Array) -> pa.Array:
     """Fingerprints as signed 64-bit numbers."""
-    return pa.array(np.array([fingerprint(t) for t in as_bytes(texts)], U).view(np.int64))
+    return sliced(lambda few: pa.array(np.array([fingerprint(t) for t in as_bytes(few)], U).view(np.int64)), texts)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
