@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from genemill.llm.common import as_bytes, cut_table, mix64
+from genemill.llm.common import as_bytes, cut_table, mix64, sliced
 from genemill.llm.sais import permuted_lcp, suffix_array
 
 LENGTH = 400
@@ -266,6 +266,10 @@ def _runs_of(starts: pa.Array) -> pa.Array:
 )
 def _cut_out(texts: pa.Array, found: pa.Array) -> pa.Array:
     """Number of removed bytes and of removed runs, and the bytes that are left."""
+    return sliced(_cut_few, texts, found)
+
+
+def _cut_few(texts: pa.Array, found: pa.Array) -> pa.Array:
     rows = []
     for text, own in zip(as_bytes(texts), found.to_pylist()):
         if not own:
@@ -328,7 +332,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         _take_parts, "anchor long, digest long, copies long, row long, where long, part binary"
     )
     parts = parts.repartition("anchor").sortWithinPartitions("anchor")
-    found = parts.mapInArrow(_sort_shard, FOUND_SQL)
+    found = cut_table(parts.mapInArrow(_sort_shard, FOUND_SQL))  # read by three branches below
     # starts of wide anchors: repeated if their string is at two places or in a stretch that occurs again
     wide = found.where("runs IS NULL")
     names = wide.groupBy("anchor", "name").agg(
