@@ -13,8 +13,8 @@ strings have equal anchors, and strings that share an anchor are compared in one
    byte-exactly through the rolling digest of their whole string.
 4. Repeated starts go back to their documents, which cut out what they cover.
 
-An anchor with more different stretches than a task should hold (`WIDE_BYTES`) is not sorted: its strings are compared
-by digest in a grouped count, which needs no memory for the group. Matches never cross documents; repeated rows are
+An anchor with more than `WIDE_KINDS` different stretches is not gathered in a shard: its strings are compared by digest
+in a grouped count, which is added up before it is shuffled. Matches never cross documents; repeated rows are
 different documents. Null and empty texts have no bytes, and texts shorter than `LENGTH` nothing to remove. Long texts
 are processed in pieces. Digests have 64 bits.
 """
@@ -35,7 +35,7 @@ ANCHOR = 192
 BLOCK = 16
 PIECE = 1 << 17  # starts of a text at a time
 CHUNK_BYTES = 2 << 20  # of stretches sorted together, whole anchors at a time
-WIDE_BYTES = 32 << 20  # of the stretches of one anchor
+WIDE_KINDS = 1 << 14  # stretches of one anchor that a shard sorts: about 10 MB
 U = np.uint64
 _SPAN = LENGTH - ANCHOR + 1  # pieces of a string
 _LOW = U((1 << 18) - 1)
@@ -183,70 +183,56 @@ def _runs(mask: np.ndarray) -> bytes:
     return np.stack([edges[::2], edges[1::2] - 1], 1).astype("<u2").tobytes()
 
 
-_FOUND = pa.schema(
-    [("anchor", pa.int64()), ("digest", pa.int64()), ("runs", pa.binary()), ("name", pa.int64()), ("start", pa.int32()),
-     ("copies", pa.int64()), ("place", pa.int64())]
-)
-FOUND_SQL = "anchor long, digest long, runs binary, name long, start int, copies long, place long"
+def _origin(row: int, where: int) -> int:
+    """A number that tells where the first start of a stretch is."""
+    return ((row * 0x2545F4914F6CDD1D) + (where >> 24)) % (1 << 64)
 
 
-def _sort_shard(batches):
-    """Stretches sorted by anchor -> runs of repeated starts of each; of wide anchors a row for each start instead."""
-    held: list[tuple] = []
-    size = 0
-    wide = None
+_FOUND = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("runs", pa.binary())])
 
-    def origin(row: int, where: int) -> int:
-        return ((row * 0x2545F4914F6CDD1D) + (where >> 24)) % (1 << 64)
 
-    def out(rows):
-        if rows:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FOUND)], schema=_FOUND)
-        return None
+def _sort_shard(batches):
+    """Stretches sorted by anchor -> runs of repeated starts of each, whole anchors at a time."""
 
-    def done():
+    def done(held: list[tuple]):
         anchor, digest, copies, row, where, parts = zip(*held)
         where = np.array(where)
         starts = (where & 0xFFF) + 1
-        mask = repeated_starts(
-            list(parts), where >> 12 & 0xFFF, starts, np.array(copies), np.array([origin(r, w) for r, w in zip(row, where.tolist())], U)
-        )
+        origin = np.array([_origin(r, w) for r, w in zip(row, where.tolist())], U)
+        mask = repeated_starts(list(parts), where >> 12 & 0xFFF, starts, np.array(copies), origin)
         pieces = np.split(mask, np.cumsum(starts)[:-1])
-        return out([(a, d, _runs(m), None, None, None, None) for a, d, m in zip(anchor, digest, pieces) if m.any()])
-
-    def spread(rows):
-        for a, d, copies, row, where, part in rows:
-            n = (where & 0xFFF) + 1
-            s = np.arange(n)
-            names = Digests(np.frombuffer(part, np.uint8)).of(s, s + LENGTH).view(np.int64)
-            places = mix64(U(origin(row, where)) + s.astype(U)).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, a)), pa.array(np.full(n, d)), pa.nulls(n, pa.binary()), pa.array(names),
-                 pa.array(s.astype(np.int32)), pa.array(np.full(n, copies)), pa.array(places)], schema=_FOUND,
-            )
+        rows = [(a, d, _runs(m)) for a, d, m in zip(anchor, digest, pieces) if m.any()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FOUND)], schema=_FOUND)
 
-    group = 0
+    held: list[tuple] = []
+    size = 0
     for batch in batches:
         for x in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            if wide is not None and x[0] == wide:
-                yield from spread([x])
-                continue
-            new = not held or x[0] != held[-1][0]
-            if new and size >= CHUNK_BYTES:
-                if (found := done()) is not None:
-                    yield found
+            if held and size >= CHUNK_BYTES and x[0] != held[-1][0]:
+                yield from done(held)
                 held, size = [], 0
-            group = len(x[5]) + (0 if new else group)
             held.append(x)
             size += len(x[5])
-            if group > WIDE_BYTES:
-                wide = x[0]
-                mine = [h for h in held if h[0] == wide]
-                held = [h for h in held if h[0] != wide]
-                size = sum(len(h[5]) for h in held)
-                yield from spread(mine)
-    if held and (found := done()) is not None:
-        yield found
+    if held:
+        yield from done(held)
+
+
+_NAMED = pa.schema(
+    [("anchor", pa.int64()), ("digest", pa.int64()), ("name", pa.int64()), ("start", pa.int32()), ("copies", pa.int64()), ("place", pa.int64())]
+)
+
+
+def _name_starts(batches):
+    """Stretches -> a row for each start: the digest of its string, and where it is."""
+    for batch in batches:
+        for a, d, copies, row, where, part in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            n = (where & 0xFFF) + 1
+            s = np.arange(n)
+            names = Digests(np.frombuffer(part, np.uint8)).of(s, s + LENGTH).view(np.int64)
+            places = mix64(U(_origin(row, where)) + s.astype(U)).view(np.int64)
+            columns = [np.full(n, a), np.full(n, d), names, s.astype(np.int32), np.full(n, copies), places]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_NAMED)
 
 
 @F.arrow_udf(T.BinaryType())
@@ -317,7 +303,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
     anchors = rows.mapInArrow(_anchors, "anchor long, digest long, row long, where long")
     # 2. anchors that occur again; the counts are added up before they are shuffled
-    times = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # (written, so that both sides of the join are plain shuffles, which AQE splits where an anchor is frequent)
+    times = cut_table(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     again = cut_table(anchors.join(times, "anchor"))
     same = again.groupBy("anchor", "digest").agg(
         F.count("*").alias("copies"), F.min(F.struct("row", "where")).alias("one")
@@ -325,26 +312,29 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     kinds = same.groupBy("anchor").agg(F.count("*").alias("kinds"))
     same = cut_table(same.join(kinds, "anchor"))
     # 3. the stretches to compare, with their bytes from one occurrence each
-    differing = same.where("kinds > 1").select("anchor", "digest", "copies", "one.row", "one.where")
-    wanted = differing.groupBy("row").agg(F.collect_list(F.struct("anchor", "digest", "copies", "where")).alias("wanted"))
-    # the same columns as below, so that texts are shuffled once
-    parts = rows.join(wanted, "row").select("row", "text", "wanted", "doc_id").mapInArrow(
-        _take_parts, "anchor long, digest long, copies long, row long, where long, part binary"
-    )
-    parts = parts.repartition("anchor").sortWithinPartitions("anchor")
-    found = cut_table(parts.mapInArrow(_sort_shard, FOUND_SQL))  # read by three branches below
-    # starts of wide anchors: repeated if their string is at two places or in a stretch that occurs again
-    wide = found.where("runs IS NULL")
-    names = wide.groupBy("anchor", "name").agg(
-        F.max("copies").alias("most"), F.min("place").alias("low"), F.max("place").alias("high")
-    )
-    names = names.where("most > 1 OR low <> high").select("anchor", "name")
-    wide = wide.join(names, ["anchor", "name"]).groupBy("anchor", "digest").agg(F.collect_list("start").alias("starts"))
-    wide = wide.select("anchor", "digest", _runs_of(F.col("starts")).alias("runs"))
+    def with_bytes(kinds: str) -> DataFrame:
+        which = same.where(kinds).select("anchor", "digest", "copies", "one.row", "one.where")
+        wanted = which.groupBy("row").agg(F.collect_list(F.struct("anchor", "digest", "copies", "where")).alias("wanted"))
+        # the same columns as below, so that texts are shuffled once
+        both = rows.join(wanted, "row").select("row", "text", "wanted", "doc_id")
+        return both.mapInArrow(_take_parts, "anchor long, digest long, copies long, row long, where long, part binary")
+
+    parts = with_bytes(f"kinds > 1 AND kinds <= {WIDE_KINDS}").repartition("anchor").sortWithinPartitions("anchor")
+    found = cut_table(parts.mapInArrow(_sort_shard, "anchor long, digest long, runs binary"))
+    if not same.where(F.col("kinds") > WIDE_KINDS).isEmpty():
+        wide = with_bytes(f"kinds > {WIDE_KINDS}").mapInArrow(
+            _name_starts, "anchor long, digest long, name long, start int, copies long, place long"
+        )
+        # repeated: a string at two places, or in a stretch that occurs again
+        names = wide.groupBy("anchor", "name").agg(
+            F.max("copies").alias("most"), F.min("place").alias("low"), F.max("place").alias("high")
+        )
+        names = names.where("most > 1 OR low <> high").select("anchor", "name")
+        starts = wide.join(names, ["anchor", "name"]).groupBy("anchor", "digest").agg(F.collect_list("start").alias("starts"))
+        found = found.unionByName(starts.select("anchor", "digest", _runs_of(F.col("starts")).alias("runs")))
     # 4. back to every occurrence; where all stretches of an anchor are equal, all starts are repeated (no runs given)
     verdicts = same.where("kinds = 1").select("anchor", "digest", F.lit(None).cast("binary").alias("runs"))
-    verdicts = verdicts.unionByName(found.where("runs IS NOT NULL").select("anchor", "digest", "runs")).unionByName(wide)
-    known = again.join(verdicts, ["anchor", "digest"])
+    known = again.join(verdicts.unionByName(found), ["anchor", "digest"])
     own = known.groupBy("row").agg(F.collect_list(F.struct("where", "runs")).alias("found"))
     out = rows.join(own, "row", "left").withColumn("cut", _cut_out(F.col("text"), F.col("found")))
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")

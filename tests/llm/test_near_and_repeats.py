@@ -157,12 +157,19 @@ def test_borders_and_periods(spark):
     assert multiset(removed(df)) == multiset(want)
 
 
-def test_wide_anchors_and_pieces_of_long_texts(spark, monkeypatch):
+def test_wide_anchors(spark, monkeypatch):
+    rows = edited_copies(40)
+    monkeypatch.setattr(suffix_dedup, "WIDE_KINDS", 3)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = [(i, *x) for i, x in enumerate(brute_repeats([t.encode() for t in rows]))]
+    assert multiset(removed(df)) == multiset(want)
+
+
+def test_pieces_of_long_texts_and_small_chunks(spark, monkeypatch):
     import types
 
     rows = edited_copies(40)
-    monkeypatch.setattr(suffix_dedup, "PIECE", 333)
-    scope = dict(suffix_dedup.__dict__, WIDE_BYTES=2500, CHUNK_BYTES=3000, PIECE=333, __name__="__main__")
+    scope = dict(suffix_dedup.__dict__, CHUNK_BYTES=3000, PIECE=333, __name__="__main__")
     for name in ("_sort_shard", "_anchors", "stretches"):
         copy = types.FunctionType(getattr(suffix_dedup, name).__code__, scope, name)
         copy.__module__ = "__main__"
