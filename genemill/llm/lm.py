@@ -7,8 +7,9 @@ is a trigram over a bigram over an add-one unigram, each smoothed with the one b
     p(w|v)    = (c(v w) + M(v) q(w)) / (c(v) + M(v)),  M(v) = 4 c(v)^0.8
     p(w|u v)  = (c(u v w) + 30 p(w|v)) / (c(u v) + 30)
 
-Every word is predicted by itself, however rare. As contexts, words beyond the `CONTEXTS` most frequent share one
-symbol, after which only p(w|v) is used. Their table (100,000 numbers at most) is all that is broadcast.
+Every word is predicted by itself, however rare. As contexts, words above a count stand for themselves (the least count
+that leaves at most `CONTEXTS` of them); all rarer words share one symbol, after which only p(w|v) is used. The table of
+those words is all that is broadcast.
 
 The logarithm of a text is a sum over its tokens, and each part of it needs counts that live in one place: an n-gram
 goes to the shard of its last word and the word before (rare words: of the word alone), c(u v) is known where `u v`
@@ -250,7 +251,15 @@ def count_words(train: DataFrame, text: str = "text") -> DataFrame:
 def vocabulary(train: DataFrame, text: str = "text") -> Vocabulary:
     counts = cut(count_words(train, text))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "hash").limit(CONTEXTS).collect()
+    # sixteen steps for each doubling of a count: a thousand rows at most tell from which step on words are few enough
+    step = F.floor(F.log2("n") * 16)
+    room, least = CONTEXTS, None
+    for k, n in sorted(counts.groupBy(step.alias("k")).count().collect(), reverse=True):
+        room -= n
+        if room < 0:
+            break
+        least = k
+    top = counts.where(step >= least).collect() if least is not None else []
     ends = counts.where(F.col("hash") == int(END.view(np.int64))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hashes = np.array([r[0] for r in top], np.int64).view(U)
     return Vocabulary(hashes, np.array([r[1] for r in top], np.float64), total, distinct, ends)
