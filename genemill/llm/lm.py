@@ -7,16 +7,15 @@ is a trigram over a bigram over an add-one unigram, each smoothed with the one b
     p(w|v)    = (c(v w) + M(v) q(w)) / (c(v) + M(v)),  M(v) = 4 c(v)^0.8
     p(w|u v)  = (c(u v w) + 30 p(w|v)) / (c(u v) + 30)
 
-Every word is predicted by itself, however rare. As contexts, words above a count stand for themselves (the least count
-that leaves at most `CONTEXTS` of them); all rarer words share one symbol, after which only p(w|v) is used. The table of
-those words is all that is broadcast.
+Every word is predicted by itself and is a context of its own, however rare. Words above a count (the least count that
+leaves at most `CONTEXTS` of them) are broadcast with their counts and written as short ids; all others are written as
+their 64-bit hashes, and a join with the table of word counts tells each shard the counts of those it holds.
 
 The logarithm of a text is a sum over its tokens, and each part of it needs counts that live in one place: an n-gram
-goes to the shard of its last word and the word before (rare words: of the word alone), c(u v) is known where `u v`
-itself lives. So tokens are shuffled once, packed, to shards of about `SHARD_TOKENS`; a shard counts its training
-n-grams, builds its trie (symbols and pointers as Elias-Fano sequences, quantised logarithms), maps it from a file, and
-answers all its tokens by successor search among the children of a context. What goes back is one number for each
-document and shard. A frequent word is spread over shards by its context, so no word is a hot key.
+goes to the shard of its last word and the word before, c(u v) is known where `u v` itself lives. So tokens are shuffled
+once, packed, to shards of about `SHARD_TOKENS`; a shard counts its training n-grams, builds its trie (symbols and
+pointers as Elias-Fano sequences, quantised logarithms), maps it from a file, and answers all its tokens by successor
+search among the children of a context. What goes back is one number for each document and shard.
 
 Null and empty texts are one end token. Repeated rows count and are scored each; a null id counts as an empty text for
 `held_out` only. Without training rows every probability is that of q. Other columns are not read.
@@ -28,6 +27,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -36,10 +36,8 @@ from pyspark.sql import functions as F
 
 from genemill.llm.common import as_bytes, cut, mix64
 
-CONTEXTS = 100_000
-BITS = 17  # of a context symbol
-RARE = 0
-BEGIN, NONE = CONTEXTS + 1, CONTEXTS + 2
+CONTEXTS = 100_000  # words that are broadcast
+NONE, BEGIN, FIRST = 0, 1, 2  # symbols: no context, begin of a text, first id of a broadcast word
 STRENGTH, POWER, TRIGRAM_STRENGTH = 4.0, 0.8, 30.0
 SHARD_TOKENS = 1 << 21
 BATCH_TOKENS = 1 << 21
@@ -113,10 +111,10 @@ class Trie:
 
     def __init__(self, buffer: np.ndarray):
         self._buffer, self._at = buffer, 0
-        self.words = self._sequence().values()
-        self.word_counts = np.diff(np.concatenate([[U(0)], self._sequence().values()]))
+        self.bits = U(self._take(8).copy().view("<u8")[0])
+        self.words, self.word_starts = self._sequence().values(), self._sequence().values()
         self.pairs, self.pair_starts = self._sequence().values(), self._sequence().values()
-        self.triples, self.triple_starts = self._sequence().values(), self._sequence().values()
+        self.triples = self._sequence().values()
         self.pair_value, self.pair_cost, self.triple_value = (self._quantised() for _ in range(3))
 
     def _take(self, n: int) -> np.ndarray:
@@ -133,87 +131,83 @@ class Trie:
         return self._take(8 * size).copy().view("<f8")[code]
 
     @staticmethod
-    def build(key: np.ndarray, words: np.ndarray, count: np.ndarray, probability) -> bytes:
-        """Bytes of the trie of distinct sorted keys (word number, v, u) with their counts.
+    def build(bits: int, word: np.ndarray, v: np.ndarray, u: np.ndarray, count: np.ndarray, probability) -> bytes:
+        """Bytes of the trie of distinct (word, v, u) in order, symbols of so many bits, with their counts.
 
-        `probability(word, its count here, v, pair count)` gives p(w|v) of pairs.
+        `probability(word, v, pair count)` gives p(w|v) of pairs.
         """
-        three = U(2 * BITS)
-        pair, pair_at = np.unique(key >> U(BITS), return_index=True)
-        pair_n = np.add.reduceat(count, pair_at) if len(key) else count
-        word, word_at = np.unique(pair >> U(BITS), return_index=True)
-        word_n = np.add.reduceat(pair_n, word_at) if len(pair) else pair_n
-        parent_of_pair = np.repeat(np.arange(len(word)), np.diff(np.append(word_at, len(pair))))
-        parent_of_triple = np.repeat(np.arange(len(pair)), np.diff(np.append(pair_at, len(key))))
-        v = pair & U((1 << BITS) - 1)
-        p = probability(words[word.astype(np.int64)][parent_of_pair], word_n[parent_of_pair], v.astype(np.int64), pair_n)
-        del three
-        out: list[np.ndarray] = []
+        new_word = np.diff(word, prepend=word[:1] + U(1)) != 0
+        pair_at = np.flatnonzero(new_word | (np.diff(v, prepend=v[:1] + U(1)) != 0))
+        pair_n = np.add.reduceat(count, pair_at) if len(word) else count
+        word_at = np.flatnonzero(new_word[pair_at])
+        parent_of_pair = np.cumsum(new_word[pair_at]) - 1
+        parent_of_triple = np.repeat(np.arange(len(pair_at)), np.diff(np.append(pair_at, len(word))))
+        word, v = word[pair_at], v[pair_at]
+        p = probability(word.astype(np.int64), v.astype(np.int64), pair_n)
+        out: list[np.ndarray] = [np.array([bits], "<u8").view(np.uint8)]
         for values in (
-            words[word.astype(np.int64)],
-            np.cumsum(word_n),
-            (parent_of_pair.astype(U) << U(BITS)) | v,
-            np.append(word_at, len(pair)),
-            (parent_of_triple.astype(U) << U(BITS)) | (key & U((1 << BITS) - 1)),
-            np.append(pair_at, len(key)),
+            word[word_at],
+            np.append(word_at, len(pair_at)),
+            (parent_of_pair.astype(U) << U(bits)) | v,
+            np.append(pair_at, len(u)),
+            (parent_of_triple.astype(U) << U(bits)) | u,
         ):
             out += EliasFano.of(values.astype(U)).parts()
         for values in (
             np.log10(p),
             np.log10(pair_n + TRIGRAM_STRENGTH),
-            np.log10(count + TRIGRAM_STRENGTH * p[parent_of_triple]) if len(key) else np.zeros(0),
+            np.log10(count + TRIGRAM_STRENGTH * p[parent_of_triple]) if len(u) else np.zeros(0),
         ):
             code, book = quantise(values)
             out += [np.array([len(code), len(book)], "<u8").view(np.uint8), code.astype("<u2").view(np.uint8)]
             out.append(book.astype("<f8").view(np.uint8))
         return b"".join(x.tobytes() for x in out)
 
-    @staticmethod
-    def _child(symbols: np.ndarray, starts: np.ndarray, parent: np.ndarray, known: np.ndarray, symbol: np.ndarray):
+    def _child(self, symbols: np.ndarray, starts: np.ndarray, parent: np.ndarray, known: np.ndarray, symbol: np.ndarray):
         """Successor of a symbol among the children of a parent: (place, whether it is the symbol itself)."""
-        target = (parent.astype(U) << U(BITS)) | symbol
+        if not len(symbols):
+            return np.zeros(len(parent), np.int64), np.zeros(len(parent), bool)
+        target = (parent.astype(U) << self.bits) | symbol
         at = np.searchsorted(symbols, target)
-        inside = known & (at < len(symbols))
-        end = starts[np.minimum(parent + 1, max(len(starts) - 1, 0))].astype(np.int64)
-        inside &= at < end
-        return at, inside & (symbols[np.minimum(at, max(len(symbols) - 1, 0))] == target) if len(symbols) else (inside & False)
+        inside = known & (at < starts[parent + 1].astype(np.int64))
+        at = np.minimum(at, len(symbols) - 1)
+        return at, inside & (symbols[at] == target)
 
     def find(self, word: np.ndarray, v: np.ndarray, u: np.ndarray):
-        """(word place, known), (pair place, known), (triple place, known)."""
-        at = np.searchsorted(self.words, word)
-        last = max(len(self.words) - 1, 0)
-        known = (self.words[np.minimum(at, last)] == word) if len(self.words) else np.zeros(len(word), bool)
+        """(pair place, known), (triple place, known)."""
+        at, last = np.searchsorted(self.words, word), max(len(self.words) - 1, 0)
         at = np.minimum(at, last)
-        pair, has_pair = self._child(self.pairs, self.pair_starts, at, known, v)
-        pair = np.minimum(pair, max(len(self.pairs) - 1, 0))
-        triple, has_triple = self._child(self.triples, self.triple_starts, pair, has_pair, u)
-        return (at, known), (pair, has_pair), (np.minimum(triple, max(len(self.triples) - 1, 0)), has_triple)
+        known = (self.words[at] == word) if len(self.words) else np.zeros(len(word), bool)
+        pair, has_pair = self._child(self.pairs, self.word_starts, at, known, v)
+        triple, has_triple = self._child(self.triples, self.pair_starts, pair, has_pair, u)
+        return (pair, has_pair), (triple, has_triple)
 
 
 # --- the table of frequent words ---------------------------------------------------------------------------------
 
 
 class Vocabulary:
-    """Totals, and the most frequent words: hashes in order, ids from 1 on, and counts."""
+    """Totals, and the most frequent words: hashes in order, ids from `FIRST` on, and counts."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, texts: int):
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
         self.total, self.distinct, self.texts = total, distinct, texts
-        self.end = int(self.ids(np.array([END], U))[0])
-        # how often each context symbol stands before a word
-        self.before = np.zeros(CONTEXTS + 3)
-        self.before[1 : len(counts) + 1] = self.counts
-        self.before[BEGIN] = texts
-        self.before[RARE] = total - self.counts.sum() - (0 if self.end else texts)
-        self.before[self.end] *= self.end == RARE
-        self.strength = np.maximum(STRENGTH * self.before**POWER, 1.0)
+        self.whole = len(hashes) == distinct
+        self.end = self.ids(np.array([END], U))[0]
+        # how often each of these symbols stands before a word
+        self.before = np.concatenate([[0.0, texts], self.counts])
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """Symbols of words: the id of a frequent one, the hash of any other."""
         if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64)
+            return hashes
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at + 1, RARE)
+        return np.where(self.hashes[at] == hashes, at.astype(U) + U(FIRST), hashes)
+
+    def known(self, symbols: np.ndarray) -> np.ndarray:
+        """Whether symbols are ids (or no word), not hashes."""
+        return symbols < U(len(self.before))
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
         return (count + 1.0) / (self.total + self.distinct + 1.0)
@@ -248,7 +242,8 @@ def count_words(train: DataFrame, text: str = "text") -> DataFrame:
     return rows.groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(train: DataFrame, text: str = "text") -> Vocabulary:
+def vocabulary(train: DataFrame, text: str = "text") -> tuple[Vocabulary, DataFrame]:
+    """What is broadcast, and the counts of all words."""
     counts = cut(count_words(train, text))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # sixteen steps for each doubling of a count: a thousand rows at most tell from which step on words are few enough
@@ -262,7 +257,7 @@ def vocabulary(train: DataFrame, text: str = "text") -> Vocabulary:
     top = counts.where(step >= least).collect() if least is not None else []
     ends = counts.where(F.col("hash") == int(END.view(np.int64))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hashes = np.array([r[0] for r in top], np.int64).view(U)
-    return Vocabulary(hashes, np.array([r[1] for r in top], np.float64), total, distinct, ends)
+    return Vocabulary(hashes, np.array([r[1] for r in top], np.float64), total, distinct, ends), counts
 
 
 # --- packing -----------------------------------------------------------------------------------------------------
@@ -272,7 +267,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays as differences, byte plane by byte plane, compressed."""
     out = []
     for a in arrays:
-        d = np.diff(a, prepend=a.dtype.type(0)) if a.dtype == U else a
+        d = np.diff(a, prepend=U(0)) if a.dtype == U else a
         out.append(np.ascontiguousarray(d.view(np.uint8).reshape(len(d), -1).T).tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
@@ -282,7 +277,9 @@ def _unpack(data: bytes, n: int, kinds: tuple) -> list[np.ndarray]:
     for kind in kinds:
         size = np.dtype(kind).itemsize
         planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
-        a = np.ascontiguousarray(planes.T).view(kind).ravel()
+        a = planes.T.copy().view(kind).ravel()
+        if kind == _CONTEXT:
+            a["v"] = np.cumsum(a["v"], dtype=U)
         out.append(np.cumsum(a, dtype=U) if kind == U else a)
         at += n * size
     return out
@@ -290,7 +287,25 @@ def _unpack(data: bytes, n: int, kinds: tuple) -> list[np.ndarray]:
 
 _PACKED = pa.schema([("shard", pa.int64()), ("batch", pa.int64()), ("n", pa.int64()), ("payload", pa.binary())])
 PACKED_SQL = "shard long, batch long, n long, payload binary"
-_WORD, _CONTEXT, _DOC = U, U, np.uint32
+_WORD, _CONTEXT, _DOC = U, np.dtype([("v", U), ("u", U)]), np.uint32
+
+
+def _places(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(size, first token) of each text."""
+    sizes = np.array([len(x) for x in hashes])
+    return sizes, np.cumsum(sizes) - sizes
+
+
+def contexts(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(v, u): symbols of the word before each, and of the one before that."""
+    v, u = np.empty_like(word), np.empty_like(word)
+    v[1:], v[first] = word[:-1], BEGIN
+    u[1:], u[first] = v[:-1], NONE
+    return v, u
+
+
+def pair_key(word: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return mix64(word * U(0x9E3779B97F4A7C15) + v)
 
 
 class Sender:
@@ -315,20 +330,14 @@ class Sender:
     def rows(self, batch: int):
         """(shard, batch, n, payload) for each shard, and the batch's own facts under shard -1 - batch."""
         vocab = self.vocab
-        sizes = np.array([len(x) for x in self.hashes])
-        first = np.cumsum(sizes) - sizes
-        h = np.concatenate(self.hashes)
+        sizes, first = _places(self.hashes)
         doc = np.repeat(np.arange(len(sizes)), sizes)
-        w = vocab.ids(h)
-        v = np.empty_like(w)
-        v[1:], v[first] = w[:-1], BEGIN
-        u = np.full_like(w, NONE)
-        u[1:] = v[:-1]
-        u[(v == RARE) | (v == BEGIN)] = NONE
+        w = vocab.ids(np.concatenate(self.hashes))
+        v, u = contexts(w, first)
         # what a frequent word adds to the base is known here
-        known = w > RARE
-        n = np.where(known, vocab.counts[np.maximum(w, 1) - 1] if len(vocab.counts) else 0, 0.0)
-        base = np.bincount(doc, np.where(known, np.log10(n + 1), 0.0), len(sizes))
+        known = vocab.known(w)
+        n = vocab.before[np.where(known, w, U(NONE)).astype(np.int64)]
+        base = np.bincount(doc, np.log10(n + 1), len(sizes))
         n_known = np.bincount(doc, known, len(sizes))
         facts = pa.table(
             {
@@ -343,16 +352,15 @@ class Sender:
         with pa.ipc.new_stream(sink, facts.schema) as f:
             f.write_table(facts)
         yield -1 - batch, batch, 0, sink.getvalue().to_pybytes()
-        word = np.where(known, w.astype(U), h)
-        context = (v.astype(U) << U(BITS)) | u.astype(U)
-        spread = mix64(np.where(known, (w.astype(U) << U(BITS)) | v.astype(U), h))
-        shard = (spread % U(self.shards)).astype(np.int64)
+        shard = (pair_key(w, v) % U(self.shards)).astype(np.int64)
         mark = (doc.astype(np.uint32) << np.uint32(1)) | np.array(self.train, np.uint32)[doc]
-        order = np.lexsort((context, word, shard))
+        order = np.lexsort((u, v, w, shard))
         starts = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(starts)).tolist():
             at = order[starts[s] : starts[s + 1]]
-            yield s, batch, len(at), _pack(word[at], context[at], mark[at])
+            context = np.empty(len(at), _CONTEXT)
+            context["v"], context["u"] = np.diff(v[at], prepend=U(0)), u[at]
+            yield s, batch, len(at), _pack(w[at], context, mark[at])
 
 
 def _send(shared, shards: int):
@@ -378,44 +386,102 @@ def _send(shared, shards: int):
     return send
 
 
-def answer_shard(vocab: Vocabulary, word: np.ndarray, context: np.ndarray, train: np.ndarray):
-    """(score part, base part, known) of each token of a shard, from the shard's own training tokens."""
-    names, number = np.unique(word, return_inverse=True)
-    key = (number.astype(U) << U(2 * BITS)) | context
-    keys, place = np.unique(key, return_inverse=True)
+_NEED_SQL = "hash long, shard long"
+
+
+def _need(shared, shards: int):
+    """(hash, shard) of the words outside the broadcast table that a shard holds, in any of the places w and v."""
+    schema = pa.schema([("hash", pa.int64()), ("shard", pa.int64())])
+
+    def need(batches):
+        vocab: Vocabulary = shared.value
+        held: list[np.ndarray] = []
+
+        def out():
+            w = vocab.ids(np.concatenate(held))
+            v, _ = contexts(w, _places(held)[1])
+            held.clear()
+            shard = pair_key(w, v) % U(shards)
+            rare = np.concatenate([np.stack([x, shard])[:, ~vocab.known(x)] for x in (w, v)], axis=1)
+            rare = rare[:, np.lexsort(rare)]
+            rare = rare[:, (np.diff(rare, axis=1, prepend=~rare[:, :1]) != 0).any(axis=0)]
+            for i in range(0, rare.shape[1], 100_000):
+                part = rare[:, i : i + 100_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in part], schema=schema)
+
+        size = 0
+        for batch in batches:
+            for t in as_bytes(batch.column(0)):
+                held.append(token_hashes(t))
+                size += len(held[-1])
+                if size >= BATCH_TOKENS:
+                    yield from out()
+                    size = 0
+        if held:
+            yield from out()
+
+    return need
+
+
+def rare_counts(rows: DataFrame, counts: DataFrame, shared, shards: int) -> DataFrame:
+    """(shard, hash, n): counts of the words outside the broadcast table, for each shard that holds them."""
+    needs = rows.select("text").mapInArrow(_need(shared, shards), _NEED_SQL).distinct()
+    return needs.join(counts, "hash").select("shard", "hash", "n")
+
+
+def answer_shard(vocab: Vocabulary, word: np.ndarray, context: np.ndarray, train: np.ndarray, rare=None):
+    """(score part, base part, known) of each token of a shard, from the shard's own training tokens.
+
+    `rare` are hashes and counts of words outside the broadcast table; a word that is not there has no count.
+    """
+    last = len(vocab.before)
+    hashes = np.unique(np.concatenate([x[~vocab.known(x)] for x in (word, context["v"], context["u"])]))
+    before = np.concatenate([vocab.before, np.zeros(len(hashes))])
+    if rare is not None and len(hashes):
+        at = np.minimum(np.searchsorted(hashes, rare[0]), len(hashes) - 1)
+        mine = hashes[at] == rare[0]
+        before[last + at[mine]] = rare[1][mine]
+
+    def local(x: np.ndarray) -> np.ndarray:
+        return np.where(vocab.known(x), x, np.searchsorted(hashes, x).astype(U) + U(last)) if len(hashes) else x
+
+    low = U(32)
+    pairs, number = np.unique((local(word) << low) | local(context["v"]), return_inverse=True)
+    keys, place = np.unique((number.astype(U) << low) | local(context["u"]), return_inverse=True)
+    del number
     count = np.bincount(place, train, len(keys))
     seen = count > 0
+    pair = pairs[(keys >> low).astype(np.int64)]
+    w, v, u = pair >> low, pair & U(0xFFFFFFFF), keys & U(0xFFFFFFFF)
 
-    def word_count(w: np.ndarray, here: np.ndarray) -> np.ndarray:
-        known = w <= CONTEXTS
-        return np.where(known, vocab.counts[np.where(known, w, 1).astype(np.int64) - 1] if len(vocab.counts) else 0.0, here)
+    def parts(w, v):
+        """(M(v) q(w), c(v) + M(v))"""
+        m = np.maximum(STRENGTH * before[v] ** POWER, 1.0)
+        return m * vocab.unigram(before[w]), before[v] + m
 
-    def pair_probability(w, here, v, n):
-        m = vocab.strength[v]
-        return (n + m * vocab.unigram(word_count(w, here))) / (vocab.before[v] + m)
+    def pair_probability(w, v, n):
+        own, whole = parts(w, v)
+        return (n + own) / whole
 
     with tempfile.TemporaryFile() as file:
-        file.write(Trie.build(keys[seen], names, count[seen], pair_probability))
+        file.write(Trie.build(len(before).bit_length(), w[seen], v[seen], u[seen], count[seen], pair_probability))
         file.flush()
         trie = Trie(np.memmap(file, np.uint8, "r"))
-    w = names[(keys >> U(2 * BITS)).astype(np.int64)]
-    v, u = keys >> U(BITS) & U((1 << BITS) - 1), keys & U((1 << BITS) - 1)
-    (at, known), (pair, has_pair), (triple, has_triple) = trie.find(w, v, u)
-    here = np.where(known, trie.word_counts[at].astype(float) if len(trie.words) else 0.0, 0.0)
-    c, vi = word_count(w, here), v.astype(np.int64)
-    m = vocab.strength[vi]
-    lower = np.log10(m * vocab.unigram(c) / (vocab.before[vi] + m))
+    (at, has_pair), (triple, has_triple) = trie.find(w, v, u)
+    own, whole = parts(w.astype(np.int64), v.astype(np.int64))
+    lower = np.log10(own / whole)
     if len(trie.pairs):
-        lower = np.where(has_pair, trie.pair_value[pair], lower)
+        lower = np.where(has_pair, trie.pair_value[at], lower)
         high = np.where(has_triple, trie.triple_value[triple], np.log10(TRIGRAM_STRENGTH) + lower)
-        cost = np.where(has_pair, trie.pair_cost[pair], np.log10(TRIGRAM_STRENGTH))
+        cost = np.where(has_pair, trie.pair_cost[at], np.log10(TRIGRAM_STRENGTH))
     else:
         high, cost = np.log10(TRIGRAM_STRENGTH) + lower, np.full(len(keys), np.log10(TRIGRAM_STRENGTH))
     # the token itself, and its part as the context (u v) of the next one
-    frequent = w <= CONTEXTS
-    score = np.where(u == NONE, lower, high) - np.where(frequent & (w != vocab.end), cost, 0.0)
-    base = np.where(frequent, 0.0, np.log10(c + 1))
-    return score[place], base[place], (~frequent & (c > 0))[place]
+    end = vocab.known(vocab.end) or (hashes == vocab.end).any()
+    is_end = (w == local(np.array([vocab.end], U))) if end else np.zeros(len(w), bool)
+    score = np.where(u == NONE, lower, high) - np.where(is_end, 0.0, cost)
+    n = np.where(w < last, 0.0, before[w.astype(np.int64)])
+    return score[place], np.log10(n + 1)[place], (n > 0)[place]
 
 
 _ANSWER = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
@@ -426,11 +492,15 @@ def _answer(shared):
         if key[0].as_py() < 0:  # a batch's own facts pass through
             return pa.table([table["batch"], pa.array([0] * len(table), pa.int32()), table["payload"]], schema=_ANSWER)
         vocab: Vocabulary = shared.value
+        # counts of rare words come as rows without a payload, the hash in the place of the batch
+        is_count = pc.is_null(table["payload"])
+        told, table = table.filter(is_count), table.filter(pc.invert(is_count))
+        rare = told["batch"].to_numpy().view(U), told["n"].to_numpy().astype(float)
         parts = [
             _unpack(p, n, (_WORD, _CONTEXT, _DOC)) for p, n in zip(table["payload"].to_pylist(), table["n"].to_pylist())
         ]
         word, context, mark = (np.concatenate(x) for x in zip(*parts))
-        score, base, known = answer_shard(vocab, word, context, (mark & np.uint32(1)).astype(float))
+        score, base, known = answer_shard(vocab, word, context, (mark & np.uint32(1)).astype(float), rare)
         out, start = [], 0
         for part in parts:
             own = slice(start, start + len(part[0]))
@@ -479,12 +549,15 @@ def score_documents(docs: DataFrame, train: str = "train", doc_id: str = "doc_id
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score; the rows whose `train` is true are learned."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(train).alias("train"), F.col(text).alias("text"))
-    vocab = vocabulary(rows.where("train"))
+    vocab, counts = vocabulary(rows.where("train"))
     # characters say how many tokens there are, near enough to size the shards
     tokens = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 5
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // SHARD_TOKENS + 1)
     shared = spark.sparkContext.broadcast(vocab)
     sent = rows.mapInArrow(_send(shared, shards), PACKED_SQL)
+    if not vocab.whole:
+        told = rare_counts(rows, counts, shared, shards)
+        sent = sent.unionByName(told.select("shard", F.col("hash").alias("batch"), "n", F.lit(None).cast("binary").alias("payload")))
     answers = sent.groupBy("shard").applyInArrow(_answer(shared), "batch long, kind int, payload binary")
     scored = answers.groupBy("batch").applyInArrow(
         _combine, "doc_id long, train boolean, n_tokens long, n_known long, base double, score double"

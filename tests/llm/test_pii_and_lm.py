@@ -187,6 +187,15 @@ def test_a_small_table_of_contexts_gives_probabilities(spark, monkeypatch):
     assert np.isfinite(first) and ratios.max() == 1.0
 
 
+@pytest.mark.parametrize("contexts", [0, 1, 8, 100])
+def test_words_beyond_the_broadcast_table_are_contexts_of_their_own(spark, monkeypatch, contexts):
+    monkeypatch.setattr(lm, "CONTEXTS", contexts)
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 5 > 0, " ".join(f"w{x}" for x in np.minimum(rng.zipf(1.3, 60), 90))) for i in range(40)]
+    df = spark.createDataFrame([(i, t, train) for i, train, t in rows], "doc_id long, text string, train boolean")
+    check_scores(lm.score_documents(df.repartition(3)).collect(), brute_scores(rows))
+
+
 def test_compact_sequences_and_tries():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 100, 5000):
