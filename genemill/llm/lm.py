@@ -9,14 +9,21 @@ is a trigram over a bigram over an add-one unigram, each smoothed with the one b
 
 Every word is predicted by itself and is a context of its own, however rare. Words above a count (the least count that
 leaves at most `CONTEXTS` of them) are broadcast with their counts and written as short ids; all others are written as
-their 64-bit hashes, and a join with the table of word counts tells each shard the counts of those it holds.
+their 64-bit hashes. Their tokens go to the shard of the word, which counts it; for a pair of two such words a join with
+the table of word counts tells the shard of the second the count of the first.
 
 The logarithm of a text is a sum over its tokens, and each part of it needs counts that live in one place: an n-gram
-goes to the shard of its last word and the word before, c(u v) is known where `u v` itself lives. So tokens are shuffled
+goes to the shard of its last word and the word before (of one of them if that is not broadcast), c(u v) is known where `u v` itself lives. So tokens are shuffled
 once, packed, to shards of about `SHARD_TOKENS`; a shard counts its training n-grams, builds its trie (symbols and
 pointers as Elias-Fano sequences, quantised logarithms), maps it from a file, and answers all its tokens by successor
 search among the children of a context. What goes back is one number for each document and shard.
 
+A document sends an n-gram once, with its count there. Word pairs and triples that hold about as many tokens as half an
+average shard (found from their shares of batches, then counted exactly) are broadcast with their counts: a frequent
+triple is scored where it is read and not sent, and other triples of a frequent pair are dealt to shards one by one.
+Words with such a share are broadcast whatever their count in training. So no task holds all tokens of a frequent word
+or pair.
+
 Null and empty texts are one end token. Repeated rows count and are scored each; a null id counts as an empty text for
 `held_out` only. Without training rows every probability is that of q. Other columns are not read.
 """
@@ -183,6 +190,55 @@ class Trie:
         return (pair, has_pair), (triple, has_triple)
 
 
+def _places(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(size, first token) of each text."""
+    sizes = np.array([len(x) for x in hashes])
+    return sizes, np.cumsum(sizes) - sizes
+
+
+def contexts(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(v, u): symbols of the word before each, and of the one before that."""
+    v, u = np.empty_like(word), np.empty_like(word)
+    v[1:], v[first] = word[:-1], BEGIN
+    u[1:], u[first] = v[:-1], NONE
+    return v, u
+
+
+def pair_key(word: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return mix64(word * U(0x9E3779B97F4A7C15) + v)
+
+
+def find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in a sorted table, whether it is there) of each key."""
+    if not len(table):
+        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    at = np.minimum(np.searchsorted(table, key), len(table) - 1)
+    return at, table[at] == key
+
+
+def often(key: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that occur so often, in order, and how often."""
+    key = np.sort(key)
+    at = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
+    n = np.diff(np.append(at, len(key)))
+    return key[at[n >= least]], n[n >= least]
+
+
+class Hot:
+    """Frequent pairs (w, v) and triples (w, v, u) by the keys of their hashes, and their counts in training."""
+
+    def __init__(self, pairs: np.ndarray, triples: np.ndarray):
+        self.pairs, self.triples = np.unique(pairs), np.unique(triples)
+        self.pair_n, self.triple_n = np.zeros(len(self.pairs)), np.zeros(len(self.triples))
+
+    def places(self, w: np.ndarray, v: np.ndarray, u: np.ndarray):
+        """(place of the pair, known, place of the triple, known)"""
+        key = pair_key(w, v)
+        pair, has_pair = find(self.pairs, key)
+        triple, has_triple = find(self.triples, pair_key(key, u))
+        return pair, has_pair, triple, has_pair & has_triple
+
+
 # --- the table of frequent words ---------------------------------------------------------------------------------
 
 
@@ -193,7 +249,7 @@ class Vocabulary:
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
         self.total, self.distinct, self.texts = total, distinct, texts
-        self.whole = len(hashes) == distinct
+        self.whole = np.count_nonzero(counts) == distinct
         self.end = self.ids(np.array([END], U))[0]
         # how often each of these symbols stands before a word
         self.before = np.concatenate([[0.0, texts], self.counts])
@@ -205,47 +261,116 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, at.astype(U) + U(FIRST), hashes)
 
+    def route(self, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Key of the shard of a token: of its pair, or of the word (else the context) that is not broadcast."""
+        known = self.known(w)
+        return np.where(known & self.known(v), pair_key(w, v), mix64(np.where(known, v, w)))
+
     def known(self, symbols: np.ndarray) -> np.ndarray:
         """Whether symbols are ids (or no word), not hashes."""
         return symbols < U(len(self.before))
 
+    def parts(self, before: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(M(v) q(w), c(v) + M(v)) from c(v) and c(w)."""
+        m = np.maximum(STRENGTH * before**POWER, 1.0)
+        return m * self.unigram(c), before + m
+
     def unigram(self, count: np.ndarray) -> np.ndarray:
         return (count + 1.0) / (self.total + self.distinct + 1.0)
 
 
-def count_words(train: DataFrame, text: str = "text") -> DataFrame:
-    """(hash, n) of every token of all training texts."""
-    schema = pa.schema([("hash", pa.int64()), ("n", pa.int64())])
+def _batches(batches):
+    """(hashes, whether learned) of the texts of about `BATCH_TOKENS` tokens."""
+    held, train, size = [], [], 0
+    for batch in batches:
+        for flag, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+            held.append(token_hashes(t))
+            train.append(bool(flag))
+            size += len(held[-1])
+            if size >= BATCH_TOKENS:
+                yield held, train
+                held, train, size = [], [], 0
+    if held:
+        yield held, train
+
+
+def count_words(rows: DataFrame, shards: int) -> DataFrame:
+    """(hash, gram, n): gram is null for the training counts of words; empty for the number of all tokens; else the
+    hashes of a word, pair or triple, with its tokens in the batches where it has at least 1 / (4 shards) of all.
+    """
+    schema = pa.schema([("hash", pa.int64()), ("gram", pa.binary()), ("n", pa.int64())])
 
     def count(batches):
-        held: list[np.ndarray] = []
-
-        def out():
-            if held:
-                h, n = np.unique(np.concatenate(held), return_counts=True)
-                held.clear()
-                for i in range(0, len(h), 100_000):
-                    part = slice(i, i + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(n[part])], schema=schema)
-
-        size = 0
-        for batch in batches:
-            for t in as_bytes(batch.column(0)):
-                held.append(token_hashes(t))
-                size += len(held[-1])
-                if size > 2 * BATCH_TOKENS:
-                    yield from out()
-                    size = 0
-        yield from out()
-
-    rows = train.select(F.col(text).alias("text")).mapInArrow(count, "hash long, n long")
-    return rows.groupBy("hash").agg(F.sum("n").alias("n"))
-
+        for held, train in _batches(batches):
+            sizes, first = _places(held)
+            w = np.concatenate(held)
+            held.clear()
+            h, n = often(w[np.repeat(np.array(train), sizes)], 1)
+            for i in range(0, len(h), 100_000):
+                part = slice(i, i + 100_000)
+                nulls = pa.nulls(len(h[part]), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), nulls, pa.array(n[part])], schema=schema)
+            v, u = contexts(w, first)
+            least, total = len(w) / (4 * shards), len(w)
+            grams, keys, counts = [b""], [np.zeros(1, U)], [np.array([total])]
+            key = w
+            for level in range(1, 4):
+                parts = (w, v, u)[:level]
+                if level > 1:
+                    key = pair_key(key, parts[-1])
+                top, n = often(key, least)
+                at, hit = find(top, key)
+                one = np.zeros(len(top), np.int64)
+                one[at[hit]] = np.flatnonzero(hit)
+                grams += [x.tobytes() for x in np.stack([x[one] for x in parts], axis=1)]
+                keys.append(top)
+                counts.append(n)
+                w, v, u, key = w[hit], v[hit], u[hit], key[hit]  # a triple is no more frequent than its pair, nor a pair than its word
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(grams, pa.binary()), pa.array(np.concatenate(counts))], schema=schema
+            )
+
+    counted = rows.select("train", "text").mapInArrow(count, "hash long, gram binary, n long")
+    return counted.groupBy("hash", "gram").agg(F.sum("n").alias("n"))
+
+
+def count_hot(rows: DataFrame, hot: Hot) -> None:
+    """Set the counts of frequent pairs and triples in training."""
+    shared = rows.sparkSession.sparkContext.broadcast(hot)
+    schema = pa.schema([("place", pa.int64()), ("n", pa.int64())])
 
-def vocabulary(train: DataFrame, text: str = "text") -> tuple[Vocabulary, DataFrame]:
-    """What is broadcast, and the counts of all words."""
-    counts = cut(count_words(train, text))
+    def count(batches):
+        hot: Hot = shared.value
+        for held, _ in _batches(batches):
+            w = np.concatenate(held)
+            pair, has_pair, triple, has_triple = hot.places(w, *contexts(w, _places(held)[1]))
+            n = np.bincount(pair[has_pair], minlength=len(hot.pairs))
+            n = np.append(n, np.bincount(triple[has_triple], minlength=len(hot.triples)))
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], schema=schema)
+
+    counted = rows.where("train").select("train", "text").mapInArrow(count, "place long, n long")
+    for place, n in counted.groupBy("place").agg(F.sum("n")).collect():
+        if place < len(hot.pairs):
+            hot.pair_n[place] = n
+        else:
+            hot.triple_n[place - len(hot.pairs)] = n
+
+
+def vocabulary(rows: DataFrame, shards: int) -> tuple[Vocabulary, DataFrame, Hot]:
+    """What is broadcast, the counts of all words, and frequent pairs and triples."""
+    spark = rows.sparkSession
+    counted = cut(count_words(rows, shards))
+    counts = counted.where("gram IS NULL").select("hash", "n")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    tokens = counted.where("length(gram) = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # at least 1 / (2 shards) of all tokens means at least half of that in batches where the share is 1 / (4 shards)
+    grams = counted.where("length(gram) > 0").where(F.col("n") * 4 * shards >= tokens).select("gram").collect()
+    grams = [np.frombuffer(r[0], U) for r in grams]
+    words, pairs, triples = (np.array([g for g in grams if len(g) == k], U).reshape(-1, k) for k in (1, 2, 3))
+    hot = Hot(pair_key(*pairs.T), pair_key(pair_key(*triples.T[:2]), triples.T[2]))
+    if len(pairs):
+        count_hot(rows, hot)
     # sixteen steps for each doubling of a count: a thousand rows at most tell from which step on words are few enough
     step = F.floor(F.log2("n") * 16)
     room, least = CONTEXTS, None
@@ -254,10 +379,15 @@ def vocabulary(train: DataFrame, text: str = "text") -> tuple[Vocabulary, DataFr
         if room < 0:
             break
         least = k
-    top = counts.where(step >= least).collect() if least is not None else []
+    top = {r[0]: r[1] for r in counts.where(step >= least).collect()} if least is not None else {}
+    wanted = np.setdiff1d(np.append(words.ravel(), pairs.ravel()), np.array([NONE, BEGIN], U))
+    more = [(x,) for x in wanted.view(np.int64).tolist() if x not in top]
+    if more:  # frequent words and those of frequent pairs, however rare in training
+        top |= {x: 0 for (x,) in more}
+        top |= {r[0]: r[1] for r in counts.join(spark.createDataFrame(more, "hash long"), "hash").select("hash", "n").collect()}
     ends = counts.where(F.col("hash") == int(END.view(np.int64))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hashes = np.array([r[0] for r in top], np.int64).view(U)
-    return Vocabulary(hashes, np.array([r[1] for r in top], np.float64), total, distinct, ends), counts
+    hashes = np.array(list(top), np.int64).view(U)
+    return Vocabulary(hashes, np.array(list(top.values()), np.float64), total, distinct, ends), counts, hot
 
 
 # --- packing -----------------------------------------------------------------------------------------------------
@@ -287,32 +417,14 @@ def _unpack(data: bytes, n: int, kinds: tuple) -> list[np.ndarray]:
 
 _PACKED = pa.schema([("shard", pa.int64()), ("batch", pa.int64()), ("n", pa.int64()), ("payload", pa.binary())])
 PACKED_SQL = "shard long, batch long, n long, payload binary"
-_WORD, _CONTEXT, _DOC = U, np.dtype([("v", U), ("u", U)]), np.uint32
-
-
-def _places(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(size, first token) of each text."""
-    sizes = np.array([len(x) for x in hashes])
-    return sizes, np.cumsum(sizes) - sizes
-
-
-def contexts(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(v, u): symbols of the word before each, and of the one before that."""
-    v, u = np.empty_like(word), np.empty_like(word)
-    v[1:], v[first] = word[:-1], BEGIN
-    u[1:], u[first] = v[:-1], NONE
-    return v, u
-
-
-def pair_key(word: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return mix64(word * U(0x9E3779B97F4A7C15) + v)
+_WORD, _CONTEXT, _DOC, _TIMES = U, np.dtype([("v", U), ("u", U)]), np.uint32, np.uint32
 
 
 class Sender:
     """Packs the tokens of a batch of documents for the shards."""
 
-    def __init__(self, vocab: Vocabulary, shards: int):
-        self.vocab, self.shards = vocab, shards
+    def __init__(self, vocab: Vocabulary, shards: int, hot: Hot | None = None):
+        self.vocab, self.shards, self.hot = vocab, shards, hot or Hot(np.zeros(0, U), np.zeros(0, U))
         self.clear()
 
     def clear(self) -> None:
@@ -332,13 +444,21 @@ class Sender:
         vocab = self.vocab
         sizes, first = _places(self.hashes)
         doc = np.repeat(np.arange(len(sizes)), sizes)
-        w = vocab.ids(np.concatenate(self.hashes))
+        h = np.concatenate(self.hashes)
+        w = vocab.ids(h)
         v, u = contexts(w, first)
         # what a frequent word adds to the base is known here
         known = vocab.known(w)
         n = vocab.before[np.where(known, w, U(NONE)).astype(np.int64)]
         base = np.bincount(doc, np.log10(n + 1), len(sizes))
-        n_known = np.bincount(doc, known, len(sizes))
+        n_known = np.bincount(doc, known & (n > 0), len(sizes))
+        shard = vocab.route(w, v)
+        score, sent = np.zeros(len(sizes)), slice(None)
+        if len(self.hot.pairs):
+            pair, has_pair, triple, has_triple = self.hot.places(h, *contexts(h, first))
+            score = self._score(doc, w, v, u, pair, triple, has_triple, len(sizes))
+            shard = np.where(has_pair, pair_key(shard, u), shard)
+            sent = ~has_triple
         facts = pa.table(
             {
                 "doc_id": pa.array(self.ids, pa.int64()),
@@ -346,26 +466,48 @@ class Sender:
                 "n_tokens": pa.array(sizes),
                 "n_known": pa.array(n_known.astype(np.int64)),
                 "base": pa.array(base),
+                "score": pa.array(score),
             }
         )
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, facts.schema) as f:
             f.write_table(facts)
         yield -1 - batch, batch, 0, sink.getvalue().to_pybytes()
-        shard = (pair_key(w, v) % U(self.shards)).astype(np.int64)
+        w, v, u, doc = w[sent], v[sent], u[sent], doc[sent]
+        shard = (shard[sent] % U(self.shards)).astype(np.int64)
         mark = (doc.astype(np.uint32) << np.uint32(1)) | np.array(self.train, np.uint32)[doc]
+        # stable, so that equal n-grams of a document follow each other
         order = np.lexsort((u, v, w, shard))
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for x in (w, v, u, mark):
+            x = x[order]
+            new[1:] |= x[1:] != x[:-1]
+        new = np.flatnonzero(new)
+        times = np.diff(np.append(new, len(order))).astype(_TIMES)
+        order = order[new]
         starts = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(starts)).tolist():
             at = order[starts[s] : starts[s + 1]]
             context = np.empty(len(at), _CONTEXT)
             context["v"], context["u"] = np.diff(v[at], prepend=U(0)), u[at]
-            yield s, batch, len(at), _pack(w[at], context, mark[at])
+            yield s, batch, len(at), _pack(w[at], context, mark[at], times[starts[s] : starts[s + 1]])
+
+    def _score(self, doc, w, v, u, pair, triple, has_triple, texts: int) -> np.ndarray:
+        """Sums of each text over its frequent triples."""
+        vocab, at = self.vocab, np.flatnonzero(has_triple)
+        c_w, c_v = (vocab.before[np.where(vocab.known(x[at]), x[at], U(NONE)).astype(np.int64)] for x in (w, v))
+        own, whole = vocab.parts(c_v, c_w)
+        n = self.hot.pair_n[pair[at]]
+        p = (n + own) / whole
+        p = np.where(u[at] == NONE, p, self.hot.triple_n[triple[at]] + TRIGRAM_STRENGTH * p)
+        cost = np.where(w[at] == vocab.end, 1.0, n + TRIGRAM_STRENGTH)
+        return np.bincount(doc[at], np.log10(p) - np.log10(cost), texts)
 
 
 def _send(shared, shards: int):
     def send(batches):
-        sender, part, k = Sender(shared.value, shards), TaskContext.get().partitionId(), 0
+        sender, part, k = Sender(shared.value[0], shards, shared.value[1]), TaskContext.get().partitionId(), 0
 
         def out():
             nonlocal k
@@ -390,49 +532,39 @@ _NEED_SQL = "hash long, shard long"
 
 
 def _need(shared, shards: int):
-    """(hash, shard) of the words outside the broadcast table that a shard holds, in any of the places w and v."""
+    """(hash, shard) of the contexts outside the broadcast table that a shard holds before such a word.
+
+    The words of frequent pairs are all in the table.
+    """
     schema = pa.schema([("hash", pa.int64()), ("shard", pa.int64())])
 
     def need(batches):
-        vocab: Vocabulary = shared.value
-        held: list[np.ndarray] = []
-
-        def out():
+        vocab: Vocabulary = shared.value[0]
+        for held, _ in _batches(batches):
             w = vocab.ids(np.concatenate(held))
             v, _ = contexts(w, _places(held)[1])
-            held.clear()
-            shard = pair_key(w, v) % U(shards)
-            rare = np.concatenate([np.stack([x, shard])[:, ~vocab.known(x)] for x in (w, v)], axis=1)
+            rare = ~(vocab.known(w) | vocab.known(v))
+            rare = np.stack([v[rare], vocab.route(w[rare], v[rare]) % U(shards)])
             rare = rare[:, np.lexsort(rare)]
             rare = rare[:, (np.diff(rare, axis=1, prepend=~rare[:, :1]) != 0).any(axis=0)]
             for i in range(0, rare.shape[1], 100_000):
                 part = rare[:, i : i + 100_000].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in part], schema=schema)
 
-        size = 0
-        for batch in batches:
-            for t in as_bytes(batch.column(0)):
-                held.append(token_hashes(t))
-                size += len(held[-1])
-                if size >= BATCH_TOKENS:
-                    yield from out()
-                    size = 0
-        if held:
-            yield from out()
-
     return need
 
 
 def rare_counts(rows: DataFrame, counts: DataFrame, shared, shards: int) -> DataFrame:
-    """(shard, hash, n): counts of the words outside the broadcast table, for each shard that holds them."""
-    needs = rows.select("text").mapInArrow(_need(shared, shards), _NEED_SQL).distinct()
+    """(shard, hash, n): counts of contexts outside the broadcast table, for each shard that cannot count them."""
+    needs = rows.select("train", "text").mapInArrow(_need(shared, shards), _NEED_SQL).distinct()
     return needs.join(counts, "hash").select("shard", "hash", "n")
 
 
-def answer_shard(vocab: Vocabulary, word: np.ndarray, context: np.ndarray, train: np.ndarray, rare=None):
+def answer_shard(vocab: Vocabulary, word: np.ndarray, context: np.ndarray, train: np.ndarray, rare=None, hot=None):
     """(score part, base part, known) of each token of a shard, from the shard's own training tokens.
 
-    `rare` are hashes and counts of words outside the broadcast table; a word that is not there has no count.
+    `rare` are hashes and counts of contexts outside the broadcast table that are counted elsewhere.
+    Pairs in `hot` have their counts there, since their triples are in many shards.
     """
     last = len(vocab.before)
     hashes = np.unique(np.concatenate([x[~vocab.known(x)] for x in (word, context["v"], context["u"])]))
@@ -441,26 +573,38 @@ def answer_shard(vocab: Vocabulary, word: np.ndarray, context: np.ndarray, train
         at = np.minimum(np.searchsorted(hashes, rare[0]), len(hashes) - 1)
         mine = hashes[at] == rare[0]
         before[last + at[mine]] = rare[1][mine]
+    if len(hashes):  # a word outside the table has all its tokens here, or none
+        own = np.flatnonzero(~vocab.known(word))
+        own = np.bincount(np.searchsorted(hashes, word[own]), train[own], len(hashes))
+        before[last:] = np.maximum(before[last:], own)
 
     def local(x: np.ndarray) -> np.ndarray:
         return np.where(vocab.known(x), x, np.searchsorted(hashes, x).astype(U) + U(last)) if len(hashes) else x
 
     low = U(32)
-    pairs, number = np.unique((local(word) << low) | local(context["v"]), return_inverse=True)
-    keys, place = np.unique((number.astype(U) << low) | local(context["u"]), return_inverse=True)
-    del number
+    key, u = (local(word) << low) | local(context["v"]), local(context["u"]).astype(np.uint32)
+    del word, context
+    pairs, number = np.unique(key, return_inverse=True)
+    key = (number.astype(U) << low) | u
+    del number, u
+    keys, place = np.unique(key, return_inverse=True)
+    place = place.astype(np.uint32)
+    del key
     count = np.bincount(place, train, len(keys))
     seen = count > 0
     pair = pairs[(keys >> low).astype(np.int64)]
     w, v, u = pair >> low, pair & U(0xFFFFFFFF), keys & U(0xFFFFFFFF)
 
-    def parts(w, v):
-        """(M(v) q(w), c(v) + M(v))"""
-        m = np.maximum(STRENGTH * before[v] ** POWER, 1.0)
-        return m * vocab.unigram(before[w]), before[v] + m
+    names = np.concatenate([np.array([NONE, BEGIN], U), vocab.hashes, hashes])
+
+    def hot_count(w, v):
+        at, hit = find(hot.pairs, pair_key(names[w], names[v]))
+        return hit, hot.pair_n[at] if len(hot.pairs) else 0.0
 
     def pair_probability(w, v, n):
-        own, whole = parts(w, v)
+        own, whole = vocab.parts(before[v], before[w])
+        if hot is not None:
+            n = np.where(*hot_count(w, v), n)
         return (n + own) / whole
 
     with tempfile.TemporaryFile() as file:
@@ -468,19 +612,25 @@ def answer_shard(vocab: Vocabulary, word: np.ndarray, context: np.ndarray, train
         file.flush()
         trie = Trie(np.memmap(file, np.uint8, "r"))
     (at, has_pair), (triple, has_triple) = trie.find(w, v, u)
-    own, whole = parts(w.astype(np.int64), v.astype(np.int64))
+    wi, vi = w.astype(np.int64), v.astype(np.int64)
+    own, whole = vocab.parts(before[vi], before[wi])
     lower = np.log10(own / whole)
+    cost = np.full(len(keys), np.log10(TRIGRAM_STRENGTH))
     if len(trie.pairs):
         lower = np.where(has_pair, trie.pair_value[at], lower)
-        high = np.where(has_triple, trie.triple_value[triple], np.log10(TRIGRAM_STRENGTH) + lower)
-        cost = np.where(has_pair, trie.pair_cost[at], np.log10(TRIGRAM_STRENGTH))
-    else:
-        high, cost = np.log10(TRIGRAM_STRENGTH) + lower, np.full(len(keys), np.log10(TRIGRAM_STRENGTH))
+        cost = np.where(has_pair, trie.pair_cost[at], cost)
+    if hot is not None and len(hot.pairs):
+        hit, n = hot_count(wi, vi)
+        lower = np.where(hit, np.log10((n + own) / whole), lower)
+        cost = np.where(hit, np.log10(n + TRIGRAM_STRENGTH), cost)
+    high = np.log10(TRIGRAM_STRENGTH) + lower
+    if len(trie.triples):
+        high = np.where(has_triple, trie.triple_value[triple], high)
     # the token itself, and its part as the context (u v) of the next one
     end = vocab.known(vocab.end) or (hashes == vocab.end).any()
     is_end = (w == local(np.array([vocab.end], U))) if end else np.zeros(len(w), bool)
     score = np.where(u == NONE, lower, high) - np.where(is_end, 0.0, cost)
-    n = np.where(w < last, 0.0, before[w.astype(np.int64)])
+    n = np.where(w < last, 0.0, before[wi])
     return score[place], np.log10(n + 1)[place], (n > 0)[place]
 
 
@@ -491,19 +641,28 @@ def _answer(shared):
     def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:  # a batch's own facts pass through
             return pa.table([table["batch"], pa.array([0] * len(table), pa.int32()), table["payload"]], schema=_ANSWER)
-        vocab: Vocabulary = shared.value
+        vocab, hot = shared.value
         # counts of rare words come as rows without a payload, the hash in the place of the batch
         is_count = pc.is_null(table["payload"])
         told, table = table.filter(is_count), table.filter(pc.invert(is_count))
         rare = told["batch"].to_numpy().view(U), told["n"].to_numpy().astype(float)
+        batch = pa.array(table["batch"].to_pylist(), pa.int64())
         parts = [
-            _unpack(p, n, (_WORD, _CONTEXT, _DOC)) for p, n in zip(table["payload"].to_pylist(), table["n"].to_pylist())
+            _unpack(p, n, (_WORD, _CONTEXT, _DOC, _TIMES)) for p, n in zip(table["payload"].to_pylist(), table["n"].to_pylist())
         ]
-        word, context, mark = (np.concatenate(x) for x in zip(*parts))
-        score, base, known = answer_shard(vocab, word, context, (mark & np.uint32(1)).astype(float), rare)
+        sizes = [len(part[0]) for part in parts]
+        # nothing of a shard is held twice: its parts go, and its words and contexts belong to the call
+        columns = [np.concatenate(x) for x in zip(*parts)]
+        del parts, told, table
+        times, mark = columns.pop(), columns.pop()
+        train = ((mark & np.uint32(1)) * times).astype(np.float32)
+        score, base, known = answer_shard(vocab, columns.pop(0), columns.pop(), train, rare, hot)
+        score *= times
+        base *= times
+        known = known * times
         out, start = [], 0
-        for part in parts:
-            own = slice(start, start + len(part[0]))
+        for size in sizes:
+            own = slice(start, start + size)
             start = own.stop
             doc = (mark[own] >> np.uint32(1)).astype(np.int64)
             n = int(doc.max()) + 1
@@ -514,7 +673,7 @@ def _answer(shared):
             known_sums = np.bincount(doc, known[own], n)[some].astype("<u4")
             head = np.array([n, len(some)], "<u4").tobytes()
             out.append(head + sums.tobytes() + some.astype("<u4").tobytes() + base_sums[some].astype("<f8").tobytes() + known_sums.tobytes())
-        return pa.table([table["batch"], pa.array([1] * len(out), pa.int32()), pa.array(out, pa.binary())], schema=_ANSWER)
+        return pa.table([batch, pa.array([1] * len(out), pa.int32()), pa.array(out, pa.binary())], schema=_ANSWER)
 
     return answer
 
@@ -530,7 +689,7 @@ def _combine(table: pa.Table) -> pa.Table:
     kinds, payloads = table["kind"].to_pylist(), table["payload"].to_pylist()
     facts = pa.ipc.open_stream(payloads[kinds.index(0)]).read_all()
     n = len(facts)
-    score, base = np.zeros(n), facts["base"].to_numpy().copy()
+    score, base = facts["score"].to_numpy().copy(), facts["base"].to_numpy().copy()
     known = facts["n_known"].to_numpy().copy()
     for kind, data in zip(kinds, payloads):
         if kind:
@@ -549,11 +708,11 @@ def score_documents(docs: DataFrame, train: str = "train", doc_id: str = "doc_id
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score; the rows whose `train` is true are learned."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(train).alias("train"), F.col(text).alias("text"))
-    vocab, counts = vocabulary(rows.where("train"))
     # characters say how many tokens there are, near enough to size the shards
     tokens = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 5
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // SHARD_TOKENS + 1)
-    shared = spark.sparkContext.broadcast(vocab)
+    vocab, counts, hot = vocabulary(rows, shards)
+    shared = spark.sparkContext.broadcast((vocab, hot))
     sent = rows.mapInArrow(_send(shared, shards), PACKED_SQL)
     if not vocab.whole:
         told = rare_counts(rows, counts, shared, shards)

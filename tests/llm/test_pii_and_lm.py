@@ -196,6 +196,25 @@ def test_words_beyond_the_broadcast_table_are_contexts_of_their_own(spark, monke
     check_scores(lm.score_documents(df.repartition(3)).collect(), brute_scores(rows))
 
 
+@pytest.mark.parametrize("contexts", [0, 100])
+def test_no_shard_holds_the_tokens_of_a_frequent_pair(spark, monkeypatch, contexts):
+    monkeypatch.setattr(lm, "CONTEXTS", contexts)
+    rows = [(i, i % 4 > 0, "again " * 200) for i in range(30)]
+    rows += [(100 + i, i % 4 > 0, f"{prose(i, n=150)} of the w{i} of the x{i} w{i} of the {prose(900 + i, n=9)}") for i in range(60)]
+    df = spark.createDataFrame([(i, t, train) for i, train, t in rows], "doc_id long, text string, train boolean")
+    check_scores(lm.score_documents(df.repartition(3)).collect(), brute_scores(rows))
+    shards = 8
+    vocab, _, hot = lm.vocabulary(df, shards)
+    sender = lm.Sender(vocab, shards, hot)
+    for i, train, t in rows:
+        sender.add(i, train, t.encode())
+    facts, *sent = sender.rows(0)
+    total = sum(len(lm.token_hashes(t.encode())) for _, _, t in rows)
+    times = [sum(lm._unpack(r[3], r[2], (lm._WORD, lm._CONTEXT, lm._DOC, lm._TIMES))[3].tolist()) for r in sent]
+    assert sum(times) < total * 0.7 and max(times) < total / shards
+    assert lm.pair_key(*(lm.token_hashes(b"again again")[:2, None])) in hot.pairs
+
+
 def test_compact_sequences_and_tries():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 100, 5000):
