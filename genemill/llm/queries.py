@@ -8,11 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genemill.llm import bpe, chat, decontaminate, lang_id, lm, pii, quality, simhash, suffix_dedup, token_counts
+from genemill.llm import (
+    alignment,
+    bpe,
+    chat,
+    decontaminate,
+    lang_id,
+    lm,
+    mixing,
+    phrases,
+    pii,
+    quality,
+    simhash,
+    suffix_dedup,
+    token_counts,
+)
 from genemill.llm.common import held_out, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,8 +132,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = alignment.align(docs, BYTE_TOKENIZER, PIECE_TOKENIZER, digest=True)
+    counts = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    return done.select("doc_id", *counts, F.col("groups").alias("groups_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_simhash, op3_personal_data, op4_quality_cascade, op5_chat_round_trip, op6_ngram_trie, op7_suffix_array, op8_language_id, op9_decontamination, op10_byte_bpe)
+    f.__name__: f for f in (op1_token_counts, op2_simhash, op3_personal_data, op4_quality_cascade, op5_chat_round_trip, op6_ngram_trie, op7_suffix_array, op8_language_id, op9_decontamination, op10_byte_bpe, op11_phrases, op12_mixture, op13_alignment)
 }
 ORACLE: dict[str, str] = {}
 
@@ -187,3 +219,27 @@ g AS (SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
     sha256(loss) AS loss_sha256, formatted_chars, true AS exact FROM g
 """
+
+# n-grams of up to four words within pieces, by language; the cut with the lowest score; longer phrases around a phrase
+ORACLE["op11_phrases"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, [x FOR x IN string_split_regex(piece, '[\x20\x09]+') IF x <> ''] AS w FROM p),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, k, array_to_string(list_slice(w, s, s + k - 1), ' ') AS phrase, count(*) AS f
+    FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS s
+        FROM w, (VALUES (1), (2), (3), (4)) AS v(k) WHERE len(w) >= k) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, f AS a, k AS words, string_split(phrase, ' ') AS w, unnest(generate_series(1, k - 1)) AS cut FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r,
+        CAST((CAST(2000000 AS HUGEINT) * c.a) // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+    FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.w, 1, c.cut), ' ')
+    JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(c.w, c.cut + 1, c.words), ' ')),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+parts AS (SELECT lang, f, w, words, m, unnest(generate_series(1, words - m + 1)) AS at
+    FROM (SELECT lang, f, k AS words, string_split(phrase, ' ') AS w, unnest(generate_series(2, k - 1)) AS m FROM f WHERE k > 2)),
+around AS (SELECT lang, array_to_string(list_slice(w, at, at + m - 1), ' ') AS phrase, max(f) AS most FROM parts GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN around USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""
