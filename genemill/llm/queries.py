@@ -236,9 +236,9 @@ s AS (SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r,
     FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.w, 1, c.cut), ' ')
     JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(c.w, c.cut + 1, c.words), ' ')),
 best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
-parts AS (SELECT lang, f, w, words, m, unnest(generate_series(1, words - m + 1)) AS at
+parts AS (SELECT lang, f, w, words, m, unnest(generate_series(1, words - m + 1)) AS pos
     FROM (SELECT lang, f, k AS words, string_split(phrase, ' ') AS w, unnest(generate_series(2, k - 1)) AS m FROM f WHERE k > 2)),
-around AS (SELECT lang, array_to_string(list_slice(w, at, at + m - 1), ' ') AS phrase, max(f) AS most FROM parts GROUP BY ALL),
+around AS (SELECT lang, array_to_string(list_slice(w, pos, pos + m - 1), ' ') AS phrase, max(f) AS most FROM parts GROUP BY ALL),
 kept AS (SELECT best.* FROM best LEFT JOIN around USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a)
 SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, a, l, r, n, score
 FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
