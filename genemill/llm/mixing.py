@@ -32,7 +32,8 @@ from genemill.llm.common import cut_table
 
 WEIGHTS = (5, 2, 1)
 SEED = 20
-ROWS_OF_BUCKET = 50_000  # in expectation; a bucket of a queue is ordered in one task
+ROWS_OF_BUCKET = 2_000  # in expectation; a bucket of a queue is ordered in one task
+MOST_BUCKET_BITS = 14  # beyond as many buckets of a queue they grow
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -164,7 +165,7 @@ def mix(
     sized = cut_table(sized)
     by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     by_source = cut_table(by_source.select("source", "source_size", "place", "target"))
-    bits = max(0, int(sized.count() // ROWS_OF_BUCKET)).bit_length()
+    bits = min(MOST_BUCKET_BITS, int(sized.count() // ROWS_OF_BUCKET).bit_length())
     # equal rows are one entry with a count
     entries = sized.groupBy("source", "doc_id", "key", "size").agg(F.count("*").alias("n"))
     same = F.expr("s.source <=> t.source")
