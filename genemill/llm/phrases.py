@@ -44,6 +44,7 @@ FILTER_BITS = 1 << 28
 BITS_OF_SURVIVOR = 16
 CHUNK = 1 << 20  # bytes of text at a time
 HELD = 1 << 22  # hashes of a task before they are counted
+TOTALS_HELD = 1 << 21  # n-grams of a task in the exact count before they are sent
 U = np.uint64
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -165,6 +166,38 @@ class Survivors:
         return there
 
 
+class Totals:
+    """Counts of n-grams in one task: sorted hashes that point to rows in the order in which they came."""
+
+    def __init__(self):
+        self.keys, self.rows = np.zeros(0, U), np.zeros(0, np.int32)
+        self.counts = np.zeros(0, np.int64)
+        self.came: list[tuple[pa.Array, np.ndarray, int]] = []  # phrases, languages, number of words
+
+    def add(self, chunk: Chunk, n: int, h: np.ndarray, at: np.ndarray) -> None:
+        """Count the n-grams at some places of a chunk."""
+        keys, first, counts = np.unique(h[at], return_index=True, return_counts=True)
+        spot = np.searchsorted(self.keys, keys)
+        old = np.zeros(len(keys), bool)
+        inside = spot < len(self.keys)
+        old[inside] = self.keys[spot[inside]] == keys[inside]
+        self.counts[self.rows[spot[old]]] += counts[old]
+        new = ~old
+        places = at[first[new]]
+        self.rows = np.insert(self.rows, spot[new], np.arange(len(self.counts), len(self.counts) + len(places), dtype=np.int32))
+        self.keys = np.insert(self.keys, spot[new], keys[new])
+        self.counts = np.concatenate([self.counts, counts[new]])
+        self.came.append((pa.array([chunk.phrase(i, n) for i in places.tolist()], pa.string()), chunk.lang[places].astype(np.int32), n))
+
+    def batches(self, langs: list[str]):
+        at = 0
+        names = pa.array(langs, pa.string())
+        for phrases, lang, n in self.came:
+            columns = [names.take(pa.array(lang)), phrases, pa.array(np.full(len(lang), n, np.int32)), pa.array(self.counts[at : at + len(lang)])]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n_words", "f"])
+            at += len(lang)
+
+
 def _total_words(docs: DataFrame) -> DataFrame:
     """lang, n: words of each language."""
 
@@ -333,36 +366,17 @@ def frequent_ngrams(docs: DataFrame, threshold: int = THRESHOLD, words: int | No
     def count(batches):
         langs: list[str] = []
         number: dict[str, int] = {}
-        # by length: hash -> [phrase, language, count], added up over the chunks of the task
-        totals: list[dict[int, list]] = [{} for _ in range(MOST_WORDS + 1)]
-
-        def done():
-            for n, own in enumerate(totals):
-                rows = list(own.values())
-                for i in range(0, len(rows), 20_000):
-                    phrase, lang, f = zip(*rows[i : i + 20_000])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([langs[k] for k in lang], pa.string()), pa.array(phrase, pa.string()), pa.array([n] * len(f), pa.int32()), pa.array(f, pa.int64())],
-                        names=["lang", "phrase", "n_words", "f"],
-                    )
-                own.clear()
-
+        totals = Totals()
         for chunk in _chunks(batches, langs, number):
             pairs = None
             for n, h, there in chunk.ngrams(_seeds(langs)):
                 there = known.value.passed(n, h, there, pairs)
                 pairs = there if n == 2 else pairs
-                at = np.flatnonzero(there)
-                each, first, f = np.unique(h[at], return_index=True, return_counts=True)
-                own = totals[n]
-                for x, i, k in zip(each.tolist(), at[first].tolist(), f.tolist()):
-                    if x in own:
-                        own[x][2] += k
-                    else:
-                        own[x] = [chunk.phrase(i, n), int(chunk.lang[i]), k]
-            if sum(map(len, totals)) > 400_000:
-                yield from done()
-        yield from done()
+                totals.add(chunk, n, h, np.flatnonzero(there))
+            if len(totals.keys) > TOTALS_HELD:
+                yield from totals.batches(langs)
+                totals = Totals()
+        yield from totals.batches(langs)
 
     counted = docs.mapInArrow(count, "lang string, phrase string, n_words int, f long")
     return counted.groupBy("lang", "phrase", "n_words").agg(F.sum("f").alias("f")).where(F.col("f") >= threshold)
