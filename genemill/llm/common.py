@@ -32,12 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def cut_table(df: DataFrame) -> DataFrame:
+def cut_table(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Like `cut`, as a Parquet table: smaller than a checkpoint for wide tables of numbers."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
