@@ -152,15 +152,18 @@ def libraries(t):
 
 # ---- networks ----------------------------------------------------------------------------------
 
-_ADJ = """g AS (SELECT DISTINCT gene_id AS gene FROM expr WHERE gene_id LIKE '%O%'),
+_ADJ = """g AS (SELECT DISTINCT gene_id AS gene FROM expr),
     und AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, max(weight) AS weight FROM edges WHERE src IN (SELECT gene FROM g) AND dst IN (SELECT gene FROM g) GROUP BY 1, 2),
     adj AS (SELECT src, dst, weight FROM und UNION ALL SELECT dst, src, weight FROM und UNION ALL SELECT gene, gene, 1.0::DOUBLE FROM g),
     deg AS (SELECT src, sum(weight) + 1e-8 AS d FROM adj GROUP BY 1),
     nrm AS (SELECT a.src, a.dst, weight / sqrt(x.d * y.d) AS weight FROM adj a JOIN deg x ON a.src = x.src JOIN deg y ON a.dst = y.src)"""
 
 
+_RESTRICTED = _ADJ.replace("FROM expr)", "FROM expr WHERE gene_id LIKE '%O%')")  # restriction to a list of genes
+
+
 def _net_genes(t):
-    return t.expr().filter(F.col("gene_id").contains("O")).select(F.col("gene_id").alias("gene")).distinct()
+    return t.expr().select(F.col("gene_id").alias("gene")).distinct()
 
 
 def _adj(t):
@@ -178,9 +181,9 @@ def undirected(t):
     return NW.undirected(t.edges(), 0.2)
 
 
-@query("join_edge_restriction", with_views("edges expr", f"WITH {_ADJ} SELECT src, dst, weight FROM adj"))
+@query("join_edge_restriction", with_views("edges expr", f"WITH {_RESTRICTED} SELECT src, dst, weight FROM adj"))
 def adjacency(t):
-    return _adj(t)
+    return NW.adjacency(t.edges(), _net_genes(t).where(F.col("gene").contains("O")))
 
 
 @query(

@@ -140,12 +140,12 @@ def scan_miniml(t):
 
 @query(
     "scan_edge_file",
-    with_views("edges", "SELECT src, dst, weight FROM edges WHERE weight >= 0.4 UNION ALL SELECT src, dst, 1.0::DOUBLE FROM edges WHERE weight < 0.2"),
+    with_views("edges", "SELECT src, dst, CASE WHEN weight < 0.2 THEN 1.0::DOUBLE ELSE weight END AS weight FROM edges"),
 )
 def scan_edges(t):
     path = MO.scratch(t.spark, "edges")
     e = t.edges()
-    out = e.filter("weight >= 0.4").unionByName(e.filter("weight < 0.2").withColumn("weight", F.lit(None).cast("double")))
+    out = e.withColumn("weight", F.when(F.col("weight") >= 0.2, F.col("weight")))  # light ones are written without weight
     W.write_table(out.select(F.col("src").alias("gene_a"), F.col("dst").alias("gene_b"), "weight"), path, "tsv")
     return RD.edge_file(t.spark, path)
 

@@ -800,12 +800,12 @@ def strength_model(t):
     "clinical_combined_annotation",
     with_views(
         "evidence",
-        """WITH g AS (SELECT biomarker, avg(CASE significance WHEN 'high' THEN 3 WHEN 'moderate' THEN 2 ELSE 1 END) AS m, count(*) AS n FROM evidence WHERE biomarker = 'CHINA' GROUP BY 1)
+        """WITH g AS (SELECT biomarker, avg(CASE significance WHEN 'high' THEN 3 WHEN 'moderate' THEN 2 ELSE 1 END) AS m, count(*) AS n FROM evidence GROUP BY 1)
         SELECT biomarker, n AS n_publications, round(m / 3, 6) AS confidence FROM g""",
     ),
 )
 def combined(t):
-    e = t.evidence().filter("biomarker = 'CHINA'").select("biomarker", F.col("study_type").alias("therapy"), F.lit(1).alias("publication"), "significance")
+    e = t.evidence().select("biomarker", F.col("study_type").alias("therapy"), F.lit(1).alias("publication"), "significance")
     return rounded(A.evidence_union(e).select("biomarker", "n_publications", "confidence"))
 
 
