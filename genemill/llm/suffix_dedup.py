@@ -300,29 +300,37 @@ def _take_parts(batches):
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that are left), a row for each row."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
+    # written once: the number of a row must be the same in every later job, however its input is split there
+    rows = cut_table(
+        docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
+    )
     anchors = rows.mapInArrow(_anchors, "anchor long, digest long, row long, where long")
     # 2. anchors that occur again; the counts are added up before they are shuffled
     # (written, so that both sides of the join are plain shuffles, which AQE splits where an anchor is frequent)
-    times = cut_table(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+    times = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    times = cut_table(times.where("n > 1").select("anchor", F.expr("low = high").alias("alike")))
     again = cut_table(anchors.join(times, "anchor"))
-    same = again.groupBy("anchor", "digest").agg(
-        F.count("*").alias("copies"), F.min(F.struct("row", "where")).alias("one")
+    same = cut_table(
+        again.groupBy("anchor", "digest", "alike").agg(F.count("*").alias("copies"), F.min(F.struct("row", "where")).alias("one"))
+    )
+    # anchors with many kinds: at most one for each WIDE_KINDS rows
+    many = cut_table(
+        same.where("NOT alike").groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > WIDE_KINDS).select("anchor")
     )
-    kinds = same.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    same = cut_table(same.join(kinds, "anchor"))
+    any_wide = not many.isEmpty()
     # 3. the stretches to compare, with their bytes from one occurrence each
-    def with_bytes(kinds: str) -> DataFrame:
-        which = same.where(kinds).select("anchor", "digest", "copies", "one.row", "one.where")
+    def with_bytes(how: str) -> DataFrame:
+        which = same.where("NOT alike")
+        which = (which.join(many, "anchor", how) if any_wide else which).select("anchor", "digest", "copies", "one.row", "one.where")
         wanted = which.groupBy("row").agg(F.collect_list(F.struct("anchor", "digest", "copies", "where")).alias("wanted"))
         # the same columns as below, so that texts are shuffled once
         both = rows.join(wanted, "row").select("row", "text", "wanted", "doc_id")
         return both.mapInArrow(_take_parts, "anchor long, digest long, copies long, row long, where long, part binary")
 
-    parts = with_bytes(f"kinds > 1 AND kinds <= {WIDE_KINDS}").repartition("anchor").sortWithinPartitions("anchor")
+    parts = with_bytes("left_anti").repartition("anchor").sortWithinPartitions("anchor")
     found = cut_table(parts.mapInArrow(_sort_shard, "anchor long, digest long, runs binary"))
-    if not same.where(F.col("kinds") > WIDE_KINDS).isEmpty():
-        wide = with_bytes(f"kinds > {WIDE_KINDS}").mapInArrow(
+    if any_wide:
+        wide = with_bytes("left_semi").mapInArrow(
             _name_starts, "anchor long, digest long, name long, start int, copies long, place long"
         )
         # repeated: a string at two places, or in a stretch that occurs again
@@ -333,7 +341,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         starts = wide.join(names, ["anchor", "name"]).groupBy("anchor", "digest").agg(F.collect_list("start").alias("starts"))
         found = found.unionByName(starts.select("anchor", "digest", _runs_of(F.col("starts")).alias("runs")))
     # 4. back to every occurrence; where all stretches of an anchor are equal, all starts are repeated (no runs given)
-    verdicts = same.where("kinds = 1").select("anchor", "digest", F.lit(None).cast("binary").alias("runs"))
+    verdicts = same.where("alike").select("anchor", "digest", F.lit(None).cast("binary").alias("runs"))
     known = again.join(verdicts.unionByName(found), ["anchor", "digest"])
     own = known.groupBy("row").agg(F.collect_list(F.struct("where", "runs")).alias("found"))
     out = rows.join(own, "row", "left").withColumn("cut", _cut_out(F.col("text"), F.col("found")))
