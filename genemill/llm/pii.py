@@ -27,7 +27,6 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 MIN_SUPPORT, MIN_SHARE = 4, 0.8  # distinct known instances of a pattern, and their share of all its instances
 PROMOTE = 0.75  # score from which an instance counts as known in the next round
-LONGEST = 64  # characters of an identifier-like word, and of the context looked at on each side
 
 _AT_LEFT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -36,7 +35,9 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT_OR_AT = re.compile(r"[0-9@]")
 _WORD = re.compile(r"\S+")
+_SPACE = re.compile(r"\s")
 _DIGITS = re.compile(r"[0-9]")
+_OPENING, _CLOSING = frozenset("\"'([<{"), frozenset("\"')]>}.,;!?")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -97,10 +98,28 @@ def shape(value: str) -> str:
 FITS = {"at": ("email",), "dots": ("ip",), "digits": ("card", "phone"), "mixed": KINDS}
 
 
+def words_before(text: str, start: int) -> list[str]:
+    """The last two whole words before a place, without brackets and quotes that open there."""
+    while start and text[start - 1] in _OPENING:
+        start -= 1
+    out: list[str] = []
+    while start and len(out) < 2:
+        while start and text[start - 1].isspace():
+            start -= 1
+        end = start
+        while start and not text[start - 1].isspace():
+            start -= 1
+        if start < end:
+            out.append(text[start:end].lower())
+    return out[::-1]
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns of a place: two words on the left, and a word on each side."""
-    left = [w.lower() for w in _WORD.findall(text[max(0, start - LONGEST) : start].rstrip("\"'([<{"))][-2:]
-    right = _WORD.search(text[end : end + LONGEST].lstrip("\"')]>}.,;!?"))
+    left = words_before(text, start)
+    while end < len(text) and text[end] in _CLOSING:
+        end += 1
+    right = _WORD.search(text, end)
     out = []
     if len(left) == 2:
         out.append("l " + " ".join(left))
@@ -120,11 +139,11 @@ def instances(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
         while i < len(taken) and taken[i][1] <= at:
             i += 1
         start, end = at, at + 1
-        floor, roof = max(last, at - LONGEST, 0), min(len(text), at + LONGEST)
-        while start > floor and not text[start - 1].isspace():
+        # whole words, however long; what the last one took is not looked at again
+        while start > max(last, 0) and not text[start - 1].isspace():
             start -= 1
-        while end < roof and not text[end].isspace():
-            end += 1
+        space = _SPACE.search(text, end)
+        end = space.start() if space else len(text)
         last = end
         while start < end and not text[start].isalnum():
             start += 1

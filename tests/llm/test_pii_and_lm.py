@@ -227,3 +227,13 @@ def test_compact_sequences_and_tries():
 
 def test_digests_are_stable():
     assert hashlib.sha256(lm.token_hashes(b"A b\x1fc\n").tobytes()).hexdigest()[:6] == hashlib.sha256(lm.token_hashes(b"a B\x1fc").tobytes()).hexdigest()[:6]
+
+
+def test_long_identifiers_are_whole():
+    from genemill.llm import pii
+
+    value = "1a" * 2500
+    text = "Reference " + "w" * 300 + f' id ("{value}"), next x1y2z3'
+    first, second = pii.instances(text, [])
+    assert text[first["start"] : first["end"]] == value and text[second["start"] : second["end"]] == "x1y2z3"
+    assert first["patterns"] == ["l " + "w" * 300 + " id", "b id next"]
