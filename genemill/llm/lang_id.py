@@ -1,10 +1,10 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of hashed n-grams (1 to 3 characters of the lower-cased text) come from every training row and are summed by
-Spark; the log-probability matrix (languages x buckets) is small by construction (`MATRIX_CELLS`) and is sent to
-every task, where numpy sums the rows of a text's n-grams.
+Spark; the log-probability matrix (languages x buckets) is sent to every task in blocks of languages of a fixed size
+(`MATRIX_CELLS`), where numpy sums the rows of a text's n-grams. Buckets don't depend on the number of languages.
 
-A text that is null, empty or without a letter is `und` with score 0. The score is the posterior of the prediction.
+A text that is null, empty or without a letter (Unicode class L) is `und` with score 0. The score is the posterior of the prediction.
 Ties go to the language that sorts first. Without training rows everything is `und`. Texts are used whole; repeated
 rows count as often as they come; other columns are not read.
 """
@@ -23,11 +23,11 @@ from pyspark.sql import types as T
 from genemill.llm.common import SLICE, add_by_slices
 
 BUCKETS = 1 << 16
-MATRIX_CELLS = 1 << 22  # 16 MB of 32-bit floats; with more languages there are fewer buckets
+MATRIX_CELLS = 1 << 22  # 16 MB of 32-bit floats; more languages go in blocks, one pass for each
 SMOOTHING = 0.5
 STEP = 1 << 20  # characters of a text at a time
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")  # letters, and signs such as a raised 2, which are none
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
 
@@ -74,44 +74,82 @@ def _counts(docs: DataFrame, langs: list[str], buckets: int) -> DataFrame:
 
 
 class Model:
-    def __init__(self, langs: list[str], prior: np.ndarray, weights: np.ndarray):
-        self.langs, self.prior, self.weights = langs, prior, weights  # weights: (buckets, languages)
+    """Languages, their log priors, and the log-probabilities (buckets, languages) in blocks of languages."""
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not _LETTER.search(text):
-            return "und", 0.0
-        total = self.prior.astype(np.float64)
-        for ids in ngram_buckets(text, len(self.weights)):
-            total = total + self.weights[ids].sum(axis=0, dtype=np.float64)
-        best = int(np.argmax(total))
-        return self.langs[best], float(1.0 / np.exp(total - total[best]).sum())
+    def __init__(self, langs: list[str], prior: np.ndarray, blocks: list[np.ndarray]):
+        self.langs, self.prior, self.blocks = langs, prior, blocks
+
+    def parts(self) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
+        out, at = [], 0
+        for weights in self.blocks:
+            end = at + weights.shape[1]
+            out.append((self.langs[at:end], self.prior[at:end], weights))
+            at = end
+        return out
+
+
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in _WORDLIKE.finditer(text))
+
+
+def _best(part: tuple[list[str], np.ndarray, np.ndarray], text: str | None) -> tuple[str | None, float, float]:
+    """The best language of a block, its log-probability, and the sum of all relative to it."""
+    langs, prior, weights = part
+    if not text or not has_letter(text):
+        return None, 0.0, 0.0
+    total = prior.astype(np.float64)
+    for ids in ngram_buckets(text, len(weights)):
+        total = total + weights[ids].sum(axis=0, dtype=np.float64)
+    best = int(np.argmax(total))
+    return langs[best], float(total[best]), float(np.exp(total - total[best]).sum())
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int = BUCKETS) -> Model:
     """Learn from all rows with a text and a language."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    while buckets > 256 and buckets * len(langs) > MATRIX_CELLS:
-        buckets //= 2
-    counts = np.zeros((buckets, len(langs)))
+    step = max(1, MATRIX_CELLS // buckets)
     texts = np.zeros(len(langs))
-    if langs:
-        for i, bucket, n in _counts(rows, langs, buckets).toLocalIterator():
+    blocks = []
+    for at in range(0, len(langs), step):
+        own = langs[at : at + step]
+        counts = np.zeros((buckets, len(own)))
+        some = rows.where(F.col("lang").isin(own)) if len(langs) > step else rows
+        for i, bucket, n in _counts(some, own, buckets).toLocalIterator():
             if bucket < 0:
-                texts[i] = n
+                texts[at + i] = n
             else:
                 counts[bucket, i] = n
-    weights = np.log((counts + SMOOTHING) / (counts.sum(axis=0) + SMOOTHING * buckets)).astype(np.float32)
-    return Model(langs, np.log(np.maximum(texts, 1) / max(texts.sum(), 1)), weights)
+        blocks.append(np.log((counts + SMOOTHING) / (counts.sum(axis=0) + SMOOTHING * buckets)).astype(np.float32))
+    return Model(langs, np.log(np.maximum(texts, 1) / max(texts.sum(), 1)), blocks)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Add the predicted language and its posterior."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def predicted(values: pa.Array) -> list[pa.Array]:
-        out = [shared.value.predict(t) for t in values.to_pylist()]
-        return [pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())]
-
-    fields = [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]
-    return add_by_slices(docs, [text], fields, predicted)
+    """Add the predicted language and its posterior; one pass over the texts for each block of languages."""
+    df = docs
+    fields = [T.StructField("__lang", T.StringType()), T.StructField("__top", T.DoubleType()), T.StructField("__sum", T.DoubleType())]
+    for k, part in enumerate(model.parts()):
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+
+        def predicted(values: pa.Array, *before: pa.Array, shared=shared) -> list[pa.Array]:
+            out = [_best(shared.value, t) for t in values.to_pylist()]
+            if before:
+                out = [_better(x, y) for x, y in zip(zip(*[b.to_pylist() for b in before]), out)]
+            lang, top, total = zip(*out) if out else ((), (), ())
+            return [pa.array(lang, pa.string()), pa.array(top, pa.float64()), pa.array(total, pa.float64())]
+
+        df = add_by_slices(df, [text, *[f.name for f in fields]] if k else [text], fields, predicted)
+    if not model.blocks:
+        df = df.withColumns({"__lang": F.lit(None).cast("string"), "__sum": F.lit(1.0), "__top": F.lit(0.0)})
+    lang, posterior = F.coalesce("__lang", F.lit("und")), F.when(F.col("__lang").isNull(), 0.0).otherwise(1 / F.col("__sum"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (pred, score)]
+    return df.select(*kept, lang.alias(pred), posterior.alias(score))
+
+
+def _better(x: tuple[str | None, float, float], y: tuple[str | None, float, float]) -> tuple[str | None, float, float]:
+    """Two blocks as one; ties go to the first, whose languages sort first."""
+    if x[0] is None or y[0] is None:
+        return y if x[0] is None else x
+    if x[1] < y[1]:
+        return y[0], y[1], y[2] + x[2] * float(np.exp(x[1] - y[1]))
+    return x[0], x[1], x[2] + y[2] * float(np.exp(y[1] - x[1]))

@@ -31,6 +31,50 @@ def test_without_training_rows_nothing_is_told(spark):
     assert lang_id.predict(empty(spark), model).count() == 0
 
 
+def plain_naive_bayes(rows, text, buckets=1 << 16):
+    """(language, posterior) from counts in dictionaries."""
+    from collections import Counter
+    from math import exp, log
+
+    grams = lambda t: [b for part in lang_id.ngram_buckets(t, buckets) for b in part.tolist()]
+    counts, texts = {}, Counter()
+    for t, lang in rows:
+        if t is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(grams(t))
+            texts[lang] += 1
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    total = {}
+    for lang, c in counts.items():
+        n = sum(c.values()) + 0.5 * buckets
+        total[lang] = log(texts[lang] / sum(texts.values())) + sum(log((c[b] + 0.5) / n) for b in grams(text))
+    best = max(sorted(total), key=total.get)
+    return best, 1 / sum(exp(v - total[best]) for v in total.values())
+
+
+@pytest.mark.parametrize("cells", [lang_id.MATRIX_CELLS, 1 << 17])
+def test_predictions_equal_plain_counts(spark, monkeypatch, cells):
+    monkeypatch.setattr(lang_id, "MATRIX_CELLS", cells)  # two languages a block in the second case
+    kinds = {"de": DE, "en": EN, "xx": EN[:9] + DE[:9], "yy": EN[9:], "zz": DE[9:]}
+    rows = [(prose(i, kinds[k], 9), k) for i, k in enumerate(sorted(kinds) * 5)] + [(None, "en"), ("stray", None), ("", "en")]
+    model = lang_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.blocks) == (1 if cells == 1 << 22 else 3)
+    asked = [prose(500 + i, kinds[k], 4) for i, k in enumerate(sorted(kinds) * 3)] + ["²½", "x", "Ⅷ 12", "É", None, " "]
+    got = lang_id.predict(spark.createDataFrame([(t,) for t in asked], "text string"), model).collect()
+    for r in got:
+        lang, score = plain_naive_bayes(rows, r.text)
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-3), r.text
+
+
+def test_many_labels_keep_the_buckets_of_few(spark):
+    few = [("aaa bbb", "a"), ("ccc ddd", "b")]
+    many = few + [(f"{chr(0x4E00 + i)} {i}", f"l{i:03d}") for i in range(198)]
+    model = lang_id.fit(spark.createDataFrame(many, "text string, lang string"))
+    assert len(model.langs) == 200 and {b.shape[0] for b in model.blocks} == {lang_id.BUCKETS}
+    got = lang_id.predict(spark.createDataFrame(few, "text string, lang string"), model).collect()
+    assert [r.lang_pred for r in got] == [r.lang for r in got]
+
+
 def test_pieces_of_a_long_text_give_the_same_ngrams(monkeypatch):
     import numpy as np
 
