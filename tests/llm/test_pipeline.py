@@ -80,3 +80,10 @@ def test_everything_is_registered():
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names and len(corpus_pipeline.STAGES) == 5
     assert {x for x in entry.oracle_sql() if x.startswith("op")} == {"op4_quality_cascade", "op5_chat_round_trip", "op9_decontamination"}
+
+
+def test_unlabelled_corpus_passes_the_language_stage(spark, tmp_path):
+    docs = documents(spark).withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language(spark, docs, str(tmp_path))
+    lettered = [r for r in docs.collect() if any(c.isalpha() for c in r.text or "")]
+    assert multiset(kept.collect()) == multiset(lettered)
