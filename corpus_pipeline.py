@@ -20,6 +20,8 @@ from genemill.session import ensure_checkpoint_dir
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be told; null texts and texts without a letter go."""
     model = lang_id.fit(docs.where(~held_out(F.col("doc_id"), 4)))
+    if not model.langs:  # no labelled row to learn from: all that has a letter stays
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = lang_id.predict(docs, model, pred="__lang", score="__score")
     return found.where("__lang <> 'und'").select(*docs.columns)
 
