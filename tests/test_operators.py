@@ -193,6 +193,37 @@ def test_cox_maximises_efron_likelihood(subjects):
     assert (shrunk["coef"].abs() <= fit["coef"].abs() + 1e-9).all()
 
 
+@pytest.mark.parametrize("ties,spread", [(1, 1.0), (5, 0.1), (17, 2.0), (400, 0.01), (400, 50.0), (30_000, 1.0)])
+def test_tie_sums_equal_term_by_term_sums(spark, ties, spread):
+    """Log-likelihood, gradient and information at one event time against the sum over all tied events."""
+    rng = np.random.default_rng(ties)
+    n = ties + int(ties * spread) + 1
+    x, event = rng.normal(size=n), np.r_[np.ones(ties, int), np.zeros(n - ties, int)]
+    time = np.where(event == 1, 5.0, np.where(rng.random(n) < 0.5, 5.0, 9.0))
+    df = spark.createDataFrame(pd.DataFrame({"time": time, "event": event, "x": x}))
+    row = survival._score(df, [], F.col("x") * 0.4, ["x"], True).first()
+    w, dead = np.exp(0.4 * x), event == 1
+    f = np.arange(ties) / ties
+    z = [(w * x**k).sum() - f * (w * x**k)[dead].sum() for k in range(3)]
+    assert row.ll == pytest.approx((0.4 * x[dead]).sum() - np.log(z[0]).sum(), rel=1e-10, abs=1e-9)
+    assert row.g0 == pytest.approx(x[dead].sum() - (z[1] / z[0]).sum(), rel=1e-8, abs=1e-8)
+    assert row.h0_0 == pytest.approx((z[2] / z[0] - (z[1] / z[0]) ** 2).sum(), rel=1e-8, abs=1e-10)
+
+
+def test_a_million_tied_events(spark):
+    """A time with a million events is one row of sums; with equal weights they are those of a harmonic series."""
+    d = 1_000_000
+    df = spark.range(d + 1).select(
+        F.lit(3.0).alias("time"), F.when(F.col("id") < d, 1).otherwise(0).alias("event"), (F.col("id") % 2).cast("double").alias("x")
+    )
+    row = survival._score(df, [], F.lit(0.0), ["x"], True).first()
+    f = np.arange(d) / d
+    z0, z1 = d + 1 - f * d, (d + 1) // 2 - f * (d // 2)
+    assert row.ll == pytest.approx(-np.log(z0).sum(), rel=1e-12)
+    assert row.g0 == pytest.approx(d // 2 - (z1 / z0).sum(), rel=1e-6, abs=1e-6)
+    assert row.h0_0 == pytest.approx((z1 / z0 - (z1 / z0) ** 2).sum(), rel=1e-9)
+
+
 def test_univariate_cox_equals_single_fits(spark, subjects):
     df, pdf = subjects
     long = df.select("sample_id", F.lit("x").alias("gene_id"), F.col("x").alias("value")).unionByName(
