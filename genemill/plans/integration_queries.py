@@ -84,7 +84,7 @@ def es(t):
 
 @query("pathway_gsea")
 def gsea(t):
-    return rounded(PW.gsea(_scores(t), t.gene_sets(), 5, 500, n_perm=50))
+    return rounded(PW.gsea(_scores(t), t.gene_sets(), 5, 500))
 
 
 @query(
@@ -117,14 +117,14 @@ def summary(t):
 
 @query("topk_significant_pathways")
 def significant(t):
-    g = PW.gsea(_scores(t), t.gene_sets(), 5, 500, n_perm=25)
+    g = PW.gsea(_scores(t), t.gene_sets(), 5, 500)
     return rounded(PW.significant_pathways(g, _ora(t), 0.9))
 
 
 @query("pathway_run_both")
 def both(t):
     s = _scores(t)
-    return rounded(PW.pathway_run(s.filter("score > 2").select("gene"), s, t.gene_sets(), "both", min_size=5, n_perm=25))
+    return rounded(PW.pathway_run(s.filter("score > 2").select("gene"), s, t.gene_sets(), "both", min_size=5))
 
 
 @query(

@@ -469,7 +469,7 @@ def metric_summary(t):
 
 @query("eval_bootstrap_auc_delta")
 def bootstrap(t):
-    return rounded(E.bootstrap_auc_delta(t.predictions(), "price", "season", 25))
+    return rounded(E.bootstrap_auc_delta(t.predictions(), "price", "season"))
 
 
 @query("eval_permutation_exact")
@@ -479,7 +479,7 @@ def permutation_exact(t):
 
 @query("eval_permutation_fixed_prediction")
 def permutation(t):
-    return rounded(E.permutation_accuracy(t.predictions(), 10))
+    return rounded(E.permutation_accuracy(t.predictions()))
 
 
 @query(
