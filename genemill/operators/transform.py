@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from genemill.operators.normalize import (
     value_stats,
     z_score,
 )
+from genemill.session import ensure_checkpoint_dir
 
 
 def _on_value(expr: DataFrame, fn: Callable[[Column], Column]) -> DataFrame:
@@ -61,55 +63,105 @@ def _power_value(lam: Column, kind: str) -> Column:
     return sign * F.when(F.abs(m) < 1e-12, size).otherwise(F.expm1(m * size) / m)
 
 
+def _power_slopes(lam: Column, kind: str) -> tuple[Column, Column]:
+    """First and second derivative by lambda of the transform of a row with `_L`, `_s` and its value `_p`."""
+    size, sign = F.col("_L"), F.col("_s")
+    m = F.when(sign > 0, lam).otherwise(2 - lam) if kind == "yeo-johnson" else lam
+    t = m * size
+    near = F.abs(t) < 1e-2  # the closed forms lose digits there: Taylor terms instead
+    sq, up = size * size, F.exp(t)
+    one = F.when(near, sq * _poly((1 / 2, 1 / 3, 1 / 8, 1 / 30, 1 / 144), t)).otherwise((size * up - sign * F.col("_p")) / m)
+    two = F.when(near, sq * size * _poly((1 / 3, 1 / 4, 1 / 10, 1 / 36, 1 / 168), t)).otherwise((sq * up - 2 * one) / m)
+    return one, sign * two
+
+
 def power_lambdas(expr: DataFrame, kind: str = "yeo-johnson", key: str = "gene_id") -> DataFrame:
-    """Maximum-likelihood lambda per gene, to 1/4096.
+    """Maximum-likelihood lambda per gene, to 1/4096 (1 where all values are equal).
 
-    A grid of whole numbers from -16 to 16 comes first; as long as some gene's best is at an end, the grid moves there.
-    Six passes of nine candidates then refine it. Every pass is one aggregation with a column for each candidate, so a
-    gene and task send one row.
+    The log-likelihood is concave in lambda, so its derivative has one zero. Each pass is one aggregation of variances
+    and covariances of the transform and its two derivatives, from which every gene takes a Newton step inside the
+    bracket known so far; it ends when no gene moves by more than 1/8192. A last pass compares the four multiples of
+    1/4096 around the zero (ties: the smallest). A likelihood that rises up to `MAX_LAMBDA` has no maximum and gives
+    a value there.
     """
+    ensure_checkpoint_dir(expr.sparkSession)
     size, sign = _power_terms(kind)
     rows = expr.filter(F.col("value").isNotNull())
     data = reuse(rows.select(key, size.alias("_L"), sign.alias("_s")))
-    best = _best_of(data.withColumn("lambda", F.lit(0.0)), kind, key, 1.0, 16)
+    state = data.groupBy(key).agg(F.count("_L").alias("_n"), F.sum(F.col("_s") * F.col("_L")).alias("_j")).withColumns(
+        {"lambda": F.lit(1.0), "_lo": F.lit(-MAX_LAMBDA), "_hi": F.lit(MAX_LAMBDA), "_good": F.lit(1.0), "_move": F.lit(1.0)}
+    )
+    closed = []
     while True:
-        best = reuse(best)
-        far = best.filter("_edge").select(key, "lambda")
-        if far.isEmpty():
+        state = _newton_step(data, state, kind, key).checkpoint()
+        closed.append(state.filter(F.abs("_move") <= 1 / 8192))
+        state = state.filter(F.abs("_move") > 1 / 8192)
+        if state.isEmpty():
             break
-        moved = _best_of(data.join(far, key), kind, key, 1.0, 16)
-        best = best.filter("NOT _edge").unionByName(moved.withColumn("_edge", F.col("_edge") & (F.abs("lambda") < MAX_LAMBDA)))
-    step = 0.25
-    for _ in range(6):
-        best = _best_of(data.join(best.select(key, "lambda"), key), kind, key, step, 4)
-        step /= 4
-    return best.select(key, "lambda")
+    zero = reduce(DataFrame.unionByName, closed)
+    return _best_multiple(data, zero, kind, key)
 
 
 MAX_LAMBDA = 512.0  # the power of a double is out of range before this; a likelihood that still rises has no maximum
+_STRIDE = 8.0  # a longer Newton step is cut to this
+
 
+def _newton_step(data: DataFrame, state: DataFrame, kind: str, key: str) -> DataFrame:
+    """The next lambda and bracket of every gene of `state`.
 
-def _best_of(data: DataFrame, kind: str, key: str, step: float, reach: int) -> DataFrame:
-    """The best of the candidates around each gene's `lambda` (ties: the smallest), and whether it is at an end."""
-    offsets = range(-reach, reach + 1)
-    spread = [F.var_pop(_power_value(F.col("lambda") + i * step, kind)).alias(f"_v{i}") for i in offsets]
-    g = data.groupBy(key, "lambda").agg(
-        F.count("_L").alias("_n"), F.sum(F.col("_s") * F.col("_L")).alias("_j"), *spread
+    `_good` is the last lambda with a finite positive variance. Where the variance leaves that range, the place is an end
+    of the bracket and the next lambda lies halfway to `_good`.
+    """
+    moved = data.join(state, key).withColumn("_p", _power_value(F.col("lambda"), kind))
+    one, two = _power_slopes(F.col("lambda"), kind)
+    moved = moved.withColumn("_d", one).withColumn("_dd", two)
+    kept = [F.any_value(c).alias(c) for c in ("_n", "_j", "lambda", "_lo", "_hi", "_good")]
+    g = moved.groupBy(key).agg(
+        F.var_pop("_p").alias("_v"), F.covar_pop("_p", "_d").alias("_c"),
+        F.var_pop("_d").alias("_w"), F.covar_pop("_p", "_dd").alias("_e"), *kept,
+    )
+    lam, v, c = F.col("lambda"), F.col("_v"), F.col("_c")
+    big = float("inf")
+    ok = (v > 0) & (v < big) & ~F.isnan("_c") & (F.abs("_c") < big)
+    slope = F.col("_j") / F.col("_n") - c / v
+    bend = -(F.col("_w") + F.col("_e")) / v + 2 * (c / v) * (c / v)
+    g = g.withColumns({"_ok": ok, "_g": F.when(ok, slope), "_b": F.when(ok, bend)})
+    rising, falling = F.col("_g") > 0, F.col("_g") < 0
+    past = ~F.col("_ok") & (lam > F.col("_good"))
+    short = ~F.col("_ok") & (lam < F.col("_good"))
+    g = g.withColumns({
+        "_lo": F.when(rising | short, F.greatest("_lo", "lambda")).otherwise(F.col("_lo")),
+        "_hi": F.when(falling | past, F.least("_hi", "lambda")).otherwise(F.col("_hi")),
+        "_good": F.when(F.col("_ok"), lam).otherwise(F.col("_good")),
+    })
+    newton = F.when((F.col("_b") < 0) & (F.col("_b") > -big), -F.col("_g") / F.col("_b")).otherwise(F.signum("_g") * _STRIDE)
+    newton = lam + F.greatest(F.lit(-_STRIDE), F.least(F.lit(_STRIDE), newton))
+    inside = (newton > F.col("_lo")) & (newton < F.col("_hi"))
+    halves = (F.greatest(F.col("_lo"), lam - _STRIDE) + F.least(F.col("_hi"), lam + _STRIDE)) / 2
+    to = (
+        F.when(~F.col("_ok"), (lam + F.col("_good")) / 2)  # stays where it is when no lambda was good
+        .when(F.col("_g") == 0, lam)
+        .when(inside, newton)
+        .otherwise(halves)
+    )
+    return g.withColumn("_to", to).select(
+        key, "_n", "_j", F.col("_to").alias("lambda"), "_lo", "_hi", "_good", (F.col("_to") - lam).alias("_move")
     )
 
-    def likelihood(i: int) -> Column:
-        v, lam = F.col(f"_v{i}"), F.col("lambda") + i * step
-        ok = (v > 0) & (v < float("inf"))
-        return F.when(ok, -F.col("_n") / 2 * F.log(v) + (lam - 1) * F.col("_j"))
 
-    tried = [F.struct(likelihood(i).alias("ll"), F.lit(-i).alias("f"), (F.col("lambda") + i * step).alias("lam")) for i in offsets]
+def _best_multiple(data: DataFrame, zero: DataFrame, kind: str, key: str) -> DataFrame:
+    """The most likely of the four multiples of 1/4096 around each gene's `lambda`; 1 where none has a variance."""
+    base = zero.select(key, "_n", "_j", (F.floor(F.col("lambda") * 4096) / 4096).alias("_base"))
+    offsets = [i / 4096 for i in range(-1, 3)]
+    spread = [F.var_pop(_power_value(F.col("_base") + o, kind)).alias(f"_v{i}") for i, o in enumerate(offsets)]
+    g = data.join(base, key).groupBy(key).agg(F.any_value("_n").alias("_n"), F.any_value("_j").alias("_j"), F.any_value("_base").alias("_base"), *spread)
+    tried = []
+    for i, o in enumerate(offsets):
+        v, lam = F.col(f"_v{i}"), F.col("_base") + o
+        ll = F.when((v > 0) & (v < float("inf")), -F.col("_n") / 2 * F.log(v) + (lam - 1) * F.col("_j"))
+        tried.append(F.struct(ll.alias("ll"), (-lam).alias("f")))
     top = F.array_max(F.filter(F.array(*tried), lambda x: x["ll"].isNotNull()))
-    g = g.withColumn("_top", top)
-    return g.select(
-        key,
-        F.coalesce("_top.lam", F.lit(1.0)).alias("_lam"),
-        F.coalesce(F.abs("_top.f") == reach, F.lit(False)).alias("_edge"),
-    ).withColumnRenamed("_lam", "lambda")
+    return g.withColumn("_top", top).select(key, F.coalesce(-F.col("_top.f"), F.lit(1.0)).alias("lambda"))
 
 
 def power_transform(expr: DataFrame, kind: str = "yeo-johnson", standardize: bool = True) -> DataFrame:
