@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,7 +75,7 @@ def _enrichment(hits: DataFrame, keys, n_genes, weight: float) -> DataFrame:
         .withColumn("_tot", F.sum("_a").over(w))
         .withColumn("_k", F.count(F.lit(1)).over(w))
     )
-    miss = (F.col("pos") - F.col("_i")) / (n_genes - F.col("_k"))
+    miss = (F.col("pos") - F.col("_i")) / F.greatest(n_genes - F.col("_k"), F.lit(1))
     total = F.when(F.col("_tot") > 0, F.col("_tot")).otherwise(F.lit(1.0))
     after = F.col("_cum") / total - miss
     before = (F.col("_cum") - F.col("_a")) / total - miss
@@ -112,6 +116,109 @@ def _scored_sets(hits: DataFrame, n, weight: float) -> DataFrame:
     return es.join(lead, "gene_set", "left")
 
 
+REPS_AT_ONCE = 25  # permutations of a task
+GENES_AT_ONCE = 1_000_000  # genes broadcast, at 24 bytes each
+_MEMBERS_AT_ONCE = 1_000_000
+
+
+def null_scores(
+    ranked: DataFrame, hits: DataFrame, n_genes: int, max_size: int, n_perm: int, weight: float, seed: int,
+    by_joins: bool | None = None,
+) -> DataFrame:
+    """(rep, gene_set, es) of every set under `n_perm` permutations of the ranked genes.
+
+    A permutation is the order of a hash of gene, replicate and seed (ties: gene). One Arrow pass takes blocks of
+    replicates: a task orders the genes anew for each and scores all sets from prefix sums over their sorted positions, so
+    no rows of genes x permutations arise. A set brings at most `max_size` positions. With more than `GENES_AT_ONCE` genes
+    the same permutations come from distributed ranks and joins.
+    """
+    if n_genes > GENES_AT_ONCE if by_joins is None else by_joins:
+        return _null_by_joins(ranked, hits, n_genes, n_perm, weight, seed)
+    genes = ranked.orderBy("gene").select(
+        F.xxhash64("gene").alias("hash"), F.pow(F.abs("score"), F.lit(weight)).alias("size"), "pos"
+    ).toArrow()
+    place = genes["pos"].to_numpy().astype(np.int64) - 1
+    gene_at, size_at = np.empty(n_genes, np.int64), np.empty(n_genes)
+    gene_at[place] = np.arange(n_genes)
+    size_at[place] = genes["size"].to_numpy()
+    shared = ranked.sparkSession.sparkContext.broadcast((genes["hash"].to_numpy(), gene_at, size_at))
+    last_block = (n_perm - 1) // REPS_AT_ONCE
+    sets = hits.groupBy("gene_set").agg(F.collect_list(F.col("pos").cast("long") - 1).alias("places"))
+    work = sets.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last_block)))).repartition(last_block + 1, "block")
+    rows = max(1, _MEMBERS_AT_ONCE // max_size)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, gene_of, sizes = shared.value
+        for batch in batches:
+            blocks = batch["block"].to_numpy()
+            for block in np.unique(blocks):
+                part = batch.filter(pa.array(blocks == block))
+                reps = range(block * REPS_AT_ONCE, min(n_perm, (block + 1) * REPS_AT_ONCE))
+                for start in range(0, part.num_rows, rows):
+                    some = part.slice(start, rows)
+                    places = some["places"]
+                    member = gene_of[places.flatten().to_numpy()]
+                    count = np.diff(places.offsets.to_numpy())
+                    for rep in reps:
+                        es = _permuted_scores(_new_places(hashes, rep, seed), member, count, sizes)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(es), rep, np.int32)), some["gene_set"], pa.array(es)], ["rep", "gene_set", "es"]
+                        )
+
+    return work.mapInArrow(score, "rep int, gene_set string, es double")
+
+
+def _new_places(hashes: np.ndarray, rep: int, seed: int) -> np.ndarray:
+    """Place (from 0) of every gene in the order of Spark's xxhash64(gene, rep, seed) / 2**20."""
+    h = hashes.view(np.uint64)
+    for number in (rep, seed):
+        h = _hash_int(number, h)
+    out = np.empty(len(h), np.int64)
+    out[np.argsort(h.view(np.int64) / 2.0**20, kind="stable")] = np.arange(len(h))
+    return out
+
+
+# The primes of XXH64.
+_P1, _P2, _P3, _P5 = (
+    np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5)
+)
+
+
+def _hash_int(number: int, seeds: np.ndarray) -> np.ndarray:
+    """XXH64 of a 32-bit integer for an array of seeds."""
+    word = np.full(1, number & 0xFFFFFFFF, np.uint64) * _P1
+    h = (seeds + _P5 + np.uint64(4)) ^ word
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * _P2 + _P3
+    for shift, factor in ((33, _P2), (29, _P3)):
+        h = (h ^ (h >> np.uint64(shift))) * factor
+    return h ^ (h >> np.uint64(32))
+
+
+def _permuted_scores(places: np.ndarray, member: np.ndarray, count: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Enrichment score of sets given one after the other (`count` genes each) with genes at `places`."""
+    n = len(places)
+    start = np.cumsum(count) - count
+    owner = np.repeat(np.arange(len(count)), count)
+    at = np.sort(owner * n + places[member]) - owner * n
+    size = sizes[at]
+    run = np.cumsum(size)
+    run -= np.repeat(run[start] - size[start], count)
+    total = np.add.reduceat(size, start)
+    total = np.repeat(np.where(total > 0, total, 1.0), count)
+    miss = (at - (np.arange(len(at)) - np.repeat(start, count))) / np.repeat(np.maximum(n - count, 1), count)
+    high = np.maximum.reduceat(run / total - miss, start)
+    low = np.minimum.reduceat((run - size) / total - miss, start)
+    return np.where(high >= -low, high, low)
+
+
+def _null_by_joins(ranked: DataFrame, hits: DataFrame, n_genes: int, n_perm: int, weight: float, seed: int) -> DataFrame:
+    reps = ranked.select("gene").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
+    reps = reps.withColumn("_h", F.xxhash64("gene", "rep", F.lit(seed)) / 2.0**20)
+    placed = ordinal_ranks(reps, ["rep"], "_h", "gene", "pos", small=n_genes <= GROUP_LIMIT).select("rep", "gene", "pos")
+    moved = hits.select("gene_set", "gene").join(placed, "gene").join(ranked.select("pos", "score"), "pos")
+    return _enrichment(moved, ["rep", "gene_set"], F.lit(n_genes), weight).select("rep", "gene_set", "es")
+
+
 def gsea(
     scores: DataFrame,
     gene_sets: DataFrame,
@@ -121,23 +228,13 @@ def gsea(
     weight: float = 1.0,
     seed: int = 42,
 ) -> DataFrame:
-    """ES, NES, p, FDR and FWER against gene permutations.
-
-    A permutation is the order of a hash per gene and replicate; only the members of
-    admissible sets are kept, and the score at a position comes from a join on position.
-    """
+    """ES, NES, p, FDR and FWER against `n_perm` gene permutations (see `null_scores`)."""
     ranked = reuse(ranked_list(reuse(scores)))
     n_genes = ranked.count()
-    n = F.lit(n_genes)
     hits = reuse(_sized_hits(ranked, gene_sets, min_size, max_size))
-    es = _scored_sets(hits, n, weight)
-    reps = ranked.select("gene").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-    reps = reps.withColumn("_h", F.xxhash64("gene", "rep", F.lit(seed)) / 2.0**20)
-    placed = ordinal_ranks(reps, ["rep"], "_h", "gene", "pos", small=n_genes <= GROUP_LIMIT).select("rep", "gene", "pos")
-    members = hits.select("gene_set", "gene")
-    null_hits = members.join(placed, "gene").join(ranked.select("pos", "score"), "pos")
-    null = _enrichment(null_hits, ["rep", "gene_set"], n, weight)
+    es = _scored_sets(hits, F.lit(n_genes), weight)
     side = lambda c: F.when(F.col(c) >= 0, 1).otherwise(-1)
+    null = null_scores(ranked, hits, n_genes, max_size, n_perm, weight, seed)
     null = reuse(null.select("rep", "gene_set", F.col("es").alias("null_es"), side("es").alias("side")))
     scale = null.groupBy("gene_set", "side").agg(
         F.avg(F.abs("null_es")).alias("_mean"), F.count(F.lit(1)).alias("_nn")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from genemill.operators import batch, federated, network, normalize, padjust, pathways, pca, stats, survival, validate
 from genemill.operators import evaluate as E
 from genemill.operators import selection as S
+from genemill.operators import transform as T
 
 
 @pytest.fixture(scope="module")
@@ -337,3 +338,53 @@ def test_top_scores_prefers_planted_genes(matrix):
     expr, samples, *_ = matrix
     top = {r["feature"] for r in S.top_scores(S.f_scores(expr, samples, "label"), 5).collect()}
     assert len(top & {f"g0{i}" for i in range(5)}) >= 3
+
+
+def test_enrichment_null_is_the_same_by_arrow_and_by_joins(spark):
+    rng = np.random.default_rng(4)
+    genes = [f"g{i}" for i in range(300)]
+    scores = spark.createDataFrame([(g, float(v)) for g, v in zip(genes, rng.normal(size=300))], "gene string, score double")
+    sets = [(f"s{k}", g) for k in range(6) for g in rng.choice(genes, 5 + 20 * k, replace=False)]
+    sets += [("all", g) for g in genes]
+    sets = spark.createDataFrame(sets, "gene_set string, gene string")
+    ranked = pathways.ranked_list(scores).cache()
+    hits = pathways._sized_hits(ranked, sets, 1, 300)
+    a, b = (
+        pathways.null_scores(ranked, hits, 300, 300, 60, 1.0, 42, by_joins=j).toPandas().sort_values(["rep", "gene_set"])
+        for j in (False, True)
+    )
+    assert len(a) == 60 * 7
+    assert (a[["rep", "gene_set"]].to_numpy() == b[["rep", "gene_set"]].to_numpy()).all()
+    assert np.allclose(a["es"], b["es"], atol=1e-9)
+    got = pathways.gsea(scores, sets, 1, 300, n_perm=60).toPandas().set_index("gene_set")
+    null = a.set_index("gene_set")["es"]
+    for name, row in got.iterrows():
+        same = null[name][np.sign(null[name] + 1e-300) == np.sign(row["es"] + 1e-300)]
+        want = (abs(same) >= abs(row["es"])).mean() if len(same) else 1.0
+        assert abs(row["p_value"] - want) < 1e-9
+
+
+@pytest.mark.parametrize("kind", ["yeo-johnson", "box-cox"])
+def test_power_lambda_is_the_maximum(spark, kind):
+    rng = np.random.default_rng(7)
+    data = {
+        "a": rng.lognormal(1, 1, 200), "b": rng.gamma(3, 2, 150), "c": rng.normal(5, 0.5, 120) ** 3,
+        "d": 1 / rng.gamma(4, 1, 100), "e": np.full(20, 3.0),
+    }
+    if kind == "yeo-johnson":
+        data["f"] = rng.normal(-1, 2, 200) ** 3
+    rows = [(g, f"s{i}", float(v)) for g, vs in data.items() for i, v in enumerate(vs)] + [("a", "none", None)]
+    got = {r[0]: r[1] for r in T.power_lambdas(spark.createDataFrame(rows, "gene_id string, sample_id string, value double"), kind).collect()}
+
+    def likelihood(x, lam):
+        size, sign = (np.log(x), np.ones_like(x)) if kind == "box-cox" else (np.log1p(abs(x)), np.where(x >= 0, 1.0, -1.0))
+        m = lam if kind == "box-cox" else np.where(sign > 0, lam, 2 - lam)
+        y = sign * np.where(abs(m) < 1e-12, size, np.expm1(m * size) / np.where(m == 0, 1, m))
+        return -len(x) / 2 * np.log(y.var()) + (lam - 1) * (sign * size).sum()
+
+    assert got.pop("e") == 1.0
+    for g, lam in got.items():
+        assert lam * 4096 == round(lam * 4096)
+        best = max(np.arange(-6, 6, 1 / 256), key=lambda v: likelihood(data[g], v))
+        fine = max(best + np.arange(-32, 33) / 4096, key=lambda v: likelihood(data[g], v))
+        assert abs(lam - fine) <= 1 / 4096
