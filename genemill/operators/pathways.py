@@ -165,7 +165,8 @@ def null_scores(
                             [pa.array(np.full(len(es), rep, np.int32)), some["gene_set"], pa.array(es)], ["rep", "gene_set", "es"]
                         )
 
-    return work.mapInArrow(score, "rep int, gene_set string, es double")
+    kind = hits.schema["gene_set"].dataType.simpleString()
+    return work.mapInArrow(score, f"rep int, gene_set {kind}, es double")
 
 
 def _new_places(hashes: np.ndarray, rep: int, seed: int) -> np.ndarray:
