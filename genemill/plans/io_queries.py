@@ -271,7 +271,7 @@ def alerts(t):
     SELECT host, ts, metric, value, CASE WHEN value > 90 THEN 'critical' WHEN value > 80 THEN 'warning' ELSE 'healthy' END AS health FROM l WHERE rn = 1""",
 )
 def health(t):
-    return MO.drain(MO.latest_health(_stream(t)), "health", "complete")
+    return MO.latest_health(MO.drain(MO.health_updates(_stream(t)), "health", ["host", "span"]))
 
 
 @query(
@@ -279,7 +279,7 @@ def health(t):
     f"""WITH {_MET} SELECT date_trunc('hour', ts) AS hour, metric, round(avg(value), 6) AS mean, max(value) AS max, count(*) AS n FROM met GROUP BY 1, 2""",
 )
 def hourly(t):
-    return rounded(MO.drain(MO.hourly(_stream(t)), "hourly", "complete"))
+    return rounded(MO.drain(MO.hourly(_stream(t)), "hourly", ["hour", "metric"]))
 
 
 @query(
@@ -287,7 +287,8 @@ def hourly(t):
     f"WITH {_MET} SELECT * FROM met WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 24 HOUR AND ts <= TIMESTAMP '2024-01-20'",
 )
 def history(t):
-    return MO.history(_as_metrics(t.events), "2024-01-20 00:00:00", 24)
+    filed = MO.drain(MO.with_day(_stream(t)), "history", partition="day")
+    return MO.history(filed, "2024-01-20 00:00:00", 24)
 
 
 @query(
@@ -295,8 +296,12 @@ def history(t):
     f"""WITH {_ALERTS} SELECT event_id, ts, alert, severity FROM al WHERE event_id % 3 <> 0""",
 )
 def active(t):
-    a = MO.alerts(_as_metrics(t.events)).withColumn("resolved", F.col("event_id") % 3 == 0)
-    return MO.active_alerts(a).select("event_id", "ts", "alert", "severity")
+    # every third event is followed by a resolution two days later
+    done = MO.alerts(_stream(t)).filter("event_id % 3 = 0").select(
+        "event_id", "alert", (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts")
+    )
+    updates = MO.drain(MO.alert_updates(MO.alerts(_stream(t)), done), "active", ["event_id", "alert", "span"])
+    return MO.active_alerts(updates).select("event_id", "ts", "alert", "severity")
 
 
 @query(
@@ -311,7 +316,7 @@ def progress(t):
         "event_id", "ts", F.col("user_id").alias("run_id"), F.from_json("props", "k int")["k"].alias("progress"),
         F.col("event_type").alias("status"),
     )
-    return MO.drain(MO.run_progress(p), "progress", "complete")
+    return MO.run_progress(MO.drain(MO.run_updates(p), "progress", ["run_id", "span"]))
 
 
 @query(
