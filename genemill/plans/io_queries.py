@@ -39,6 +39,12 @@ def scan_omics(t):
     return RD.omics_matrix(t.spark, path).filter("value IS NOT NULL")
 
 
+@query("scan_matrix_lines", with_views("expr", _EXPR))
+def scan_lines(t):
+    """A matrix written and read line by line, for any number of samples."""
+    return RD.matrix_lines(t.spark, _matrix_file(t, "tsv"), "\t")
+
+
 @query("scan_labels", with_views("samples", "SELECT sample_id, tier AS label, batch FROM samples"))
 def scan_labels(t):
     path = MO.scratch(t.spark, "labels") + ".csv"
@@ -75,7 +81,7 @@ def scan_sample_files(t):
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("gene_id"), "l_returnflag"
     ).agg(F.lit("x").alias("gene_name"), F.count(F.lit(1)).alias("read_count"))
     code = F.when(F.col("l_returnflag") == "A", "b1").when(F.col("l_returnflag") == "N", "b2").otherwise("b3")
-    d.withColumn("part", code).drop("l_returnflag").repartition("part").write.partitionBy("part").option("compression", "gzip").csv(
+    d.withColumn("part", code).drop("l_returnflag").write.partitionBy("part").option("compression", "gzip").csv(
         base, sep="\t", header=True
     )
     # a written folder per sample stands for a file per sample: the folder names the sample
@@ -100,15 +106,20 @@ def scan_event_union(t):
 def scan_series(t):
     path = MO.scratch(t.spark, "series")
     q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    # a study in as many files as there are shuffle partitions, each with its own header lines
+    files = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
     rows = t.samples().select(
+        F.pmod(F.xxhash64("sample_id"), F.lit(files)).alias("file"), F.lit(2).alias("o"),
         F.concat_ws("\t", q(F.col("sample_id")), F.col("label").cast("string"), F.col("age").cast("string")).alias("line"),
-        F.lit(2).alias("o"),
     )
-    extra = t.region.select(F.lit("!Series_title\tx").alias("line"), F.lit(0).alias("o")).union(
-        t.region.filter("r_regionkey = 0").select(F.lit('"ID_REF"\t"GSM1"\t"GSM2"'), F.lit(1))
-    ).union(t.region.select(F.lit("short row"), F.lit(3)))
-    lines = rows.select("line", "o").union(extra)
-    lines.coalesce(1).sortWithinPartitions("o").select("line").write.text(path)
+    around = F.array(
+        F.struct(F.lit(0).alias("o"), F.lit("!Series_title\tx").alias("line")),
+        F.struct(F.lit(1).alias("o"), F.lit('"ID_REF"\t"GSM1"\t"GSM2"').alias("line")),
+        F.struct(F.lit(3).alias("o"), F.lit("short row").alias("line")),
+    )
+    extra = t.spark.range(files).select(F.col("id").alias("file"), F.inline(around))
+    lines = rows.unionByName(extra).repartition("file").sortWithinPartitions("file", "o")
+    lines.select("file", "line").write.partitionBy("file").text(path)
     return RD.series_matrix(t.spark, path).select("gene_id", "sample_id", "value")
 
 
@@ -127,14 +138,16 @@ def scan_soft(t):
 @query("scan_miniml_samples", "SELECT 'GSM' || s_suppkey AS iid, s_name AS title FROM supplier")
 def scan_miniml(t):
     path = MO.scratch(t.spark, "miniml")
-    rows = t.supplier.select(
-        F.concat(F.lit('<Sample iid="GSM'), F.col("s_suppkey").cast("string"), F.lit('"><Title> '), "s_name", F.lit(" </Title></Sample>")).alias("v"),
-        F.lit(1).alias("o"),
-    )
-    ends = t.region.filter("r_regionkey < 2").select(
-        F.when(F.col("r_regionkey") == 0, "<MINiML>").otherwise("</MINiML>"), (F.col("r_regionkey") * 2).cast("int")
+    # files of a family, each a document of its own
+    files = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    sample = F.concat(F.lit('<Sample iid="GSM'), F.col("s_suppkey").cast("string"), F.lit('"><Title> '), "s_name", F.lit(" </Title></Sample>"))
+    rows = t.supplier.select(F.pmod(F.xxhash64("s_suppkey"), F.lit(files)).alias("file"), F.lit(1).alias("o"), sample.alias("line"))
+    ends = F.array(
+        F.struct(F.lit(0).alias("o"), F.lit("<MINiML>").alias("line")), F.struct(F.lit(2).alias("o"), F.lit("</MINiML>").alias("line"))
     )
-    rows.union(ends).coalesce(1).sortWithinPartitions("o").select("v").write.text(path)
+    lines = rows.unionByName(t.spark.range(files).select(F.col("id").alias("file"), F.inline(ends)))
+    lines = lines.repartition("file").sortWithinPartitions("file", "o")
+    lines.select("file", "line").write.partitionBy("file").text(path)
     return RD.miniml_samples(t.spark, path)
 
 
@@ -193,7 +206,7 @@ def fingerprint(t):
 def by_run(t):
     """Results written by run and read back with partition pruning."""
     path = MO.scratch(t.spark, "results")
-    t.results().select("run_id", "gene", "p_value").repartition("run_id").write.partitionBy("run_id").parquet(path)
+    t.results().select("run_id", "gene", "p_value").write.partitionBy("run_id").parquet(path)
     return t.spark.read.parquet(path).filter("run_id = 'run_promo'").select("run_id", "gene", "p_value")
 
 

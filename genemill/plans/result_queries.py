@@ -717,9 +717,8 @@ def ranking(t):
     "clinical_recommendation_text",
     with_views(
         "evidence",
-        f"""WITH {_RECOMMEND} SELECT DISTINCT biomarker, disease, CASE strength WHEN 'strong' THEN 'Strong evidence for ' || biomarker || ' as a biomarker of ' || disease || '; consider it in clinical decisions'
-        WHEN 'moderate' THEN 'Moderate evidence for ' || biomarker || ' as a biomarker of ' || disease || '; consider research or limited use'
-        ELSE 'Weak evidence for ' || biomarker || ' as a biomarker of ' || disease || '; more research is needed' END AS text FROM rec""",
+        f"""WITH {_RECOMMEND} SELECT DISTINCT biomarker, disease, strength || ' (level ' || evidence_level || ', review in ' || follow_up_months || ' months) | '
+        || biomarker || ' | ' || disease AS text FROM rec""",
     ),
 )
 def text(t):
@@ -792,7 +791,7 @@ def compliance(t):
 def strength_model(t):
     """Forest on past recommendations; predicted strength per case."""
     r = CL.recommend(t.evidence(), _patients(t)).select("biomarker", "disease", "evidence_level", "strength").distinct()
-    fit = CL.strength_model(r, trees=10)
+    fit = CL.strength_model(r)
     return fit.transform(r).select("biomarker", "disease", "strength", "prediction")
 
 

@@ -88,6 +88,29 @@ def survival_table(spark: SparkSession, path: str, time: str = "time", event: st
     return survival.clean(df, time, event)
 
 
+def matrix_lines(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """Wide text matrix of any number of samples to long rows, line by line; empty cells are left out.
+
+    Every file of the folder starts with the same header line. Ids may be quoted.
+    """
+    first = spark.read.text(path).first()
+    if first is None:
+        return spark.createDataFrame([], "gene_id string, sample_id string, value double")
+    sep = sep or sniff_separator(spark, path)
+    cell = f'{sep}("(?:[^"\\\\]|\\\\.)*"|[^{sep}]*)'
+    cells = lambda c: F.regexp_extract_all(F.concat(F.lit(sep), c), F.lit(cell), 1)
+    plain = lambda c: F.when(
+        c.startswith('"'), F.regexp_replace(F.regexp_replace(c, '^"|"$', ""), r"\\(.)", "$1")
+    ).otherwise(c)
+    lines = spark.read.text(path)
+    header = spark.read.text(path).limit(1).select(F.transform(cells(F.col("value")), plain).alias("h")).scalar()
+    at = lines.filter(F.col("value") != first[0]).select(cells(F.col("value")).alias("c"))
+    flat = at.select(plain(F.col("c")[0]).alias("gene_id"), F.posexplode("c").alias("i", "t"))
+    return flat.filter((F.col("i") > 0) & (F.col("t") != "")).select(
+        "gene_id", F.get(header, F.col("i")).alias("sample_id"), F.expr("try_cast(t AS double)").alias("value")
+    )
+
+
 VALUE_WORDS = ("normalized", "count", "tpm", "fpkm", "expression")
 
 
@@ -118,7 +141,7 @@ def series_matrix(spark: SparkSession, path) -> DataFrame:
     starts with "!", the header of the table with ID_REF; rows of another length
     than the header are dropped.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.trim("value").alias("line"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("line"))
     body = lines.filter((F.col("line") != "") & ~F.col("line").startswith("!"))
     cells = body.withColumn(
         "c", F.transform(F.split("line", "\t"), lambda x: F.regexp_replace(x, '^"|"$', ""))
