@@ -6,16 +6,20 @@ Every method returns rows (feature, score); selections are rows
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -351,11 +355,165 @@ def poisson_weight(key, seed) -> F.Column:
     return out.otherwise(18.0)
 
 
+# Replicates are fitted together up to this number of features; their moments take this many bytes in a task.
+MOMENT_FEATURES = 2_048
+MOMENT_BYTES = 1 << 26
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+
+
+def draws(keys: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """Bootstrap counts, replicates x rows: Poisson(1) from a 64-bit key of the row and the replicate."""
+    z = keys.astype(np.uint64)[None, :] + (replicates.astype(np.uint64) + np.uint64(1))[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    return np.searchsorted(_POISSON, u, side="right").astype(np.float64)
+
+
+def _summed(rows: DataFrame, task, keys: str, total: list[str]) -> DataFrame:
+    """Sums over all partitions of the vectors that `task` adds up in each: the keys, and `v`."""
+    parts = rows.mapInPandas(task, f"{keys}, v array<double>").withColumn("v", array_to_vector("v"))
+    return parts.groupBy(*total).agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("v"))
+
+
+def _batches(frames):
+    for f in frames:
+        if len(f):
+            yield np.stack(f["x"].to_numpy()).astype(np.float64), f["y"].to_numpy(np.float64), f["k"].to_numpy(np.int64)
+
+
+def bootstrap_lasso(
+    data: DataFrame, replicates: Sequence[int], alpha: float = 0.01, passes: int = 30, tolerance: float = 1e-6, seed: int = 42
+) -> list[tuple[int, np.ndarray, bool]]:
+    """L1 logistic fits of bootstrap replicates, all in the same passes: (replicate, coefficients, converged).
+
+    `data` holds sample_id, label (0 or 1) and features. Draws are within class: each class keeps its size.
+    A replicate without one of the classes is left out. Features are standardised within a replicate and the
+    mean loss has the penalty alpha * sum |coefficient|. A pass adds up, for every replicate, the weighted
+    cross products of the features and the working response; soft-thresholded coordinate descent on them
+    gives the next coefficients. What goes between tasks and to the driver depends on the number of
+    features and replicates only.
+    """
+    rows = data.select(
+        F.xxhash64("sample_id", F.lit(seed)).alias("k"), F.col("label").cast("double").alias("y"),
+        vector_to_array("features").alias("x"),
+    )
+    reps = np.array(list(replicates), dtype=np.int64)
+
+    def moments(frames):
+        acc = 0.0
+        for x, y, k in _batches(frames):
+            w = draws(k, reps)
+            a = np.hstack([np.ones((len(x), 1)), x, x * x])
+            acc = acc + np.stack([(w * (y == 0)) @ a, (w * (y == 1)) @ a], axis=1)
+        if not np.isscalar(acc):
+            yield pd.DataFrame({
+                "b": np.repeat(reps, 2), "c": np.tile([0, 1], len(reps)), "v": list(acc.reshape(2 * len(reps), -1)),
+            })
+
+    sums = {(r.b, r.c): np.array(r.v) for r in _summed(rows, moments, "b bigint, c int", ["b", "c"]).collect()}
+    sizes = {r.label: r["count"] for r in data.groupBy("label").count().collect()}
+    scale, place = {}, {}
+    for b in map(int, reps):
+        got = [sums.get((b, c)) for c in (0, 1)]
+        if any(g is None or g[0] == 0 for g in got):
+            continue
+        f = [sizes[c] / g[0] for c, g in enumerate(got)]
+        m = f[0] * got[0] + f[1] * got[1]
+        p = (len(m) - 1) // 2
+        mean = m[1 : p + 1] / m[0]
+        spread = m[p + 1 :] / m[0] - mean**2
+        sd = np.sqrt(np.where(spread > 1e-12 * np.maximum(1.0, mean**2), spread, 0.0))
+        scale[b], place[b] = f, (mean, sd)
+    if not scale:
+        return []
+    n = float(sum(sizes.values()))
+    p = len(next(iter(place.values()))[0])
+    live = {b: np.zeros(p + 1) for b in scale}
+    done = {}
+    last = {b: math.inf for b in scale}
+    for _ in range(passes):
+        now = {b: v.copy() for b, v in live.items()}
+
+        def products(frames, now=now):
+            acc = {b: np.zeros((p + 2, p + 2)) for b in now}
+            for x, y, k in _batches(frames):
+                w = draws(k, np.array(sorted(now), dtype=np.int64))
+                for b, wb in zip(sorted(now), w):
+                    mean, sd = place[b]
+                    xs = np.divide(x - mean, sd, out=np.zeros_like(x), where=sd > 0)
+                    eta = now[b][0] + xs @ now[b][1:]
+                    mu = 1 / (1 + np.exp(-np.clip(eta, -30, 30)))
+                    v = np.maximum(mu * (1 - mu), 1e-5)
+                    a = np.hstack([np.ones((len(x), 1)), xs, (eta + (y - mu) / v)[:, None]])
+                    acc[b] += (a * (wb * np.where(y == 1, scale[b][1], scale[b][0]) * v)[:, None]).T @ a
+            for b, m in acc.items():
+                yield pd.DataFrame({"b": b, "i": np.arange(p + 2), "v": list(m)})
+
+        def solve(f):
+            b = int(f["b"].iloc[0])
+            m = np.stack(f.sort_values("i")["v"].to_numpy()) / n
+            return pd.DataFrame({"b": [b], "beta": [_descend(m, now[b], alpha)]})
+
+        total = _summed(rows, products, "b bigint, i int", ["b", "i"])
+        for r in total.groupBy("b").applyInPandas(solve, "b bigint, beta array<double>").collect():
+            new = np.array(r.beta)
+            step = float(np.max(np.abs(new - now[r.b])))
+            live[r.b] = new if step < last[r.b] else (new + now[r.b]) / 2
+            last[r.b] = step
+            if step < tolerance:
+                done[r.b] = live.pop(r.b)
+        if not live:
+            break
+    out = [(b, v, True) for b, v in done.items()] + [(b, v, False) for b, v in live.items()]
+    return [(b, np.divide(v[1:], place[b][1], out=np.zeros(p), where=place[b][1] > 0), ok) for b, v, ok in sorted(out, key=lambda t: t[0])]
+
+
+def _descend(m: np.ndarray, start: np.ndarray, alpha: float) -> np.ndarray:
+    """Lasso by coordinate descent from the cross products of (1, features, response); the intercept is free."""
+    q, r = m[:-1, :-1], m[:-1, -1]
+    beta = start.copy()
+    grad = r - q @ beta
+    for _ in range(10_000):
+        most = 0.0
+        for j in range(len(beta)):
+            if q[j, j] <= 0:
+                continue
+            z = grad[j] + q[j, j] * beta[j]
+            new = (z if j == 0 else math.copysign(max(abs(z) - alpha, 0.0), z)) / q[j, j]
+            if new != beta[j]:
+                grad -= q[:, j] * (new - beta[j])
+                most = max(most, abs(new - beta[j]))
+                beta[j] = new
+        if most < 1e-10:
+            break
+    return beta
+
+
 def stability_selection(
     data, names, n_bootstrap: int = 100, threshold: float = 0.5, method: str = "lasso", seed: int = 42, **o
 ) -> DataFrame:
-    """Share of bootstrap fits that keep each feature: feature, score, selected."""
+    """Share of bootstrap fits that keep each feature: feature, score, selected, n_fits, n_converged.
+
+    The L1 logistic fits of two classes go through `bootstrap_lasso`, as many replicates at once as their
+    moments allow. Other methods, labels and more than MOMENT_FEATURES features are fitted one by one.
+    """
     data = data.persist()
+    odd = data.filter(~F.coalesce(F.col("label").isin(0, 1), F.lit(False))).limit(1).count()
+    if method == "lasso" and not odd and len(names) <= MOMENT_FEATURES and set(o) <= {"alpha"}:
+        block = max(1, MOMENT_BYTES // (8 * (len(names) + 2) ** 2))
+        fits = []
+        for at in range(0, n_bootstrap, block):
+            fits += bootstrap_lasso(data, range(at, min(at + block, n_bootstrap)), seed=seed, **o)
+        data.unpersist()
+        kept = np.array([np.abs(v) > 1e-10 for _, v, _ in fits]).reshape(len(fits), len(names))
+        share = kept.mean(axis=0) if fits else [None] * len(names)
+        rows = [(f, None if v is None else float(v)) for f, v in zip(names, share)]
+        out = data.sparkSession.createDataFrame(rows, "feature string, score double")
+        return out.select(
+            "*", (F.col("score") >= threshold).alias("selected"), F.lit(len(fits)).alias("n_fits"),
+            F.lit(sum(ok for _, _, ok in fits)).alias("n_converged"),
+        )
     parts = None
     for b in range(n_bootstrap):
         w = data.withColumn("w", poisson_weight(F.col("sample_id"), F.lit(seed * 1000 + b))).filter("w > 0")
@@ -367,7 +525,10 @@ def stability_selection(
     return (
         parts.groupBy("feature")
         .agg(F.avg("hit").alias("score"))
-        .withColumn("selected", F.col("score") >= threshold)
+        .select(
+            "*", (F.col("score") >= threshold).alias("selected"), F.lit(n_bootstrap).alias("n_fits"),
+            F.lit(None).cast("int").alias("n_converged"),
+        )
     )
 
 
@@ -430,27 +591,47 @@ def bootstrap_consensus(
     frequency: float = 0.6,
     seed: int = 42,
 ) -> DataFrame:
-    """Correlation scores on hash bootstraps, all replicates in one aggregation per replicate set.
+    """Correlation scores on hash bootstraps, all replicates in one pass over the cells.
 
-    A replicate is a weight per sample, so the weighted moments of all replicates
-    come from a single pass with one group of sums per replicate.
+    A replicate is a weight per sample. Cells are laid out by gene, a long gene over several tasks; a task adds
+    up six weighted sums per replicate and sends one row for each gene it meets.
     """
-    d = stats.labelled(expr, samples, label).withColumn("y", F.col("grp").cast("double"))
-    x, y = F.col("value"), F.col("y")
-    frames = None
-    for start in range(0, n_bootstrap, 10):
-        ids = range(start, min(start + 10, n_bootstrap))
-        aggs = []
-        for b in ids:
-            w = poisson_weight(F.col("sample_id"), F.lit(seed * 1000 + b))
-            aggs.append(
-                F.struct(
-                    F.lit(b).alias("b"), F.sum(w).alias("w"), F.sum(w * x).alias("x"), F.sum(w * y).alias("y"),
-                    F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy"), F.sum(w * x * y).alias("xy"),
-                )
-            )
-        part = d.groupBy("gene_id").agg(F.array(*aggs).alias("s")).select("gene_id", F.explode("s").alias("s"))
-        frames = part if frames is None else frames.unionByName(part)
+    d = stats.labelled(expr, samples, label).filter(F.col("value").isNotNull() & F.col("grp").isNotNull())
+    cells = d.select(
+        "gene_id", F.xxhash64("sample_id", F.lit(seed)).alias("k"), F.col("value").alias("x"), F.col("grp").cast("double").alias("y")
+    )
+    reps = np.arange(n_bootstrap)
+
+    def moments(frames):
+        gene, acc = None, None
+        for f in frames:
+            if not len(f):
+                continue
+            x, y = f["x"].to_numpy(np.float64), f["y"].to_numpy(np.float64)
+            terms = np.stack([np.ones(len(f)), x, y, x * x, y * y, x * y], axis=1)
+            w = draws(f["k"].to_numpy(np.int64), reps)
+            ids = f["gene_id"].to_numpy()
+            cuts = np.r_[0, np.flatnonzero(ids[1:] != ids[:-1]) + 1, len(ids)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                part = w[:, lo:hi] @ terms[lo:hi]
+                if acc is not None and ids[lo] == gene:
+                    acc = acc + part
+                    continue
+                if acc is not None:
+                    yield pd.DataFrame({"gene_id": [gene], "v": [acc.ravel()]})
+                gene, acc = ids[lo], part
+        if acc is not None:
+            yield pd.DataFrame({"gene_id": [gene], "v": [acc.ravel()]})
+
+    laid = cells.repartitionByRange("gene_id", "k").sortWithinPartitions("gene_id", "k")
+    kind = cells.schema["gene_id"].dataType.simpleString()
+    sums = _summed(laid, moments, f"gene_id {kind}", ["gene_id"])
+    names = ("w", "x", "y", "xx", "yy", "xy")
+    each = F.transform(
+        F.sequence(F.lit(0), F.lit(n_bootstrap - 1)),
+        lambda b: F.struct(b.alias("b"), *[F.get("v", b * 6 + i).alias(c) for i, c in enumerate(names)]),
+    )
+    frames = sums.select("gene_id", F.explode(each).alias("s"))
     s = lambda c: F.col(f"s.{c}")
     vx = s("w") * s("xx") - s("x") * s("x")
     vy = s("w") * s("yy") - s("y") * s("y")

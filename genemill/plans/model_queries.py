@@ -270,12 +270,12 @@ def backward(t):
 @query("select_stability_selection")
 def stability_selection(t):
     data, names = _matrix(t)
-    return rounded(S.stability_selection(data, names, n_bootstrap=5, alpha=0.02))
+    return rounded(S.stability_selection(data, names, alpha=0.02))
 
 
 @query("select_bootstrap_consensus")
 def bootstrap_consensus(t):
-    return rounded(S.bootstrap_consensus(t.expr(), t.samples(), "label", 20, 50, 0.4))
+    return rounded(S.bootstrap_consensus(t.expr(), t.samples(), "label", 100, 50, 0.4))
 
 
 @query("select_evaluate_top_features")
