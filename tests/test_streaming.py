@@ -39,7 +39,7 @@ def plain(df):
 def test_updates_over_many_batches_equal_the_static_result(spark, tmp_path, feed):
     data = rows()
     static = spark.createDataFrame(data, SCHEMA)
-    stream = feed(*[data[i : i + 6] for i in range(0, 60, 12)])
+    stream = feed(*[data[i : i + 12] for i in range(0, 60, 12)])
     log = MO.drain(MO.health_updates(stream), "h", ["host", "span"], str(tmp_path / "h"), base_every=2)
     assert plain(MO.latest_health(log)) == plain(MO.latest_health(MO.health_updates(static)))
     assert len(MO._children(spark, str(tmp_path / "h/out/base"))) >= 2
