@@ -141,6 +141,30 @@ def test_pca_gram_and_subspace_agree(matrix):
     assert np.allclose(rebuilt, z, atol=1e-8)
 
 
+def test_pca_of_few_genes_needs_no_rounds_whatever_the_samples(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame(rng.normal(size=(40, 7)) @ np.diag(range(1, 8)), [f"s{i:02d}" for i in range(40)], list("abcdefg"))
+    expr = spark.createDataFrame(pdf.rename_axis("sample_id").reset_index().melt("sample_id", var_name="gene_id"))
+    whole = pca.pca(expr, 5)
+    monkeypatch.setattr(pca, "_subspace", lambda *_: pytest.fail("the Gram matrix of the genes is small"))
+    monkeypatch.setattr(pca, "BLOCK_CELLS", 30)
+    few = pca.pca(expr, 40, gram_limit=10)  # samples beyond the limit, genes within
+    z = ((pdf - pdf.mean()) / pdf.std(ddof=0)).to_numpy()
+    u, s, v = np.linalg.svd(z, full_matrices=False)
+    sign = np.sign(u[np.abs(u).argmax(0), range(7)])
+    got = few.scores.toPandas().pivot(index="sample_id", columns="component", values="score").to_numpy()
+    assert np.allclose(got, u * s * sign)
+    load = few.loadings.toPandas().pivot(index="gene_id", columns="component", values="loading").to_numpy()
+    assert np.allclose(load, v.T * sign)
+    five = whole.scores.toPandas().pivot(index="sample_id", columns="component", values="score").to_numpy()
+    assert np.allclose(five, got[:, :5])
+    pairs = pca.inner_products(few.scores, block=9).toPandas()
+    names = list(pdf.index)
+    assert sorted(zip(pairs["sample_1"], pairs["sample_2"])) == [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    i, j = (pairs[c].map(names.index).to_numpy() for c in ("sample_1", "sample_2"))
+    assert np.allclose(pairs["product"], (z @ z.T)[i, j])
+
+
 @pytest.fixture(scope="module")
 def subjects(spark):
     rng = np.random.default_rng(2)
