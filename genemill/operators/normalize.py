@@ -133,9 +133,10 @@ def tmm_factors(
     # one row, needed in several places: a constant of the plan
     ref = F.lit(ref_sample or reference_sample(expr).first()[0])
     refs = expr.filter(F.col("sample_id") == ref).select("gene_id", F.col("value").alias("_ref"))
-    lx, lr = F.log2(F.col("value") + 1), F.log2(F.col("_ref") + 1)
+    x, r = F.col("value") + 1, F.col("_ref") + 1
+    # the mean of the logarithms by the product: genes of equal product are equal, and both lie on a cut or neither
     ma = expr.join(refs, "gene_id").select(
-        "sample_id", (lx - lr).alias("m"), (0.5 * (lx + lr)).alias("a")
+        "sample_id", (F.log2(x) - F.log2(r)).alias("m"), (0.5 * F.log2(x * r)).alias("a")
     )
     cuts = percentiles(ma, ["sample_id"], "a", {"_lo": trim, "_hi": 1 - trim})
     kept = ma.join(cuts, "sample_id").filter(F.col("a").between(F.col("_lo"), F.col("_hi")))

@@ -113,6 +113,18 @@ def test_quantile_normalised_samples_share_a_distribution(matrix):
         assert np.allclose(np.sort(wide, axis=0), np.sort(wide, axis=0)[:, [0]])
 
 
+def test_tmm_keeps_all_genes_that_tie_at_a_cut(spark):
+    # 182 * 88 = 91 * 176: one mean of logarithms, at places 7 and 8 of 11, and 0.7 cuts at place 7
+    cells = [(i + 1, 2) for i in range(7)] + [(181, 87), (90, 175), (300, 200), (400, 300)]
+    rows = [(f"g{i}", s, float(c[j])) for i, c in enumerate(cells) for j, s in enumerate(("x", "ref"))]
+    expr = spark.createDataFrame(rows, "gene_id string, sample_id string, value double")
+    found = {r.sample_id: r.size_factor for r in normalize.tmm_factors(expr, "ref").collect()}
+    x, r = np.array(cells, dtype=float).T + 1
+    a, m = 0.5 * np.log2(x * r), np.log2(x / r)
+    keep = slice(3, 9)
+    assert np.isclose(found["x"], np.exp((m / (1 + a))[keep].sum() / (1 / (1 + a))[keep].sum()))
+
+
 def test_batch_correction_levels_the_means(matrix):
     expr, samples, *_ = matrix
     out = batch.correct(expr, samples, "linear_regression", covariates=["age"])
