@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+from collections import Counter
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genemill.operators import survival, validate
+from genemill.operators.distributed import reuse
 
 
 def sniff_separator(spark: SparkSession, path: str) -> str:
@@ -21,12 +25,37 @@ def separator_by_suffix(path: str) -> str:
     return "," if path.lower().rstrip("/").endswith(".csv") else "\t"
 
 
-def _long(wide: DataFrame, id_col: str) -> DataFrame:
-    others = [c for c in wide.columns if c != id_col]
-    cast = [F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in others]
-    return wide.select(F.col(f"`{id_col}`").alias("gene_id"), *cast).unpivot(
-        ["gene_id"], [f"`{c}`" for c in others], "sample_id", "value"
-    )
+def _split(line: str, sep: str) -> list[str]:
+    return next(csv.reader([line], delimiter=sep, escapechar="\\", doublequote=False))
+
+
+def _wide_lines(spark: SparkSession, path: str, sep: str):
+    """Names of the value columns, the lines below the header, and their cells as long rows.
+
+    The file is read line by line, so that no plan is as wide as the file; a task holds the cells of one line. Cells that are empty, absent or no
+    number are null rows; cells beyond the header are dropped.
+    """
+    text = spark.read.text(path)
+    first = text.first()
+    if first is None:
+        raise ValueError(f"{path} is empty")
+    head = _split(first[0], sep)
+    seen = Counter(head)
+    # as the CSV reader does: an unnamed column is numbered, the number of the column tells repeated names apart
+    names = [f"_c{i}" if not n else f"{n}{i}" if seen[n] > 1 else n for i, n in enumerate(head)][1:]
+    lines = text.filter((F.trim("value") != "") & (F.col("value") != first[0]))
+    n, columns = len(names), pa.array(names, pa.string())
+
+    def cells(batches):
+        for batch in batches:
+            for line in batch.column(0):
+                gene, *row = _split(line.as_py(), sep)
+                row = pa.array((row + [None] * n)[:n], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(gene or None, pa.string()), n), columns, row], ["g", "s", "t"])
+
+    at = lines.mapInArrow(cells, "g string, s string, t string")
+    long = at.select(F.col("g").alias("gene_id"), F.col("s").alias("sample_id"), F.expr("try_cast(t AS double)").alias("value"))
+    return names, lines, long
 
 
 def _numeric_samples(long: DataFrame) -> DataFrame:
@@ -39,20 +68,19 @@ def expression_matrix(
     spark: SparkSession, path: str, sep: str | None = None, min_genes: int = 10, min_samples: int = 5
 ) -> DataFrame:
     """Wide gene-by-sample file to long rows; genes all zero or null are dropped."""
-    wide = spark.read.csv(path, sep=sep or sniff_separator(spark, path), header=True)
-    id_col = wide.columns[0]
-    if len(wide.columns) - 1 < min_samples:
+    names, lines, long = _wide_lines(spark, path, sep or sniff_separator(spark, path))
+    if len(names) < min_samples:
         raise ValueError(f"need at least {min_samples} samples")
-    if len(wide.limit(min_genes).collect()) < min_genes:
+    if lines.limit(min_genes).count() < min_genes:
         raise ValueError(f"need at least {min_genes} genes")
-    return validate.drop_empty_genes(_numeric_samples(_long(wide, id_col)))
+    return validate.drop_empty_genes(_numeric_samples(reuse(long)))
 
 
 def pipeline_matrix(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """As above with the separator by suffix; a matrix with fewer rows than columns is turned."""
-    wide = spark.read.csv(path, sep=sep or separator_by_suffix(path), header=True)
-    rows, cols = wide.count(), len(wide.columns) - 1
-    long = validate.drop_all_null(_long(wide, wide.columns[0]))
+    names, lines, long = _wide_lines(spark, path, sep or separator_by_suffix(path))
+    rows, cols = lines.count(), len(names)
+    long = validate.drop_all_null(reuse(long))
     if rows < cols:
         long = long.select(F.col("sample_id").alias("gene_id"), F.col("gene_id").alias("sample_id"), "value")
     return long

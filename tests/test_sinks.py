@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from genemill.operators import clinical as CL
 from genemill.sources import readers as RD
@@ -89,3 +90,26 @@ def test_strength_model_takes_any_number_of_categories(spark):
     assert {r.prediction for r in model.transform(new).collect()} <= set(CL.STRENGTH_POINTS)
     assert CL.strength_model(past.limit(9)) is None
     assert CL.strength_model(past.selectExpr("biomarker", "disease", "evidence_level", "cast(NULL AS string) AS strength")) is None
+
+
+def test_wide_readers_take_any_number_of_columns(spark, tmp_path):
+    n = 21_000  # the CSV reader stops at 20,480
+    head = ",".join(["id", *(f"S{i}" for i in range(n))])
+    lines = [",".join([f'"g,{g}"', *(str(g * (i % 3)) for i in range(n))]) for g in (1, 2, 0)]
+    path = str(tmp_path / "wide.csv")
+    (tmp_path / "wide.csv").write_text("\n".join([head, *lines, ""]))
+    got = RD.omics_matrix(spark, path).groupBy("gene_id").agg(F.sum("value").alias("s"), F.count("value").alias("n"))
+    assert {r.gene_id: (r.s, r.n) for r in got.collect()} == {"g,1": (float(n), n), "g,2": (2.0 * n, n)}
+    turned = RD.pipeline_matrix(spark, path).agg(F.count_distinct("gene_id"), F.count_distinct("sample_id"))
+    assert turned.first()[:] == (n, 3)
+
+
+def test_wide_readers_keep_empty_and_odd_cells_as_nulls(spark, tmp_path):
+    path = tmp_path / "odd.csv"
+    path.write_text('id,a,"b,c",a,text\ng1,1,"2",,x\n\ng2,3,nan?,4,y,9\ng3,5\n')
+    got = {(r.gene_id, r.sample_id): r.value for r in RD.omics_matrix(spark, str(path)).collect()}
+    assert got == {
+        ("g1", "a1"): 1.0, ("g1", "b,c"): 2.0, ("g1", "a3"): None,
+        ("g2", "a1"): 3.0, ("g2", "b,c"): None, ("g2", "a3"): 4.0,
+        ("g3", "a1"): 5.0, ("g3", "b,c"): None, ("g3", "a3"): None,
+    }
