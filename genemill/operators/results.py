@@ -161,7 +161,8 @@ def merge_evidence(
         F.coalesce("n_methods", F.lit(0)).alias("n_methods"),
         share.alias("stat_score"),
         score.alias("consensus_score"),
-        (0.6 * share + 0.4 * score).alias("final_score"),
+        # whole weights: 0.6 * 0.5 and 0.4 * 0.75 differ in the last digit, and equal scores go by gene
+        ((6 * share + 4 * score) / 10).alias("final_score"),
     )
     return ordinal_ranks(reuse(j), [], "final_score", "gene", "final_rank", descending=True)
 

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from genemill.operators import batch, federated, network, normalize, padjust, pathways, pca, stats, survival, validate
+from genemill.operators import batch, federated, network, normalize, padjust, pathways, pca, results, stats, survival, validate
 from genemill.operators import evaluate as E
 from genemill.operators import selection as S
 from genemill.operators import transform as T
@@ -113,6 +113,13 @@ def test_quantile_normalised_samples_share_a_distribution(matrix):
         assert np.allclose(np.sort(wide, axis=0), np.sort(wide, axis=0)[:, [0]])
 
 
+def test_equal_final_scores_are_ranked_by_gene(spark):
+    stat = spark.createDataFrame([("p", "a", True), ("fc", "a", False)], "method string, gene string, significant boolean")
+    ml = spark.createDataFrame([("b", 0.75)], "gene string, consensus_score double")
+    got = {r.gene: (r.final_score, r.final_rank) for r in results.merge_evidence(stat, ml).collect()}
+    assert got == {"a": (0.3, 1), "b": (0.3, 2)}
+
+
 def test_tmm_keeps_all_genes_that_tie_at_a_cut(spark):
     # 182 * 88 = 91 * 176: one mean of logarithms, at places 7 and 8 of 11, and 0.7 cuts at place 7
     cells = [(i + 1, 2) for i in range(7)] + [(181, 87), (90, 175), (300, 200), (400, 300)]
