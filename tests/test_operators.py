@@ -113,6 +113,19 @@ def test_quantile_normalised_samples_share_a_distribution(matrix):
         assert np.allclose(np.sort(wide, axis=0), np.sort(wide, axis=0)[:, [0]])
 
 
+def test_bootstrap_weights_in_tasks_are_those_of_the_column(spark, monkeypatch):
+    ids = spark.range(40).select((F.col("id") * 977 - 3).alias("id"))
+    want = ids.crossJoin(spark.range(50).select(F.col("id").cast("int").alias("rep"))).select(
+        "id", "rep", S.poisson_weight(F.col("id"), F.col("rep") + F.lit(7)).alias("w")
+    ).toPandas().pivot(index="id", columns="rep", values="w")
+    hashed = ids.orderBy("id").select(F.xxhash64("id")).toPandas().to_numpy()[:, 0]
+    assert (S.poisson_weights(hashed, np.arange(50) + 7) == want.to_numpy()).all()
+    monkeypatch.setattr(E, "REPLICATE_CELLS", 20)
+    cases = ids.select(F.lit("m").alias("model"), "id", (F.col("id") % 2).alias("y"), (F.col("id") % 5 / 4).alias("score"))
+    got = E._replicate_weights(cases, 50, 0).groupBy("rep").agg(F.sum("w").alias("w")).orderBy("rep").toPandas()["w"]
+    assert (got.to_numpy() == S.poisson_weights(hashed, np.arange(50)).sum(axis=0)).all()
+
+
 def test_equal_final_scores_are_ranked_by_gene(spark):
     stat = spark.createDataFrame([("p", "a", True), ("fc", "a", False)], "method string, gene string, significant boolean")
     ml = spark.createDataFrame([("b", 0.75)], "gene string, consensus_score double")
