@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from genemill.operators.distributed import reuse
+
 
 def undirected(edges: DataFrame, confidence: float | None = None) -> DataFrame:
     """One row per unordered pair: its largest weight; self edges are dropped."""
@@ -44,17 +48,65 @@ def normalized_adjacency(adj: DataFrame, eps: float = 1e-8) -> DataFrame:
     )
 
 
+DENSE_GENES = 1024
+
+
+def _dense_sums(expr: DataFrame, normalized: DataFrame) -> DataFrame:
+    """Neighbour sums by one matrix product per block of samples; the weights are at most DENSE_GENES squared."""
+    edges = normalized.toPandas()
+    src, i = np.unique(edges["src"].to_numpy(dtype=object), return_inverse=True)
+    dst, j = np.unique(edges["dst"].to_numpy(dtype=object), return_inverse=True)
+    weight, near = np.zeros((len(dst), len(src))), np.zeros((len(dst), len(src)))
+    np.add.at(weight, (j, i), edges["weight"].to_numpy())
+    near[j, i] = 1.0
+    names = pa.array(src.tolist(), pa.string())
+    index = expr.sparkSession.createDataFrame(list(enumerate(dst.tolist())), "i int, gene_id string")
+    # of a cell, its value and whether it is null; the row is there if a neighbour has a cell
+    rows = (
+        expr.join(F.broadcast(index), "gene_id")
+        .groupBy("sample_id")
+        .agg(F.collect_list(F.struct("i", "value")).alias("c"))
+        .select("sample_id", F.col("c.i").alias("i"), F.col("c.value").alias("v"))
+    )
+
+    def multiply(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                cells, value = part.column("i"), part.column("v").flatten()
+                row = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
+                place = (row, cells.flatten().to_numpy())
+                full = ~value.is_null().to_numpy(zero_copy_only=False)
+                x, known, there = (np.zeros((len(cells), len(weight))) for _ in range(3))
+                np.add.at(x, place, value.fill_null(0.0).to_numpy())
+                np.add.at(known, place, full.astype(float))
+                np.add.at(there, place, 1.0)
+                s, g = np.nonzero(there @ near)
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(g)), part.column("sample_id").take(pa.array(s)),
+                     pa.array((x @ weight)[s, g], mask=(known @ near)[s, g] == 0)], ["src", "sample_id", "value"]
+                )
+
+    return rows.mapInArrow(multiply, "src string, sample_id string, value double")
+
+
 def smooth_expression(expr: DataFrame, normalized: DataFrame, mode: str = "concat") -> DataFrame:
     """Neighbour sums of each gene per sample, appended (_nbr) or in place of it (_sm)."""
     if mode not in ("concat", "smooth_only"):
         raise ValueError("mode must be concat or smooth_only")
     tail = "_nbr" if mode == "concat" else "_sm"
-    sm = (
-        normalized.join(expr.withColumnRenamed("gene_id", "dst"), "dst")
-        .groupBy("src", "sample_id")
-        .agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
-        .select(F.concat(F.col("src"), F.lit(tail)).alias("gene_id"), "sample_id", "value")
-    )
+    expr = reuse(expr)
+    ends = reuse(normalized)
+    genes = ends.select("dst").distinct().count()
+    if genes <= DENSE_GENES and ends.select("src").distinct().count() <= DENSE_GENES:
+        sums = _dense_sums(expr, ends)
+    else:
+        sums = (
+            ends.join(expr.withColumnRenamed("gene_id", "dst"), "dst")
+            .groupBy("src", "sample_id")
+            .agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
+        )
+    sm = sums.select(F.concat(F.col("src"), F.lit(tail)).alias("gene_id"), "sample_id", "value")
     return expr.select("gene_id", "sample_id", "value").unionByName(sm) if mode == "concat" else sm
 
 

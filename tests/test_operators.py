@@ -365,6 +365,16 @@ def test_ring_masks_cancel_and_leave_the_average(spark):
     assert m.filter("abs(mask) < 1e-12").count() == 0
 
 
+def test_smoothing_by_blocks_equals_the_join(spark, monkeypatch):
+    edges = spark.createDataFrame([("a", "b", 0.5), ("b", "a", 0.5), ("a", "a", 0.2), ("c", "d", 1.0)], "src string, dst string, weight double")
+    cells = [("a", "s", 2.0), ("b", "s", None), ("b", "t", None), ("c", "t", 4.0), ("d", "u", 5.0)]
+    expr = spark.createDataFrame(cells, "gene_id string, sample_id string, value double")
+    dense = {r[:] for r in network.smooth_expression(expr, edges).collect()}
+    assert ("c_nbr", "u", 5.0) in dense and ("a_nbr", "t", None) in dense
+    monkeypatch.setattr(network, "DENSE_GENES", 0)
+    assert dense == {r[:] for r in network.smooth_expression(expr, edges).collect()}
+
+
 def test_smoothing_equals_matrix_product(spark, matrix):
     expr, _, pdf, _ = matrix
     edges = spark.createDataFrame([("g00", "g01", 2.0), ("g01", "g02", 0.5), ("g00", "zz", 9.0)], "src string, dst string, weight double")
