@@ -53,17 +53,17 @@ DENSE_GENES = 1024
 
 def _dense_sums(expr: DataFrame, normalized: DataFrame) -> DataFrame:
     """Neighbour sums by one matrix product per block of samples; the weights are at most DENSE_GENES squared."""
-    edges = normalized.toPandas()
-    src, i = np.unique(edges["src"].to_numpy(dtype=object), return_inverse=True)
-    dst, j = np.unique(edges["dst"].to_numpy(dtype=object), return_inverse=True)
+    edges = normalized.select("src", "dst", "weight").collect()
+    src, i = np.unique(np.array([e[0] for e in edges], dtype=object), return_inverse=True)
+    dst, j = np.unique(np.array([e[1] for e in edges], dtype=object), return_inverse=True)
     weight, near = np.zeros((len(dst), len(src))), np.zeros((len(dst), len(src)))
-    np.add.at(weight, (j, i), edges["weight"].to_numpy())
+    np.add.at(weight, (j, i), [e[2] for e in edges])
     near[j, i] = 1.0
     names = pa.array(src.tolist(), pa.string())
     index = expr.sparkSession.createDataFrame(list(enumerate(dst.tolist())), "i int, gene_id string")
     # of a cell, its value and whether it is null; the row is there if a neighbour has a cell
     rows = (
-        expr.join(F.broadcast(index), "gene_id")
+        expr.join(index, "gene_id")
         .groupBy("sample_id")
         .agg(F.collect_list(F.struct("i", "value")).alias("c"))
         .select("sample_id", F.col("c.i").alias("i"), F.col("c.value").alias("v"))
