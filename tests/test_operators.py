@@ -346,6 +346,24 @@ def test_exact_label_permutation_matches_simulation(spark):
     assert abs(exact - sim) < 0.05
 
 
+def test_label_shuffles_rank_few_cases_and_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"model": ["a"] * 6000 + ["b"] * 50, "id": range(6050), "y": rng.integers(0, 3, 6050)})
+    pdf["yhat"] = np.where(rng.random(6050) < 0.02, pdf["y"], rng.integers(0, 4, 6050))
+    ranked, ordinal_ranks = [], E.ordinal_ranks
+    monkeypatch.setattr(E, "ordinal_ranks", lambda df, *a, **k: (ranked.append(df.count()), ordinal_ranks(df, *a, **k))[1])
+    got = E.permutation_accuracy(spark.createDataFrame(pdf), 20, 3).toPandas().set_index("model")
+    assert sum(ranked) < 6050 * 20 / 200
+    h = spark.createDataFrame(pdf).crossJoin(spark.range(20).select(F.col("id").cast("int").alias("rep")))
+    h = h.select("model", "rep", "y", "yhat", "id", F.xxhash64("id", F.col("rep") + 400000).alias("h")).toPandas()
+    h["h"] = h["h"].to_numpy().view(np.uint64)
+    for model, part in h.groupby("model"):
+        acc = [(g.sort_values("h").yhat.to_numpy() == np.sort(g.y)).mean() for _, g in part.groupby("rep")]
+        true = (part.y == part.yhat).mean()
+        assert abs(got.loc[model, "mean_permuted"] - np.mean(acc)) < 1e-12
+        assert got.loc[model, "share"] == np.mean([x >= true - 1e-12 for x in acc])
+
+
 def test_split_and_folds_are_stratified(spark):
     df = spark.range(200).select(F.col("id").cast("string").alias("sample_id"), (F.col("id") % 4 == 0).cast("int").alias("label"))
     s = E.stratified_split(df, {"train": 0.8, "test": 0.2}).groupBy("label", "split").count().toPandas()
