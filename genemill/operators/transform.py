@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genemill.functions.special import norm_ppf, norm_sf2
@@ -231,7 +231,7 @@ def _poly(coefs: Sequence[float], x: Column) -> Column:
 
 
 def shapiro_wilk(expr: DataFrame, key: str = "gene_id", unit: str = "sample_id") -> DataFrame:
-    """W and p per gene. The order-statistic weights depend on (rank, n) only: a small table."""
+    """W and p per gene: one ranking and one aggregation; the weights depend on (rank, n) only."""
     data = reuse(expr.filter(F.col("value").isNotNull()))
     size = data.groupBy(key).agg(
         F.count("value").cast("double").alias("n"),
@@ -239,19 +239,23 @@ def shapiro_wilk(expr: DataFrame, key: str = "gene_id", unit: str = "sample_id")
         F.avg("value").alias("_mean"),
     ).filter((F.col("n") >= 4) & (F.col("_ss") > 0))
     ranked = ordinal_ranks(data, [key], "value", unit, "_r").join(size, key)
-    pairs = ranked.select("n", "_r").distinct().withColumn(
-        "m", norm_ppf((F.col("_r") - 0.375) / (F.col("n") + 0.25))
-    )
-    ends = pairs.groupBy("n").agg(
+    ranked = ranked.withColumn("m", norm_ppf((F.col("_r") - 0.375) / (F.col("n") + 0.25)))
+    r, n, wide = F.col("_r"), F.col("n"), F.col("n") > 5
+    off = F.col("value") - F.col("_mean")
+    at = lambda place, x: F.max(F.when(r == place, x))
+    ends = (r == 1) | (r == n) | (wide & ((r == 2) | (r == n - 1)))
+    g = ranked.groupBy(key, "n", "_ss").agg(
         F.sum(F.col("m") * F.col("m")).alias("_ssm"),
-        F.max(F.when(F.col("_r") == F.col("n"), F.col("m"))).alias("_mn"),
-        F.max(F.when(F.col("_r") == F.col("n") - 1, F.col("m"))).alias("_mp"),
+        F.sum(F.when(~ends, F.col("m") * off).otherwise(0.0)).alias("_mid"),
+        at(n, F.col("m")).alias("_mn"),
+        at(n - 1, F.col("m")).alias("_mp"),
+        (at(n, off) - at(F.lit(1), off)).alias("_outer"),
+        (at(n - 1, off) - at(F.lit(2), off)).alias("_inner"),
     )
     u = 1 / F.sqrt("n")
     root = F.sqrt("_ssm")
-    ends = ends.withColumn("_an", F.col("_mn") / root + _poly(_C1, u))
-    ends = ends.withColumn("_ap", F.col("_mp") / root + _poly(_C2, u))
-    wide = F.col("n") > 5
+    g = g.withColumn("_an", F.col("_mn") / root + _poly(_C1, u))
+    g = g.withColumn("_ap", F.col("_mp") / root + _poly(_C2, u))
     phi = F.when(
         wide,
         (F.col("_ssm") - 2 * F.pow("_mn", F.lit(2)) - 2 * F.pow("_mp", F.lit(2)))
@@ -259,19 +263,8 @@ def shapiro_wilk(expr: DataFrame, key: str = "gene_id", unit: str = "sample_id")
     ).otherwise(
         (F.col("_ssm") - 2 * F.pow("_mn", F.lit(2))) / (1 - 2 * F.pow("_an", F.lit(2)))
     )
-    ends = ends.withColumn("_phi", phi)
-    r, n = F.col("_r"), F.col("n")
-    weight = (
-        F.when(r == n, F.col("_an"))
-        .when(r == 1, -F.col("_an"))
-        .when(wide & (r == n - 1), F.col("_ap"))
-        .when(wide & (r == 2), -F.col("_ap"))
-        .otherwise(F.col("m") / F.sqrt("_phi"))
-    )
-    weights = pairs.join(ends, "n").select("n", "_r", weight.alias("_a"))
-    g = ranked.join(weights, ["n", "_r"]).groupBy(key, "n", "_ss").agg(
-        F.sum(F.col("_a") * (F.col("value") - F.col("_mean"))).alias("_t")
-    )
+    total = F.col("_an") * F.col("_outer") + F.col("_mid") / F.sqrt(phi)
+    g = g.withColumn("_t", total + F.when(wide, F.col("_ap") * F.col("_inner")).otherwise(0.0))
     w = F.least(F.lit(1 - 1e-15), F.col("_t") * F.col("_t") / F.col("_ss"))
     g = g.withColumn("w", w)
     ln = F.log("n")
@@ -315,8 +308,10 @@ def normality_scores(expr: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def best_transformation(expr: DataFrame, methods: Sequence[str] = ("log2", "log10", "sqrt")) -> DataFrame:
     """Scores per method, the best one flagged."""
+    expr = reuse(expr)
     scores = normality_scores(tagged({m: transform(expr, m) for m in methods}), ["method"])
-    best = scores.agg(F.max_by("method", F.struct("overall_score", "method"))).scalar()
+    # a row for each method: a window over them all, so that the scores are worked out once
+    best = F.max_by("method", F.struct("overall_score", "method")).over(Window.partitionBy())
     return scores.withColumn("is_best", F.col("method") == best)
 
 

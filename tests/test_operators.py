@@ -346,6 +346,17 @@ def test_exact_label_permutation_matches_simulation(spark):
     assert abs(exact - sim) < 0.05
 
 
+def test_shapiro_ranks_once_and_equals_known_values(spark):
+    # the eleven weights of Shapiro and Wilk's paper, and a sample of four
+    sets = {"w": [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], "s": [1.0, 2.0, 4.0, 8.0]}
+    rows = [(g, f"s{i}", float(v)) for g, vs in sets.items() for i, v in enumerate(vs)]
+    out = T.shapiro_wilk(spark.createDataFrame(rows, "gene_id string, sample_id string, value double"))
+    assert out._jdf.queryExecution().analyzed().toString().count("row_number()") == 1
+    got = {r.gene_id: (r.w, r.p_value) for r in out.collect()}
+    assert abs(got["w"][0] - 0.79) < 0.005 and abs(got["w"][1] - 0.0067) < 5e-4
+    assert abs(got["s"][0] - 0.9247) < 0.02
+
+
 def test_label_shuffles_rank_few_cases_and_equal_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(9)
     pdf = pd.DataFrame({"model": ["a"] * 6000 + ["b"] * 50, "id": range(6050), "y": rng.integers(0, 3, 6050)})
