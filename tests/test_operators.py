@@ -357,6 +357,28 @@ def test_shapiro_ranks_once_and_equals_known_values(spark):
     assert abs(got["s"][0] - 0.9247) < 0.02
 
 
+def test_mann_whitney_scans_distinct_values_only(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"gene_id": "g", "sample_id": [f"s{i}" for i in range(400)], "value": rng.integers(0, 7, 400) / 2})
+    pdf.loc[:3, "value"] = [np.nan, np.nan, 90.5, -0.0]
+    side = pd.DataFrame({"sample_id": pdf.sample_id, "label": rng.integers(0, 2, 400)})
+    seen, scan = [], stats.ordered_scan
+    monkeypatch.setattr(stats, "ordered_scan", lambda df, *a, **k: (seen.append(df.count()), scan(df, *a, **k))[1])
+    expr = spark.createDataFrame(pdf).withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+    args = (expr, spark.createDataFrame(side), "label")
+    r = stats.mann_whitney(*args).first()
+    monkeypatch.setattr(stats, "fits", lambda *a: False)
+    big = stats.mann_whitney(*args).first().asDict()
+    assert seen == [8, 8]
+    d = pdf.merge(side).dropna()
+    a, b = d[d.label == 0].value.to_numpy(), d[d.label == 1].value.to_numpy()
+    ranks = d.value.rank()
+    assert (r.n1, r.n2, r.median1, r.median2) == (len(a), len(b), np.median(a), np.median(b))
+    assert abs(r.mean1 - a.mean()) < 1e-12 and abs(r.mean2 - b.mean()) < 1e-12
+    assert r.statistic == ranks[d.label == 0].sum() - len(a) * (len(a) + 1) / 2
+    assert all(big[k] == v or abs(big[k] - v) < 1e-12 for k, v in r.asDict().items() if k != "gene_id")
+
+
 def test_label_shuffles_rank_few_cases_and_equal_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(9)
     pdf = pd.DataFrame({"model": ["a"] * 6000 + ["b"] * 50, "id": range(6050), "y": rng.integers(0, 3, 6050)})
