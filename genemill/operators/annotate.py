@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 
 def map_gene_ids(expr: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Replace ids by their target where there is one; colliding rows are averaged."""
+    """Replace ids by their target where there is one; colliding rows are averaged.
+
+    Rows are dealt out by what they are averaged by, so that no task holds its part of `expr` and of the averages at once.
+    """
     m = mapping.select(F.col("from_id").alias("gene_id"), "to_id")
     out = expr.join(m, "gene_id", "left").withColumn("gene_id", F.coalesce("to_id", "gene_id"))
-    return out.groupBy("gene_id", "sample_id").agg(F.avg("value").alias("value"))
+    return out.repartition("gene_id", "sample_id").groupBy("gene_id", "sample_id").agg(F.avg("value").alias("value"))
 
 
 def annotate_genes(genes: DataFrame, annotations: DataFrame, databases: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from genemill.operators import batch, federated, network, normalize, padjust, pathways, pca, results, stats, survival, validate
+from genemill.operators import annotate, batch, federated, network, normalize, padjust, pathways, pca, results, stats, survival, validate
 from genemill.operators import evaluate as E
 from genemill.operators import selection as S
 from genemill.operators import transform as T
@@ -379,6 +379,14 @@ def test_mann_whitney_scans_distinct_values_only(spark, monkeypatch):
     assert all(big[k] == v or abs(big[k] - v) < 1e-12 for k, v in r.asDict().items() if k != "gene_id")
 
 
+def test_mapped_ids_are_averaged_apart_from_the_join(spark):
+    expr = spark.createDataFrame([("a", "s", 1.0), ("b", "s", 4.0), ("c", "s", 7.0), ("x", "s", None)], "gene_id string, sample_id string, value double")
+    out = annotate.map_gene_ids(expr, spark.createDataFrame([("a", "c"), ("b", "d"), ("x", "d")], "from_id string, to_id string"))
+    assert {tuple(r) for r in out.collect()} == {("c", "s", 4.0), ("d", "s", 4.0)}
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("partial_avg") < plan.index("REPARTITION_BY_COL") < plan.index("Join")
+
+
 def test_label_shuffles_rank_few_cases_and_equal_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(9)
     pdf = pd.DataFrame({"model": ["a"] * 6000 + ["b"] * 50, "id": range(6050), "y": rng.integers(0, 3, 6050)})
