@@ -387,6 +387,18 @@ def test_mapped_ids_are_averaged_apart_from_the_join(spark):
     assert plan.index("partial_avg") < plan.index("REPARTITION_BY_COL") < plan.index("Join")
 
 
+def test_feature_matrices_of_queries_read_the_cells_once(spark):
+    from genemill.operators.distributed import release
+    from genemill.plans.model_queries import _matrix
+    from genemill.plans.standins import Tables
+
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    data, names = _matrix(tables, 4)
+    assert len(names) == 4 and tables.expr().storageLevel.useMemory
+    data.unpersist()
+    release()
+
+
 def test_label_shuffles_rank_few_cases_and_equal_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(9)
     pdf = pd.DataFrame({"model": ["a"] * 6000 + ["b"] * 50, "id": range(6050), "y": rng.integers(0, 3, 6050)})
