@@ -1,8 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from helpers import clashing, documents, empty, multiset, prose, texts
@@ -189,6 +191,45 @@ def test_pieces_of_long_texts_and_small_chunks(spark, monkeypatch):
     assert multiset(removed(df)) == multiset(want)
 
 
+def traced_mb(batches):
+    """The most that Python and numpy held while these were made."""
+    tracemalloc.start()
+    try:
+        n = sum(b.num_rows for b in batches)
+        return n, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_tasks_hold_little():
+    """A worker keeps the memory of its largest step: two of them and the JVM share what an executor has."""
+    rng = np.random.default_rng(4)
+    # as many stretches of one anchor as a shard sorts: 208 starts each, and the second half of all is equal
+    n, tail = suffix_dedup.WIDE_KINDS, rng.integers(0, 256, 504, np.uint8).tobytes()
+    parts = [rng.integers(0, 256, 104, np.uint8).tobytes() + tail for _ in range(n)]
+    columns = [[7] * n, range(n), [1] * n, range(n), [(104 << 12) | 208] * n]
+    shard = pa.RecordBatch.from_arrays(
+        [pa.array(c, pa.int64()) for c in columns] + [pa.array(parts)], names=["anchor", "digest", "copies", "row", "where", "part"]
+    )
+    found, most = traced_mb(suffix_dedup._sort_shard([shard]))
+    assert found == n and most < 150
+    held = pa.array([prose(i, n=400) for i in range(40)] * 200)
+    size = held.nbytes / 1e6
+    texts = pa.RecordBatch.from_arrays([pa.array(range(len(held))), held], names=["row", "text"])
+    found, most = traced_mb(suffix_dedup._anchors([texts]))
+    assert size > 15 and found > len(held) and most < size / 2
+
+
+def test_digests_from_pieces(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 333)
+    rng = np.random.default_rng(5)
+    data = rng.integers(0, 256, 5000, np.uint8)
+    whole = suffix_dedup.Digests(data)
+    for n, length in ((4601, 400), (30, 16), (0, 16)):
+        at = np.sort(rng.choice(len(data) - length + 1, n, replace=False))
+        assert (suffix_dedup.digests_at(data, at, length) == whole.of(at, at + length)).all()
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(0)
     for _ in range(400):
