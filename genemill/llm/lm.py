@@ -502,7 +502,8 @@ class Sender:
         p = (n + own) / whole
         p = np.where(u[at] == NONE, p, self.hot.triple_n[triple[at]] + TRIGRAM_STRENGTH * p)
         cost = np.where(w[at] == vocab.end, 1.0, n + TRIGRAM_STRENGTH)
-        return np.bincount(doc[at], np.log10(p) - np.log10(cost), texts)
+        # without a frequent triple in the batch the sums would be integers, to which no answer can be added
+        return np.bincount(doc[at], np.log10(p) - np.log10(cost), texts).astype(np.float64)
 
 
 def _send(shared, shards: int):

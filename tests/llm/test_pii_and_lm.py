@@ -215,6 +215,16 @@ def test_no_shard_holds_the_tokens_of_a_frequent_pair(spark, monkeypatch, contex
     assert lm.pair_key(*(lm.token_hashes(b"again again")[:2, None])) in hot.pairs
 
 
+def test_a_batch_without_a_frequent_triple_is_scored(spark):
+    """Frequent pairs and triples elsewhere; the second partition, a batch of its own, has none of them."""
+    rows = [(i, i % 4 > 0, "again " * 200) for i in range(30)]
+    few = [(100, True, "other words here"), (101, False, None)]
+    parts = spark.sparkContext.parallelize([rows, few], 2).flatMap(lambda part: [(i, t, train) for i, train, t in part])
+    df = spark.createDataFrame(parts, "doc_id long, text string, train boolean")
+    assert len(lm.vocabulary(df, 4)[2].triples)
+    check_scores(lm.score_documents(df).collect(), brute_scores(rows + few))
+
+
 def test_compact_sequences_and_tries():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 100, 5000):
