@@ -197,6 +197,23 @@ def test_pca_of_few_genes_needs_no_rounds_whatever_the_samples(spark, monkeypatc
     assert np.allclose(pairs["product"], (z @ z.T)[i, j])
 
 
+def test_products_of_samples_are_shuffled_in_few_copies(spark):
+    rng = np.random.default_rng(5)
+    names, v = [f"s{i}" for i in rng.permutation(70)], rng.normal(size=(70, 3))
+    cells = [(n, j + 1, float(x)) for n, r in zip(names, v) for j, x in enumerate(r)]
+    scores = spark.createDataFrame(cells, "sample_id string, component int, score double")
+    found = pca.inner_products(scores, block=1)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = found.collect()
+    got = {(r.sample_1, r.sample_2): r["product"] for r in rows}
+    want = {(a, b): v[i] @ v[j] for i, a in enumerate(names) for j, b in enumerate(names) if a <= b}
+    assert len(rows) == len(want) and got.keys() == want.keys()
+    assert all(np.isclose(got[x], want[x]) for x in want)
+    vectors = spark.createDataFrame(list(zip(names, v.tolist())), "sample_id string, v array<double>")
+    assert pca._block_pairs(vectors, pca.MOST_BLOCKS).count() == (pca.MOST_BLOCKS + 1) * 70
+    assert pca.inner_products(scores.limit(0)).count() == 0
+
+
 @pytest.fixture(scope="module")
 def subjects(spark):
     rng = np.random.default_rng(2)
